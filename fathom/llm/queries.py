@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a query of an operator each; a query module has NAME, query and ORACLE_SQL.
-MODULES = ("q01_urls", "q03_bpe")
+MODULES = ("q01_urls", "q02_quality", "q03_bpe", "q07_toxicity")
 
 
 def _modules():
