@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules with a query of an operator each; a query module has NAME, query and ORACLE_SQL.
-MODULES = ("q01_urls", "q02_quality", "q03_bpe", "q06_pii", "q07_toxicity", "q08_media", "q09_warc")
+MODULES = ("q01_urls", "q02_quality", "q03_bpe", "q04_decontaminate", "q06_pii", "q07_toxicity", "q08_media", "q09_warc")
 
 
 def _modules():
