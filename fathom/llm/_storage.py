@@ -21,8 +21,18 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: With it on, a write removes the shuffle files of its own plan once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def kept(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` written to a new table in the shared folder and read from there: its lineage ends, and a lost executor costs no more than its tasks."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to a new table in the shared folder and read from there: its lineage ends, its shuffle
+    files go, and a lost executor costs no more than its tasks. The session's settings stay as they were."""
+    spark = df.sparkSession
+    path, before = new_path(spark, name), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
