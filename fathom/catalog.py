@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from fathom import queries as registry
+from fathom.queries import relational, retrieval, streams, text  # noqa: F401  they register themselves
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(registry.SQL)

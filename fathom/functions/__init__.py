@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Scalar functions over columns."""

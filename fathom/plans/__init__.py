@@ -1 +1 @@
-"""See the package README section of the same name."""
+"""Composed plans: settings, retrieval pipelines, ingestion and evaluation."""
