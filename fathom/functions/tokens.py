@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
 #: What counts as an indicator, in this order.
@@ -29,7 +30,7 @@ LONGEST = 64
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normal_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """NFKC with ligatures folded, for text that is not in that form."""
     table = str.maketrans(LIGATURES)

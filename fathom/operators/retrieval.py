@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from fathom.functions.tokens import tokenize
 
@@ -75,7 +76,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
     which read each vector once. Zero vectors score 0; vectors of another length than the query's are no candidates."""
     qs = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).orderBy("q")
     kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
-    parts, held = [], []
+    kind, parts, held = to_arrow_type(queries.schema[query].dataType), [], []
 
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
@@ -97,7 +98,7 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
                 most = min(k, len(fits))
                 least = np.partition(found, len(fits) - most, axis=0)[len(fits) - most]
                 q, rows_ = np.nonzero((found >= least).T)  # ties with the last stay, to be ranked by key
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()]), names.take(pa.array(rows_)), pa.array(found[rows_, q])], [query, key, "score"])
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], kind), names.take(pa.array(rows_)), pa.array(found[rows_, q])], [query, key, "score"])
 
         return vectors.select(key, vector).mapInArrow(work, kinds)
 

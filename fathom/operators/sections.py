@@ -15,7 +15,7 @@ BOILERPLATE = ("Notes", "References", "Acknowledgements", "Disclaimer", "Reporti
 
 def clean_section(text: Column) -> Column:
     """Bullets and blanks normalised; lines of a page number alone and trailing footer lines dropped."""
-    text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit(""), F.lit("-")), r"[ \t]+", " "), r"\n{3,}", "\n\n")
+    text = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("\uf0a7"), F.lit("-")), r"[ \t]+", " "), r"\n{3,}", "\n\n")
     lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda x: ~x.rlike(r"^\s*\d{1,4}\s*$"))
     last = F.aggregate(
         F.reverse(lines), F.struct(F.lit(0).alias("n"), F.lit(True).alias("open")),
