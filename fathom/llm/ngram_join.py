@@ -53,6 +53,8 @@ LEVEL = 5
 SALTS = 8
 #: Bytes of text whose shingles are counted together before the shuffle.
 COUNTED = 12 << 20
+#: 64-bit words of a set's bitmap.
+WORDS = 32
 Known = tuple[np.ndarray, np.ndarray]
 
 
@@ -142,8 +144,21 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int = PERCENT) ->
     return np.unique(np.concatenate(parts))
 
 
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    """For each of 64 * WORDS hash values whether an odd number of the tokens has it. Where two bitmaps differ the sets do, so
+    the number of differing bits is at most that of shingles in one set alone."""
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: int, percent: int = PERCENT) -> np.ndarray:
+    """Whether sets of sizes n with these bitmaps can link with one of size m: their sizes and their bitmaps' difference allow it."""
+    differ = np.bitwise_count((bits ^ other).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute value's
+    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
+
+
 def signed(docs: DataFrame, known: Known, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, h1, h2, n, sigs): a digest of the words, the set's size and its signatures."""
+    """(id, h1, h2, n, bits, sigs): a digest of the words, the set's size, its bitmap and its signatures."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,16 +172,18 @@ def signed(docs: DataFrame, known: Known, key: str = "doc_id", text: str = "text
                     sums = np.zeros(len(words) + 1, np.uint64)
                     np.cumsum(mix(words + np.uint64(salt)) * up[: len(words)], out=sums[1:])
                     digests.append(mix((sums[first[1:]] - sums[first[:-1]]) * down[first[:-1]] + np.diff(first).astype(np.uint64)).view(np.int64))
-                sizes, sigs = [], []
+                sizes, sigs, bits = [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:], strict=True):
                     tokens = np.unique(hashes[a:b])
                     sizes.append(len(tokens))
+                    bits.append(bitmap(tokens))
                     sigs.append(signatures(tokens, classes(tokens, known), percent).view(np.int64))
                 ends = np.r_[0, np.cumsum([len(s) for s in sigs])].astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sigs)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(pa.array, digests), pa.array(sizes, pa.int32()), lists], ["id", "h1", "h2", "n", "sigs"])
+                maps = pa.ListArray.from_arrays(pa.array(np.arange(high - low + 1, dtype=np.int32) * WORDS), pa.array(np.concatenate(bits)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *map(pa.array, digests), pa.array(sizes, pa.int32()), maps, lists], ["id", "h1", "h2", "n", "bits", "sigs"])
 
-    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(work, "id long, h1 long, h2 long, n int, sigs array<long>")
+    return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).mapInArrow(work, "id long, h1 long, h2 long, n int, bits array<long>, sigs array<long>")
 
 
 def first_meetings(postings: DataFrame) -> DataFrame:
@@ -202,30 +219,53 @@ def first_meetings(postings: DataFrame) -> DataFrame:
 
 
 def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
-    """(a, b) within groups: the members ``skip`` to ``skip + most`` of a group, by id, meet all after them of another component and a size that may link.
+    """(a, b) within groups: the members ``skip`` to ``skip + most`` of a group, by id, meet all after them; pairs of one component,
+    or that sizes or bitmaps rule out, are left out.
 
-    members: sig, id, n, component. Only a group's current ``most`` members are held while it streams by."""
+    members: sig, id, n, component, bits. Of a group that streams by only these ``most`` members are held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig_now, place, held = None, 0, []
+        sig_now, place = None, 0
+        held: list[tuple] = []  # id, n, component, bits
         for batch in batches:
+            sig, ids, n, component = (batch.column(i).to_numpy() for i in range(4))
+            bits = batch.column(4).flatten().to_numpy().reshape(-1, WORDS)
             a_out, b_out = [], []
-            for sig, i, n, c in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if sig != sig_now:
-                    sig_now, place, held = sig, 0, []
-                for j, m, d in held:
-                    if d != c and j != i and 100 * min(n, m) >= PERCENT * max(n, m):
-                        a_out.append(j)
-                        b_out.append(i)
-                if skip <= place < skip + most:
-                    held.append((i, n, c))
-                place += 1
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-    order = members.select("sig", "id", "n", "component").repartition("sig").sortWithinPartitions("sig", "id")
+            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else []
+            for low, high in zip(starts, np.r_[starts[1:], len(sig)].astype(int) if len(sig) else [], strict=True):
+                if sig[low] != sig_now:
+                    sig_now, place, held = sig[low], 0, []
+                known = len(held)
+                here = range(max(low, low + skip - place), min(high, low + skip + most - place))
+                held += [(ids[i], n[i], component[i], bits[i]) for i in here]
+                for j, (one, m, c, own) in enumerate(held):
+                    at = low if j < known else here[j - known] + 1
+                    ok = (component[at:high] != c) & (ids[at:high] != one)
+                    if ok.any():
+                        ok[ok] = may_link(bits[at:high][ok], n[at:high][ok].astype(np.int64), own, int(m))
+                        found = ids[at:high][ok]
+                        a_out.append(np.full(len(found), one))
+                        b_out.append(found)
+                place += high - low
+            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["a", "b"])
+
+    order = members.select("sig", "id", "n", "component", "bits").repartition("sig").sortWithinPartitions("sig", "id")
     return order.mapInArrow(work, "a long, b long")
 
 
+#: Members of an open group that meet the rest in the first later round, and how many times as many in each next one.
+FIRST, FASTER = 64, 16
+
+
+def likely(pairs: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) that sizes and bitmaps do not rule out. own: id, n, bits."""
+    a, b = (own.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
+    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    both = pairs.join(a, "a").join(b, "b")
+    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
+
+
 #: Pairs of one document beyond which they are dealt to several tasks.
 HOT = 1000
 
@@ -272,31 +312,26 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sign = kept(signed(docs, frequent(docs, text), key, text), "signed", "lz4")
     copies = kept(sign.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first")), "copies")
     reps = copies.where("first IS NOT NULL").select(F.col("first").alias("id")).distinct()
-    postings = sign.join(reps, "id", "left_semi").select("id", "n", F.explode("sigs").alias("sig"))
-    met = kept(first_meetings(postings), "met")
+    own = sign.join(reps, "id", "left_semi")
+    met = kept(first_meetings(own.select("id", "n", F.explode("sigs").alias("sig"))), "met")
     close = (F.col("leader") != F.col("id")) & (100 * F.least("leader_n", "n") >= PERCENT * F.greatest("leader_n", "n"))
-    pairs = kept(met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    texts = docs
-    links = kept(verified(pairs, texts, key, text), "linked")
-    done, label = pairs, components(links)
-    members = met.select("sig", "id", "n")
-    skip, most = 0, 4
+    pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    label = components(verified(kept(likely(pairs, own), "pairs"), docs, key, text))
+    members, skip, most = met.select("sig", "id", "n"), 0, FIRST
     while True:
         tagged = members.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
-        open_ = tagged.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where((F.col("x") != F.col("y")) & (F.col("size") > skip))
+        seen = tagged.groupBy("sig").agg(
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("i")
+        )
+        open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h", "i").agg(F.min("sig").alias("sig"))  # of groups with the same members one
         tagged = kept(tagged.join(open_.select("sig"), "sig", "left_semi"), "open")
         if tagged.isEmpty():
             break
-        fresh = later_meetings(tagged, skip, most).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = kept(fresh.join(seen, ["a", "b"], "left_anti"), "pairs")
+        fresh = later_meetings(tagged.drop("n").join(own.select("id", "n", "bits"), "id"), skip, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = kept(fresh, "pairs")
         if not fresh.isEmpty():
-            links = kept(links.unionByName(verified(fresh, texts, key, text)), "linked")
-            label = components(links)
-            done = done.unionByName(fresh)
-        members = tagged.select("sig", "id", "n")
-        skip, most = skip + most, most * 4
+            label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(fresh, docs, key, text)))
+        members, skip, most = tagged.select("sig", "id", "n"), skip + most, most * FASTER
     named = sign.select("id", "h1", "h2", "n").join(copies, ["h1", "h2"], "left").join(label.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "first"))
-    out = named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
-    return out
+    return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))

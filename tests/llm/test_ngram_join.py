@@ -28,6 +28,16 @@ def test_linked_sets_share_a_signature(seed):
             assert len(np.intersect1d(a, b)), (len(x), len(y))
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[: len(x) - int(rng.integers(0, n // 6 + 1))], rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
+        ok = ngram_join.may_link(ngram_join.bitmap(x)[None, :], np.array([len(x)]), ngram_join.bitmap(y), len(y))[0]
+        assert ok or not linked(set(x.tolist()), set(y.tolist()))
+
+
 def brute(rows):
     sets = []
     for _, text in rows:
