@@ -29,10 +29,11 @@ def bm25_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
 
 
-def bm25_stats(docs: DataFrame, text: str = "content") -> DataFrame:
-    """One row: num_docs and avgdl."""
-    size = F.size(tokenize(F.col(text)))
-    return docs.agg(F.count("*").alias("num_docs"), (F.coalesce(F.sum(size), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))
+def bm25_stats(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """One row: num_docs and avgdl. Lengths come from the term counts, so that a plan tokenizes the documents once."""
+    total = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
+    n = docs.agg(F.count("*").alias("num_docs")).crossJoin(F.broadcast(total))
+    return n.select("num_docs", (F.col("tokens") / F.greatest("num_docs", F.lit(1))).alias("avgdl"))
 
 
 def postings(counts: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:

@@ -34,8 +34,8 @@ class Index:
 
 
 def build_index(chunks: DataFrame) -> Index:
-    stats = R.bm25_stats(chunks)
     counts = R.term_counts(chunks)
+    stats = R.bm25_stats(chunks, counts)
     terms = R.bm25_terms(counts, stats)
     return Index(chunks, terms, stats, R.postings(counts, terms, stats))
 

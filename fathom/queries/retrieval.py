@@ -25,8 +25,8 @@ sparse AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_i
 
 def _index(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    stats = R.bm25_stats(docs)
     counts = R.term_counts(docs, CHUNK)
+    stats = R.bm25_stats(docs, counts)
     terms = R.bm25_terms(counts, stats)
     return docs, stats, counts, terms
 
