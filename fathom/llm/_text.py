@@ -37,7 +37,7 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def pieces(offsets: np.ndarray, most: int = 512 << 10) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer row comes alone."""
     low, n = 0, len(offsets) - 1
     while low < n:
@@ -50,7 +50,7 @@ def pieces(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64 for i < n, kept for the next call."""
     if not _powers or len(_powers[0]) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 20)
         inverse = pow(BASE, -1, 2**64)
         out = []
         for base in (BASE, inverse):

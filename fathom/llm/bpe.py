@@ -29,11 +29,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text of which the distinct words are folded together.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: A word of more bytes is folded alone.
 LONG = 48
 #: Distinct words that a worker keeps folded.
-KEPT = 300_000
+KEPT = 150_000
 SCHEMA = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
 

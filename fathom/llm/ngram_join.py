@@ -52,7 +52,7 @@ LEVEL = 5
 #: Tasks that the members of a group of frequent signatures are dealt to.
 SALTS = 8
 #: Bytes of text whose shingles are counted together before the shuffle.
-COUNTED = 12 << 20
+COUNTED = 8 << 20
 #: 64-bit words of a set's bitmap.
 WORDS = 32
 Known = tuple[np.ndarray, np.ndarray]
