@@ -62,7 +62,9 @@ def sparse_topk(spark, d):
     return _sparse(spark, d, 10).select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
-QUERIES_N = 20
+QUERIES_N, EVERY = 20, 100
+#: Which vectors are searched for: those that the SQL twins name, and the set that grows with the table.
+FIRST, WHOLE = f"vec_id < {QUERIES_N}", f"vec_id % {EVERY} = 0"
 DENSE = f"""
 dense AS (
   SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score,
@@ -70,23 +72,37 @@ dense AS (
 dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM dense)"""
 
 
-def _dense(spark, d, k, only=None):
+def search(sql: str):
+    """Register a search over the ids that its SQL names, and as ``NAME_every`` over every id divisible by EVERY."""
+
+    def add(f):
+        def whole(spark, d):
+            return f(spark, d, WHOLE)
+
+        whole.__name__ = f"{f.__name__}_every"
+        query(sql.replace(f"vec_id < {QUERIES_N}", WHOLE))(whole)
+        return query(sql)(f)
+
+    return add
+
+
+def _dense(spark, d, k, only=None, asked=FIRST):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    queries = rows.where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("qid"), "vector")
+    queries = rows.where(asked).select(F.col("vec_id").alias("qid"), "vector")
     base = rows if only is None else rows.where(only)
     scores = R.dense_scores(queries, base, k, "qid", "vec_id").withColumn("score", F.round("score", 9))
     return R.ranked(scores, k, "qid", "vec_id"), rows
 
 
-@query(f"WITH {DENSE} SELECT qid, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10")
-def dense_topk(spark, d):
-    return _dense(spark, d, 10)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+@search(f"WITH {DENSE} SELECT qid, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10")
+def dense_topk(spark, d, asked=FIRST):
+    return _dense(spark, d, 10, asked=asked)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query(f"""WITH {DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS r FROM dense WHERE label IN (1, 3, 5))
+@search(f"""WITH {DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS r FROM dense WHERE label IN (1, 3, 5))
 SELECT qid, vec_id, round(score, 6) AS score, r::INT AS rank FROM f WHERE r < 10""")
-def dense_topk_filtered(spark, d):
-    return _dense(spark, d, 10, F.col("label").isin(1, 3, 5))[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+def dense_topk_filtered(spark, d, asked=FIRST):
+    return _dense(spark, d, 10, F.col("label").isin(1, 3, 5), asked)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
 TWO = f"""{DENSE},
@@ -94,9 +110,9 @@ other AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY abs(v
 lists AS (SELECT qid, vec_id, rank, 0 AS l FROM dr WHERE rank < 30 UNION ALL SELECT qid, vec_id, rank, 1 FROM other WHERE rank < 30)"""
 
 
-def _two(spark, d):
-    first, rows = _dense(spark, d, 30)
-    near = rows.select("vec_id").crossJoin(F.broadcast(rows.where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("qid"))))
+def _two(spark, d, asked):
+    first, rows = _dense(spark, d, 30, asked=asked)
+    near = rows.select("vec_id").crossJoin(F.broadcast(rows.where(asked).select(F.col("vec_id").alias("qid"))))
     second = R.ranked(near.withColumn("score", -F.abs(F.col("vec_id") - F.col("qid")).cast("double")), 30, "qid", "vec_id")
     return first, second
 
@@ -108,24 +124,24 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DE
 SELECT qid, vec_id, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank < 20"""
 
 
-def _fused(spark, d, a, b):
-    first, second = _two(spark, d)
+def _fused(spark, d, a, b, asked):
+    first, second = _two(spark, d, asked)
     return R.fuse([(first, a), (second, b)], 60, "qid", "vec_id").where("rank < 20").select("qid", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
-@query(_fused_sql(0.5, 0.5))
-def rrf_fuse(spark, d):
-    return _fused(spark, d, 0.5, 0.5)
+@search(_fused_sql(0.5, 0.5))
+def rrf_fuse(spark, d, asked=FIRST):
+    return _fused(spark, d, 0.5, 0.5, asked)
 
 
-@query(_fused_sql(0.8, 0.2))
-def rrf_weighted(spark, d):
-    return _fused(spark, d, 0.8, 0.2)
+@search(_fused_sql(0.8, 0.2))
+def rrf_weighted(spark, d, asked=FIRST):
+    return _fused(spark, d, 0.8, 0.2, asked)
 
 
-@query(_fused_sql(0.0, 1.0))
-def rrf_zero_weight(spark, d):
-    return _fused(spark, d, 0.0, 1.0)
+@search(_fused_sql(0.0, 1.0))
+def rrf_zero_weight(spark, d, asked=FIRST):
+    return _fused(spark, d, 0.0, 1.0, asked)
 
 
 HYBRID = f"""{COUNTS}, {QTERMS},
@@ -165,10 +181,10 @@ def retrieval_quality(spark, d):
     return out.select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
-@query(f"""WITH {DENSE}, g AS (SELECT qid, label, vec_id, score, rank, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 9) DESC, rank) AS n, min(rank) OVER (PARTITION BY qid, label) AS first FROM dr WHERE rank < 100)
+@search(f"""WITH {DENSE}, g AS (SELECT qid, label, vec_id, score, rank, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 9) DESC, rank) AS n, min(rank) OVER (PARTITION BY qid, label) AS first FROM dr WHERE rank < 100)
 SELECT qid, label, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first, vec_id) - 1)::INT AS rank FROM g WHERE n = 1""")
-def best_per_group(spark, d):
-    top, rows = _dense(spark, d, 100)
+def best_per_group(spark, d, asked=FIRST):
+    top, rows = _dense(spark, d, 100, asked=asked)
     labelled = top.join(rows.select("vec_id", "label"), "vec_id").withColumn("label", F.col("label").cast("string"))
     best = R.best_per_group(labelled, "label", "qid", "vec_id")
     return best.select("qid", F.col("label").cast("int").alias("label"), "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -179,30 +195,30 @@ q AS (SELECT qid, 'g' || (qid % 3) AS category, k, max((match AND rank < k)::INT
   round(sum(CASE WHEN match AND rank < k THEN 1 / log2(rank + 2) ELSE 0 END), 4) AS ndcg FROM m CROSS JOIN (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL)"""
 
 
-def _per(spark, d):
-    top, rows = _dense(spark, d, 10)
-    gold = rows.where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
+def _per(spark, d, asked):
+    top, rows = _dense(spark, d, 10, asked=asked)
+    gold = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
     found = top.withColumnRenamed("qid", "query_id").join(rows.select("vec_id", "label"), "vec_id").join(F.broadcast(gold), "query_id")
     queries = gold.select("query_id", F.concat(F.lit("g"), (F.col("query_id") % 3).cast("string")).alias("category"))
     return M.per_query(found.withColumn("match", F.col("label") == F.col("gold")), queries, [1, 3, 5, 10])
 
 
-@query(PER + " SELECT qid AS query_id, category, k, hit, round(rr, 6) AS rr, ndcg FROM q")
-def hit_mrr_ndcg(spark, d):
-    return _per(spark, d).select("query_id", "category", "k", "hit", F.round("rr", 6).alias("rr"), "ndcg")
+@search(PER + " SELECT qid AS query_id, category, k, hit, round(rr, 6) AS rr, ndcg FROM q")
+def hit_mrr_ndcg(spark, d, asked=FIRST):
+    return _per(spark, d, asked).select("query_id", "category", "k", "hit", F.round("rr", 6).alias("rr"), "ndcg")
 
 
 CATEGORY = PER + ", c AS (SELECT coalesce(category, 'overall') AS category, k, count(*) AS n_queries, avg(hit) AS hit_rate, avg(rr) AS mrr, avg(ndcg) AS ndcg FROM q GROUP BY GROUPING SETS ((category, k), (k)))"
 
 
-@query(CATEGORY + " SELECT category, k, n_queries, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 5) AS ndcg FROM c")
-def metrics_by_category(spark, d):
-    return M.by_category(_per(spark, d)).select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 5).alias("ndcg"))
+@search(CATEGORY + " SELECT category, k, n_queries, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 5) AS ndcg FROM c")
+def metrics_by_category(spark, d, asked=FIRST):
+    return M.by_category(_per(spark, d, asked)).select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 5).alias("ndcg"))
 
 
-@query(CATEGORY + ", l(category, k, least) AS (VALUES ('overall', 10, 0.99), ('g1', 1, 1.01), ('g0', 5, 0.0)) SELECT category, k, least::DOUBLE AS least, round(hit_rate, 6) AS hit_rate FROM c JOIN l USING (category, k) WHERE hit_rate < least")
-def threshold_gate(spark, d):
-    out = M.alerts(M.by_category(_per(spark, d)), (("overall", 10, 0.99), ("g1", 1, 1.01), ("g0", 5, 0.0)))
+@search(CATEGORY + ", l(category, k, least) AS (VALUES ('overall', 10, 0.99), ('g1', 1, 1.01), ('g0', 5, 0.0)) SELECT category, k, least::DOUBLE AS least, round(hit_rate, 6) AS hit_rate FROM c JOIN l USING (category, k) WHERE hit_rate < least")
+def threshold_gate(spark, d, asked=FIRST):
+    out = M.alerts(M.by_category(_per(spark, d, asked)), (("overall", 10, 0.99), ("g1", 1, 1.01), ("g0", 5, 0.0)))
     return out.select("category", "k", "least", F.round("hit_rate", 6).alias("hit_rate"))
 
 
@@ -212,28 +228,28 @@ c AS (SELECT qid, k, list_distinct(pred) AS pred, gold FROM p JOIN g USING (qid)
 n AS (SELECT qid, k, len(list_intersect(pred, gold)) AS tp, len(pred) - len(list_intersect(pred, gold)) AS fp, len(gold) - len(list_intersect(pred, gold)) AS fn FROM c)"""
 
 
-def _sets(spark, d):
-    top, rows = _dense(spark, d, 10)
+def _sets(spark, d, asked):
+    top, rows = _dense(spark, d, 10, asked=asked)
     name = lambda c: F.concat(F.lit("T10"), (c + 10).cast("string"))
     found = top.withColumnRenamed("qid", "query_id").join(rows.select("vec_id", name(F.col("label")).alias("attack_id")), "vec_id")
-    gold = rows.where(F.col("vec_id") < QUERIES_N).select(F.col("vec_id").alias("query_id"), F.array(name(F.col("label")), name((F.col("label") + 1) % 10)).alias("gold"))
+    gold = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.array(name(F.col("label")), name((F.col("label") + 1) % 10)).alias("gold"))
     return M.prefixes(found, "attack_id", [1, 3, 5, 10]).join(gold, "query_id")
 
 
-@query(SETS + " SELECT qid AS query_id, k, tp::INT AS tp, fp::INT AS fp, fn::INT AS fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS p, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS r FROM n")
-def prf_at_k(spark, d):
-    rows = M.set_counts(_sets(spark, d), F.col("gold"), F.col("labels"))
+@search(SETS + " SELECT qid AS query_id, k, tp::INT AS tp, fp::INT AS fp, fn::INT AS fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS p, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS r FROM n")
+def prf_at_k(spark, d, asked=FIRST):
+    rows = M.set_counts(_sets(spark, d, asked), F.col("gold"), F.col("labels"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return rows.select("query_id", "k", "tp", "fp", "fn", F.round(M.ratio(tp, tp + fp), 6).alias("p"), F.round(M.ratio(tp, tp + fn), 6).alias("r"))
 
 
-@query(SETS + """ SELECT k, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS n, round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS precision,
+@search(SETS + """ SELECT k, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS n, round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS precision,
   round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall, round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 6) AS f1 FROM n GROUP BY k""")
-def micro_f1(spark, d):
-    out = M.micro(M.set_counts(_sets(spark, d), F.col("gold"), F.col("labels")), "k")
+def micro_f1(spark, d, asked=FIRST):
+    out = M.micro(M.set_counts(_sets(spark, d, asked), F.col("gold"), F.col("labels")), "k")
     return out.select("k", "tp", "fp", "fn", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@query(SETS + " SELECT k, round(sum(tp) / sum(tp + fn), 6) AS recall FROM n GROUP BY k")
-def label_recall_at_k(spark, d):
-    return M.recall_at(_sets(spark, d), F.col("gold"), F.array_distinct("labels"), "k").select("k", F.round("recall", 6).alias("recall"))
+@search(SETS + " SELECT k, round(sum(tp) / sum(tp + fn), 6) AS recall FROM n GROUP BY k")
+def label_recall_at_k(spark, d, asked=FIRST):
+    return M.recall_at(_sets(spark, d, asked), F.col("gold"), F.array_distinct("labels"), "k").select("k", F.round("recall", 6).alias("recall"))
