@@ -46,11 +46,11 @@ def dangling_edges(spark, d):
     return rows.agg(F.count_if("hit").alias("resolved"), F.count_if(F.col("hit").isNull()).alias("dangling"))
 
 
-def _bundle(spark, d):
-    """Customers as groups, suppliers as software, parts as techniques: who uses what through the orders' lines."""
-    customer = table(spark, d, "customer").where("c_custkey <= 40")
+def _bundle(spark, d, whole=False):
+    """Customers as groups, suppliers as software, parts as techniques: who uses what through the orders' lines. All of them, or the first of each."""
+    customer = table(spark, d, "customer").where("true" if whole else "c_custkey <= 40")
     none, off = F.lit(None).cast("array<struct<kill_chain_name:string,phase_name:string>>"), F.lit(False)
-    part = table(spark, d, "part").where("p_partkey <= 400")
+    part = table(spark, d, "part").where("true" if whole else "p_partkey <= 400")
     phase = F.array(F.struct(F.lit("c").alias("kill_chain_name"), F.concat(F.lit("t"), (F.col("p_partkey") % 3).cast("string")).alias("phase_name")))
     nodes = (
         customer.select(F.concat(F.lit("g--"), F.col("c_custkey").cast("string")).alias("id"), F.lit("intrusion-set").alias("type"), F.lit(None).cast("string").alias("external_id"), none.alias("phases"), off.alias("revoked"), off.alias("deprecated"))
@@ -75,14 +75,23 @@ hop1 AS (SELECT c, technique FROM u JOIN t ON l_partkey = p WHERE l_linenumber =
 hop2 AS (SELECT c, technique FROM (SELECT DISTINCT c, l_suppkey AS s FROM u WHERE l_linenumber = 2 AND c <= 40) JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey FROM u WHERE l_linenumber = 3) USING (s) JOIN t ON l_partkey = p)"""
 
 
-@query(f"""WITH {GRAPH}, a AS (SELECT c, technique, true AS direct FROM hop1 UNION ALL SELECT c, technique, false FROM hop2)
-SELECT 'g--' || c AS actor, 't1' AS tactic, technique, bool_or(direct) AS direct, bool_or(NOT direct) AS via_software FROM a GROUP BY ALL""")
-def two_hop_traversal(spark, d):
-    nodes, edges, customer = _bundle(spark, d)
+TWO_HOP = f"""WITH {GRAPH}, a AS (SELECT c, technique, true AS direct FROM hop1 UNION ALL SELECT c, technique, false FROM hop2)
+SELECT 'g--' || c AS actor, 't1' AS tactic, technique, bool_or(direct) AS direct, bool_or(NOT direct) AS via_software FROM a GROUP BY ALL"""
+
+
+@query(TWO_HOP)
+def two_hop_traversal(spark, d, whole=False):
+    nodes, edges, customer = _bundle(spark, d, whole)
     actors = customer.select(F.concat(F.lit("g--"), F.col("c_custkey").cast("string")).alias("actor"), F.lit("t1").alias("tactic"))
     return G.gold_techniques(actors, nodes, edges)
 
 
+@query(TWO_HOP.replace("p_partkey <= 400 AND ", "").replace(" AND c <= 40", ""))
+def two_hop_traversal_every(spark, d):
+    """Over all customers and all parts."""
+    return two_hop_traversal(spark, d, whole=True)
+
+
 @query("""WITH q(query) AS (VALUES ('Supplier#000000001'), (' supplier#000000002 '), ('alias-3'), ('ias-44'), ('alias-5'), ('nothing'), ('')),
 n AS (SELECT s_suppkey AS id, lower(s_name) AS name, 'alias-' || s_suppkey AS alias FROM supplier),
 k AS (SELECT query, lower(trim(query)) AS key FROM q),

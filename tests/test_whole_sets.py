@@ -12,3 +12,24 @@ def test_searches_are_for_every_hundredth_vector(spark, name):
     ids = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
     asked = {r[0] for r in catalog.queries()[name](spark, SF).select("qid").distinct().collect()}
     assert asked == {i for i in ids if i % 100 == 0} and max(asked) >= 100
+
+
+def test_two_hops_from_every_customer_to_every_part(spark, tmp_path):
+    """Ids past 40 and past 400, beside brute force."""
+    lines = [(o, 395 + 7 * o % 60 + n, 1 + (o + n) % 3, n) for o in range(1, 90) for n in (1, 2, 3)]
+    tables = {
+        "customer": ([(c,) for c in range(30, 61)], "c_custkey long"), "supplier": ([(i,) for i in (1, 2, 3)], "s_suppkey long"), "part": ([(p,) for p in range(380, 450)], "p_partkey long"),
+        "orders": ([(o, 20 + o % 50) for o in range(1, 90)], "o_orderkey long, o_custkey long"), "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int"),
+    }
+    for name, (rows, kind) in tables.items():
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    names = {p: f"T{p % 90 + 1000}" for p in range(380, 450) if p % 10 and p % 3 == 1}
+    software = {s: {names[p] for _, p, t, n in lines if n == 3 and t == s and p in names} for s in (1, 2, 3)}
+    want = {}
+    for o, p, s, n in lines:
+        if (c := 20 + o % 50) in range(30, 61):
+            for technique in {names[p]} if n == 1 and p in names else software[s] if n == 2 else ():
+                want.setdefault((f"g--{c}", technique), set()).add(n)
+    got = {(r["actor"], r["technique"]): {n for n, hit in ((1, r["direct"]), (2, r["via_software"])) if hit} for r in catalog.queries()["two_hop_traversal_every"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert any(int(a[3:]) > 40 and 1 in hops for (a, _), hops in want.items())
