@@ -107,23 +107,32 @@ def prioritised_match(spark, d):
     return G.match_names(asked, names)
 
 
-@query("""WITH RECURSIVE al AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS b FROM nation WHERE n_nationkey < 20),
+VERDICTS = """WITH RECURSIVE al AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS b FROM nation WHERE n_nationkey < 20),
 re AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation WHERE n_nationkey < 15),
 ea AS (SELECT a, b FROM al WHERE b IS NOT NULL UNION SELECT b, a FROM al WHERE b IS NOT NULL),
 er AS (SELECT * FROM ea UNION SELECT a, b FROM re WHERE b IS NOT NULL UNION SELECT b, a FROM re WHERE b IS NOT NULL),
 ca(a, b) AS (SELECT a, b FROM ea UNION SELECT ca.a, ea.b FROM ca JOIN ea ON ca.b = ea.a),
 cr(a, b) AS (SELECT a, b FROM er UNION SELECT cr.a, er.b FROM cr JOIN er ON cr.b = er.a)
-SELECT x.n_name AS a, y.n_name AS b, CASE WHEN EXISTS (SELECT 1 FROM ca WHERE a = x.n_name AND b = y.n_name) THEN 'C' WHEN EXISTS (SELECT 1 FROM cr WHERE a = x.n_name AND b = y.n_name) THEN 'P' ELSE 'I' END AS verdict FROM nation x, nation y""")
-def actor_components(spark, d):
+SELECT x.n_name AS a, y.n_name AS b, CASE WHEN EXISTS (SELECT 1 FROM ca WHERE a = x.n_name AND b = y.n_name) THEN 'C' WHEN EXISTS (SELECT 1 FROM cr WHERE a = x.n_name AND b = y.n_name) THEN 'P' ELSE 'I' END AS verdict FROM nation x, nation y"""
+
+
+@query(VERDICTS)
+def actor_components(spark, d, whole=False):
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
     before = lambda *by: F.lag("n_name").over(Window.partitionBy(*by).orderBy("n_nationkey"))
     shape = lambda df, kind: G.actor_edges(df.where("b IS NOT NULL").select(F.col("n_name").alias("name"), F.array("b").alias("others"), F.col("n_nationkey").alias("position")), kind)
-    aliases = shape(nation.where("n_nationkey < 20").withColumn("b", before("n_regionkey", F.col("n_nationkey") % 2)), "alias")
-    related = shape(nation.where("n_nationkey < 15").withColumn("b", before("n_regionkey")), "related")
+    aliases = shape(nation.where("true" if whole else "n_nationkey < 20").withColumn("b", before("n_regionkey", F.col("n_nationkey") % 2)), "alias")
+    related = shape(nation.where("true" if whole else "n_nationkey < 15").withColumn("b", before("n_regionkey")), "related")
     names = nation.select(F.col("n_name").alias("a"))
     return G.actor_verdicts(names.crossJoin(F.broadcast(names.withColumnRenamed("a", "b"))), aliases, related)
 
 
+@query(VERDICTS.replace(" WHERE n_nationkey < 20", "").replace(" WHERE n_nationkey < 15", ""))
+def actor_components_every(spark, d):
+    """With edges from all nations: one region and parity is C, one region alone P, two regions I."""
+    return actor_components(spark, d, whole=True)
+
+
 @query("SELECT l_returnflag AS src_type, l_linestatus AS rel, l_linenumber::VARCHAR AS dst_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY ALL")
 def edge_stats(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("--x")).alias("src"), F.col("l_linestatus").alias("rel"), F.concat(F.col("l_linenumber").cast("string"), F.lit("--y")).alias("dst"))

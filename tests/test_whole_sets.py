@@ -33,3 +33,18 @@ def test_two_hops_from_every_customer_to_every_part(spark, tmp_path):
     got = {(r["actor"], r["technique"]): {n for n, hit in ((1, r["direct"]), (2, r["via_software"])) if hit} for r in catalog.queries()["two_hop_traversal_every"](spark, str(tmp_path)).collect()}
     assert got == want
     assert any(int(a[3:]) > 40 and 1 in hops for (a, _), hops in want.items())
+
+
+def test_every_nation_has_edges(spark):
+    nations = {r["n_name"]: r for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    got = {(r["a"], r["b"]): r["verdict"] for r in catalog.queries()["actor_components_every"](spark, SF).collect()}
+    region = lambda x: nations[x]["n_regionkey"]
+    parts = [(region(x), nations[x]["n_nationkey"] % 2) for x in nations]
+    assert len(got) == len(nations) ** 2 and set(got.values()) == {"C", "P", "I"}
+    for (a, b), verdict in got.items():
+        one = (region(a), nations[a]["n_nationkey"] % 2)
+        same = one == (region(b), nations[b]["n_nationkey"] % 2)
+        if region(a) != region(b) or a == b and parts.count(one) == 1 and sum(p[0] == one[0] for p in parts) == 1:
+            assert verdict == "I"
+        else:
+            assert verdict == ("C" if same and parts.count(one) > 1 else "P")
