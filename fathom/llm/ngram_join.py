@@ -222,10 +222,10 @@ def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
     """(a, b) within groups: the members ``skip`` to ``skip + most`` of a group, by id, meet all after them; pairs of one component,
     or that sizes or bitmaps rule out, are left out.
 
-    members: sig, id, n, component, bits. Of a group that streams by only these ``most`` members are held."""
+    members: sig, id, n, component, bits; rows that share an id are one member. Of a group that streams by only these ``most`` members are held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig_now, place = None, 0
+        sig_now, id_now, place = None, None, -1
         held: list[tuple] = []  # id, n, component, bits
         for batch in batches:
             sig, ids, n, component = (batch.column(i).to_numpy() for i in range(4))
@@ -234,9 +234,10 @@ def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else []
             for low, high in zip(starts, np.r_[starts[1:], len(sig)].astype(int) if len(sig) else [], strict=True):
                 if sig[low] != sig_now:
-                    sig_now, place, held = sig[low], 0, []
+                    sig_now, id_now, place, held = sig[low], None, -1, []
                 known = len(held)
-                here = range(max(low, low + skip - place), min(high, low + skip + most - place))
+                places = place + np.cumsum(np.r_[ids[low] != id_now, ids[low + 1 : high] != ids[low : high - 1]])
+                here = low + np.flatnonzero((places >= skip) & (places < skip + most))
                 held += [(ids[i], n[i], component[i], bits[i]) for i in here]
                 for j, (one, m, c, own) in enumerate(held):
                     at = low if j < known else here[j - known] + 1
@@ -246,7 +247,7 @@ def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
                         found = ids[at:high][ok]
                         a_out.append(np.full(len(found), one))
                         b_out.append(found)
-                place += high - low
+                id_now, place = ids[high - 1], int(places[-1])
             made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["a", "b"])
 
@@ -317,21 +318,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     close = (F.col("leader") != F.col("id")) & (100 * F.least("leader_n", "n") >= PERCENT * F.greatest("leader_n", "n"))
     pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     label = components(verified(kept(likely(pairs, own), "pairs"), docs, key, text))
-    members, skip, most = met.select("sig", "id", "n"), 0, FIRST
+    members, skip, most = met.select("sig", "id"), 0, FIRST
+    # Sums tell how often an id is in a group, which an xor does not; those of half a hash cannot overflow.
+    halves = [F.sum(f(F.xxhash64("id", *more))).alias(f"{c}{k}") for c, more in (("h", []), ("i", [F.lit(1)])) for k, f in enumerate((lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF)))]
     while True:
-        tagged = members.join(label, "id", "left").select("sig", "id", "n", F.coalesce("component", "id").alias("component"))
+        tagged = members.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
         seen = tagged.groupBy("sig").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), F.bit_xor(F.xxhash64("id")).alias("h"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("i")
+            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *halves
         )
-        open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h", "i").agg(F.min("sig").alias("sig"))  # of groups with the same members one
-        tagged = kept(tagged.join(open_.select("sig"), "sig", "left_semi"), "open")
+        open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h0", "h1", "i0", "i1").agg(F.min("sig").alias("sig"))  # of groups with the same members one
+        tagged = kept(tagged.join(open_.select("sig"), "sig", "left_semi").distinct(), "open")
         if tagged.isEmpty():
             break
-        fresh = later_meetings(tagged.drop("n").join(own.select("id", "n", "bits"), "id"), skip, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        fresh = later_meetings(tagged.join(own.select("id", "n", "bits"), "id"), skip, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = kept(fresh, "pairs")
         if not fresh.isEmpty():
             label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(fresh, docs, key, text)))
-        members, skip, most = tagged.select("sig", "id", "n"), skip + most, most * FASTER
+        members, skip, most = tagged.select("sig", "id"), skip + most, most * FASTER
     named = sign.select("id", "h1", "h2", "n").join(copies, ["h1", "h2"], "left").join(label.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "first"))
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
