@@ -38,7 +38,10 @@ class Chain:
         if not chains:
             return []
         x, size = padded(chains, len(self.emit) - 1)
-        e = self.scores(x)
+        return self.paths(self.scores(x), size)
+
+    def paths(self, e: np.ndarray, size: np.ndarray) -> list[list[int]]:
+        """``viterbi`` on the scores (chains, steps, labels) of chains of these lengths."""
         n, steps, _ = e.shape
         best = self.first + e[:, 0]
         back = np.zeros((n, steps, e.shape[2]), np.int64)

@@ -19,6 +19,7 @@ import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import batched, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -129,7 +130,7 @@ def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
     return start + left, start + max(left, right)
 
 
-def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
+def features(text: str, run: list[tuple[int, int]]) -> Iterator[list[str]]:
     """The features of each word of a run: its shape, its neighbours', the word before the run, and tests of digits and octets."""
     head = text[max(0, run[0][0] - 40) : run[0][0]].split()
     cue = re.sub(r"[^a-z]", "", head[-1].lower()) if head else ""
@@ -137,23 +138,20 @@ def features(text: str, run: list[tuple[int, int]]) -> list[list[str]]:
     inner = [text[slice(*trimmed(text, a, b))] for a, b in run]
     digits = ["".join(filter("0123456789".__contains__, w)) for w in inner]
     plain = [bool(w) and all(c in "0123456789-" for c in w) for w in inner]
-    out = []
+    card, lo = [False] * len(inner), 0
+    for same, group in groupby(plain):  # numbers side by side are joined once
+        hi = lo + sum(1 for _ in group)
+        if same and 13 <= len(joined := "".join(digits[lo:hi])) <= 19 and luhn(joined):
+            card[lo:hi] = [True] * (hi - lo)
+        lo = hi
     for i, w in enumerate(inner):
-        lo, hi = i, i + 1
-        while plain[i] and lo and plain[lo - 1]:
-            lo -= 1
-        while plain[i] and hi < len(inner) and plain[hi]:
-            hi += 1
-        joined = "".join(digits[lo:hi])
-        card = plain[i] and 13 <= len(joined) <= 19 and luhn(joined)
         parts = w.split(".")
         ip = len(parts) == 4 and all(p.isdigit() and p.isascii() and _small(p) for p in parts)
-        out.append([
-            "bias", f"s:{shape(w)}", f"n:{min(len(digits[i]), 20)}", f"run:{min(len(run), 6)}", f"cue:{cue}", f"card:{card}", f"own:{plain[i] and 13 <= len(digits[i]) <= 19 and luhn(digits[i])}", f"ip:{ip}",
+        yield [
+            "bias", f"s:{shape(w)}", f"n:{min(len(digits[i]), 20)}", f"run:{min(len(run), 6)}", f"cue:{cue}", f"card:{card[i]}", f"own:{plain[i] and 13 <= len(digits[i]) <= 19 and luhn(digits[i])}", f"ip:{ip}",
             f"at:{'@' in w and '.' in w.partition('@')[2]}", f"plus:{w.startswith('+')}", f"par:{w.startswith('(')}",
             f"p:{shape(inner[i - 1])}" if i else "p:^", f"q:{shape(inner[i + 1])}" if i + 1 < len(inner) else "q:$",
-        ])
-    return out
+        ]
 
 
 def labelled_table(n: int = 30, seed: int = 11) -> list[tuple[str, list[Span]]]:
@@ -208,7 +206,7 @@ def model() -> tuple[crf.Chain, dict[str, int]]:
                 hit = next((s for s in spans if s[1] < b and a < s[2]), None)
                 tags.append(0 if hit is None else LABELS.index(f"{'I' if hit == open_ else 'B'}-{hit[0]}"))
                 open_ = hit
-            chains.append(features(text, run))
+            chains.append(list(features(text, run)))
             labels.append(tags)
     number = {f: i for i, f in enumerate(sorted({f for c in chains for fs in c for f in fs}))}
     inside = np.array([x[0] == "I" for x in LABELS])
@@ -217,8 +215,8 @@ def model() -> tuple[crf.Chain, dict[str, int]]:
     return crf.fit(x, labels, len(number), len(LABELS), allowed, ~inside), number
 
 
-#: Runs decoded side by side, and words of a chain; a longer run is cut, as no entity is that long.
-TOGETHER, LONGEST = 2048, 64
+#: Runs of up to LONGEST words are decoded side by side, so many at once; a longer run is decoded whole, by itself, its scores taken for SCORED words at a time.
+TOGETHER, LONGEST, SCORED = 2048, 64, 4096
 
 
 def chain_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> list[list[Span]]:
@@ -226,29 +224,41 @@ def chain_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> l
     out: list[list[Span]] = [[] for _ in texts]
     held: list[tuple[int, list[tuple[int, int]]]] = []
 
+    def numbers(i: int, run: list[tuple[int, int]]) -> Iterator[list[int]]:
+        return ([number[f] for f in fs if f in number] for fs in features(texts[i], run))
+
+    def add(i: int, run: list[tuple[int, int]], tags: list[int]) -> None:
+        t = 0
+        while t < len(run):
+            if tags[t] == 0:
+                t += 1
+                continue
+            kind, u = LABELS[tags[t]][2:], t + 1
+            while u < len(run) and LABELS[tags[u]] == f"I-{kind}":
+                u += 1
+            start, end = trimmed(texts[i], *run[t])[0], trimmed(texts[i], *run[u - 1])[1]
+            if start < end:
+                out[i].append((kind, start, end))
+            t = u
+
     def decode() -> None:
         held.sort(key=lambda r: len(r[1]))
         for low in range(0, len(held), TOGETHER):
             part = held[low : low + TOGETHER]
-            x = [[[number[f] for f in fs if f in number] for fs in features(texts[i], run)] for i, run in part]
-            for (i, run), tags in zip(part, chain.viterbi(x), strict=True):
-                t = 0
-                while t < len(run):
-                    if tags[t] == 0:
-                        t += 1
-                        continue
-                    kind, u = LABELS[tags[t]][2:], t + 1
-                    while u < len(run) and LABELS[tags[u]] == f"I-{kind}":
-                        u += 1
-                    start, end = trimmed(texts[i], *run[t])[0], trimmed(texts[i], *run[u - 1])[1]
-                    if start < end:
-                        out[i].append((kind, start, end))
-                    t = u
+            for (i, run), tags in zip(part, chain.viterbi([list(numbers(i, run)) for i, run in part]), strict=True):
+                add(i, run, tags)
         held.clear()
 
+    def decode_long(i: int, run: list[tuple[int, int]]) -> None:
+        scores = [chain.scores(crf.padded([list(some)], len(chain.emit) - 1)[0])[0] for some in batched(numbers(i, run), SCORED)]
+        add(i, run, chain.paths(np.concatenate(scores)[None], np.array([len(run)]))[0])
+
     for i, text in enumerate(texts):
         for run in words_of(text):
-            held += [(i, run[a : a + LONGEST]) for a in range(0, len(run), LONGEST)]
+            if len(run) > LONGEST:
+                decode_long(i, run)
+            else:
+                held.append((i, run))
         if len(held) >= 4 * TOGETHER:
             decode()
     decode()
