@@ -6,7 +6,7 @@ anything but blanks; fewer words make one shingle of them all). Two documents li
 comparing all pairs:
 
 1. Shingles that are frequent in the corpus are found by counting (``frequent``): class 2 from
-   FREQUENT documents on, class 3 from VERY on; all others are class 1. Which class a shingle is in
+   FREQUENT documents on, class 3 from VERY on; all others are class 1. Counts are lower bounds. Which class a shingle is in
    decides cost, never results.
 2. A set of n shingles of which at most e can be missing from a partner is cut to a prefix in one
    global order: class 1 by hash, then classes 2 and 3 by bucket. Class 1 shingles are signatures of
