@@ -10,7 +10,7 @@ searched as one stretch, so the work on a text never exceeds its length for an i
 
 The items are a stated query set: they are searched for in all documents, in blocks of BLOCK bytes.
 Defined cases: null or empty items match nothing, null or empty texts hold nothing; items of equal
-text are all reported; items of under eight bytes are matched without edits. Repeated rows are all
+text are all reported; items of under 16 bytes are matched without edits. Repeated rows are all
 kept and judged alike. Extra columns are kept by ``clean`` and dropped by ``find`` unless in ``keep``.
 """
 
