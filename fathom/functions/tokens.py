@@ -6,12 +6,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+# What counts as an indicator, in this order, and the longest word.
 OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d\d?)"
-#: What counts as an indicator, in this order.
 INDICATORS = (
     rf"{OCTET}\.{OCTET}\.{OCTET}\.{OCTET}(?:/(?:3[0-2]|[12]\d|[0-9])(?!\d))?",
     r"(?:[0-9a-fA-F]{2}:){5}[0-9a-fA-F]{2}",
@@ -23,34 +23,69 @@ INDICATORS = (
     r"[0-9a-fA-F]{32}",
     r"(?:[A-Za-z0-9\-]+\.)+(?:com|net|org|io|gov|edu|mil|int|ru|cn|uk|de|fr|jp|info|biz|co)",
 )
+LONGEST = 64
 PATTERN = "(?i)(" + "|".join(INDICATORS) + ")"
 #: The same for engines without look-ahead.
 PORTABLE = PATTERN.replace(r"(?!\d)", r"\b")
-LONGEST = 64
-LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬆ": "st"}
+
+_DOMAIN = INDICATORS[-1].replace(r"-]+\.", r"-]++\.")
+_HEX = r"[0-9a-fA-F]{32}(?:[0-9a-fA-F]{8}(?:[0-9a-fA-F]{24})?)?"
+#: The same matches in linear time. A domain can begin only where a run of its characters does or where the last match
+#: ended, as anywhere else it would have begun a character earlier; labels hold no dot, so they need no backing off; the
+#: three lengths of hashes are one, each made longer where it can be. The first test is of two characters alone.
+FAST = rf"(?i:(?=\d|[cmt][vsd\d]|[0-9a-f]{{2}})(?:{'|'.join(INDICATORS[:5])}|{_HEX})|(?:\G|(?<![A-Za-z0-9\-])){_DOMAIN})"
+#: A run of up to 31 letters in which no indicator can begin: what follows is no part of one, and the shortest hash has 32.
+PLAIN = r"\p{L}{1,31}+(?![\p{L}\p{N}_:\-]|\.[A-Za-z0-9\-])"
+#: A plain run, an indicator, or a run of letters, digits and underscores up to the next indicator.
+TOKEN = rf"{PLAIN}|{FAST}|(?:(?!{FAST})[\p{{L}}\p{{N}}_])+"
 
 
 @F.pandas_udf(StringType())
 def normal_form(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """NFKC with ligatures folded, for text that is not in that form."""
-    table = str.maketrans(LIGATURES)
+    """NFKC, which takes ligatures apart and wide forms to plain ones."""
     for s in batches:
-        yield s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t).translate(table))
+        yield s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
 
 
 def indicators(text: Column) -> Column:
     """Indicators in order of appearance, lower-cased, repeats included."""
-    return F.transform(F.regexp_extract_all(text, F.lit(PATTERN), 1), F.lower)
+    found = F.regexp_extract_all(text, F.lit(f"{PLAIN}|({FAST})"), 1)
+    return F.transform(F.filter(found, lambda x: x != ""), F.lower)
+
+
+def words(prose: Column) -> Column:
+    """Runs of 2 to LONGEST letters, digits and underscores, lower-cased."""
+    return F.transform(F.filter(F.split(prose, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w).between(2, LONGEST)), F.lower)
+
+
+#: The characters of Latin-1 that the normal form keeps, one by one, which the engine looks up in a table; all others are odd.
+STEADY = "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.normalize("NFKC", chr(c)) == chr(c))
+
+
+def is_odd(text: Column) -> Column:
+    """Whether the normal form may change a text. A run that is not given back ends at the first odd character."""
+    return ~F.coalesce(text, F.lit("")).rlike(rf"\A[{STEADY}]*+\z")
+
+
+def tokenize(text: Column, prose: Column | None = None) -> Column:
+    """The bag of tokens of a text: indicators whatever their length, and words of 2 to LONGEST characters, all lower-cased.
 
+    Null has none. One pass: only a domain can be longer than LONGEST, and a word has no dot. Where ``prose`` is given,
+    words are those of it, and the text gives indicators alone."""
+    if prose is not None:
+        return F.concat(indicators(text), words(prose))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
+    kept = F.filter(found, lambda w: (F.length(w) >= 2) & ((F.length(w) <= LONGEST) | F.contains(w, F.lit("."))))
+    return F.transform(kept, F.lower)
 
-def prose_words(text: Column) -> Column:
-    """Words of 2 to LONGEST characters outside indicators, lower-cased."""
-    words = F.split(F.regexp_replace(text, PATTERN, " "), r"[^\p{L}\p{N}_]+")
-    return F.transform(F.filter(words, lambda w: F.length(w).between(2, LONGEST)), F.lower)
 
+def tokenized(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the tokens of a text column, its words in NFKC.
 
-def tokenize(text: Column, normalize: bool = False) -> Column:
-    """The bag of tokens of a text. ``normalize`` runs the Python normal form over it: needed only for text not in NFKC."""
-    text = F.coalesce(text, F.lit(""))
-    prose = normal_form(F.regexp_replace(text, PATTERN, " ")) if normalize else text
-    return F.concat(indicators(text), prose_words(prose))
+    Only texts with an odd character need Python. They go their own way behind an exchange, so that a table without any,
+    which shows there, starts none; both ways read the table, which costs little beside the pattern."""
+    odd = is_odd(F.col(text))
+    plain = df.where(~odd).withColumn(name, tokenize(F.col(text)))
+    prose = normal_form(F.regexp_replace(F.col(text), FAST, " "))
+    rest = df.where(odd).repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("_prose", prose)
+    return plain.unionByName(rest.withColumn(name, tokenize(F.col(text), F.col("_prose"))).drop("_prose"))

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.text import chunk_id, chunk_strategy, clean, strip
+from fathom.operators.layout import spread
 
 CHARS = 4
 TARGET, OVERLAP = 600, 80
 
 
-def fixed_starts(text: Column, target: int, overlap: int) -> Column:
-    step = target - overlap
-    return F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step))).otherwise(F.array(F.lit(0)))
-
-
-def fixed_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Windows of ``target`` tokens (of CHARS characters), each starting ``overlap`` before the last one's end."""
+def steps(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """The text cut where fixed windows start."""
     if overlap >= target:
         raise ValueError("overlap must be less than target")
-    wide = target * CHARS
-    return F.transform(fixed_starts(text, wide, overlap * CHARS), lambda s: F.substring(text, s + 1, F.lit(wide)))
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{(target - overlap) * CHARS}}}+"), 0)
+
+
+def fixed_chunks(parts: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """Windows of ``target`` tokens (of CHARS characters), each starting ``overlap`` before the last one's end, joined from a text's steps."""
+    reach = -(-target // (target - overlap))
+    return F.transform(parts, lambda _, i: F.substring(F.array_join(F.slice(parts, i + 1, reach), ""), 1, target * CHARS))
 
 
 def sentences(text: Column) -> Column:
@@ -61,8 +62,8 @@ def sentence_ranges(parts: Column, target: int, overlap: int) -> Column:
     return F.aggregate(parts, start, step, lambda a: F.array_append(a["done"], F.struct(a["first"].alias("first"), a["i"].alias("last"))))
 
 
-def semantic_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    parts = sentences(text)
+def semantic_chunks(parts: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
+    """Runs of whole sentences; ``parts`` are a text's sentences."""
     ranges = sentence_ranges(parts, target * CHARS, overlap * CHARS)
     return F.transform(ranges, lambda r: F.array_join(F.slice(parts, r["first"], r["last"] - r["first"] + 1), " "))
 
@@ -70,12 +71,18 @@ def semantic_chunks(text: Column, target: int = TARGET, overlap: int = OVERLAP)
 def chunk(docs: DataFrame, strategy: str | None = None, target: int = TARGET, overlap: int = OVERLAP, content: str = "content") -> DataFrame:
     """One row a chunk: the document's columns (``id`` as parent_doc_id), id, chunk_index and content.
 
-    Without a strategy each row's source picks one. Blank documents have no chunks."""
-    text = clean(F.col(content))
-    made = {"structured": F.array(text), "fixed": fixed_chunks(text, target, overlap), "semantic": semantic_chunks(text, target, overlap)}
+    Without a strategy each row's source picks one. Blank documents have no chunks. A text is cleaned and cut in a
+    projection of its own, so that the expressions over its parts read a column and take time in proportion to it."""
+    text, parts = clean(F.col(content)), F.col("_parts")
+    cut = {"structured": F.array(text), "fixed": steps(text, target, overlap), "semantic": sentences(text)}
+    made = {"structured": parts, "fixed": fixed_chunks(parts, target, overlap), "semantic": semantic_chunks(parts, target, overlap)}
     if strategy is not None and strategy not in made:
         raise ValueError(f"unknown strategy {strategy!r}")
-    parts = made[strategy] if strategy else F.when(chunk_strategy(F.col("source")) == "structured", made["structured"]).otherwise(made["semantic"])
+    by_source = lambda m: F.when(chunk_strategy(F.col("source")) == "structured", m["structured"]).otherwise(m["semantic"])
+    parts_of, chunks_of = (cut[strategy], made[strategy]) if strategy else (by_source(cut), by_source(made))
     others = [c for c in docs.columns if c not in ("id", content, "parent_doc_id", "chunk_index")]
-    rows = docs.where(text.isNotNull()).select(F.col("id").alias("parent_doc_id"), *others, F.posexplode(parts).alias("chunk_index", "content"))
+    rows = spread(docs).select(F.col("id").alias("parent_doc_id"), *others, parts_of.alias("_parts"))
+    # A blank text's parts are null or hold a null alone: the test is on what was cut, not on the text, which would clean it twice.
+    whole = F.when(F.try_element_at(parts, F.lit(1)).isNotNull(), chunks_of)
+    rows = rows.select("parent_doc_id", *others, F.posexplode(whole).alias("chunk_index", "content"))
     return rows.select(chunk_id(F.col("parent_doc_id"), F.col("chunk_index")).alias("id"), "*")

@@ -10,55 +10,89 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from fathom.functions.tokens import tokenize
+from fathom.functions.tokens import tokenize, tokenized
+from fathom.operators.layout import spread
 
 K1, B = 1.5, 0.75
 RRF_K = 60
 
 
-def term_counts(docs: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(key, term, tf, dl): how often each term occurs, and how many tokens the document has."""
-    rows = docs.select(key, tokenize(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+#: The term of the row that stands for a document as a whole; no token is empty.
+WHOLE = ""
+
+
+def term_counts(docs: DataFrame, key: str = "chunk_id", text: str = "content", only: DataFrame | None = None) -> DataFrame:
+    """(key, dl, term, tf): how often each term occurs, and how many tokens the document has; one row more for each
+    document, its term WHOLE, so that one pass gives lengths too. ``only`` (term) keeps the rows of some terms, as
+    queries that name theirs need no others."""
+    rows = tokenized(spread(docs.select(key, text)), text, "t")
+    rows = rows.select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(WHOLE))).alias("term"))
+    if only is not None:
+        rows = rows.join(only.select("term").distinct().unionByName(only.sparkSession.createDataFrame([(WHOLE,)], "term string")), "term", "left_semi")
     return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25_terms(counts: DataFrame, stats: DataFrame) -> DataFrame:
-    """(term, df, idf); ``stats`` is one row."""
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+def frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
+    """(term, df): in how many documents each term occurs; rows combine before the shuffle, which moves the vocabulary alone."""
+    return tokenized(spread(docs.select(text)), text, "t").select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def bm25_stats(docs: DataFrame, text: str = "content") -> DataFrame:
+    """One row: num_docs and avgdl."""
+    return _stats(tokenized(spread(docs.select(text)), text, "t").select(F.size("t").alias("dl")))
+
+
+def _stats(lengths: DataFrame) -> DataFrame:
+    return lengths.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
+
+
+def bm25_terms(df: DataFrame, stats: DataFrame) -> DataFrame:
+    """(term, df, idf) of (term, df); ``stats`` is one row with num_docs."""
     idf = F.log((F.col("num_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    return df.crossJoin(F.broadcast(stats)).select("term", "df", idf.alias("idf"))
+    return df.crossJoin(F.broadcast(stats.select("num_docs"))).select("term", "df", idf.alias("idf"))
 
 
-def bm25_stats(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row: num_docs and avgdl. Lengths come from the term counts, so that a plan tokenizes the documents once."""
-    total = counts.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens"))
-    n = docs.agg(F.count("*").alias("num_docs")).crossJoin(F.broadcast(total))
-    return n.select("num_docs", (F.col("tokens") / F.greatest("num_docs", F.lit(1))).alias("avgdl"))
+def bm25_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(terms, stats) of term counts, which are used several times: a written table, not a plan."""
+    stats = _stats(counts.where(F.col("term") == WHOLE))
+    return bm25_terms(counts.where(F.col("term") != WHOLE).groupBy("term").agg(F.count("*").alias("df")), stats), stats
 
 
 def postings(counts: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(term, key, weight): the document side of the sparse product."""
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
-    rows = counts.join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    rows = counts.where(F.col("term") != WHOLE).join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
     return rows.select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
+def asked_terms(queries: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
+    """(query, term): the distinct terms of each query."""
+    return tokenized(queries.select(key, text), text, "t").select(key, F.explode(F.array_distinct("t")).alias("term"))
+
+
 def query_terms(queries: DataFrame, terms: DataFrame, key: str = "query_id", text: str = "text") -> DataFrame:
     """(query, term, idf) of the distinct known terms."""
-    rows = queries.select(key, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("term"))
-    return rows.join(terms.select("term", "idf"), "term")
+    return asked_terms(queries, key, text).join(terms.select("term", "idf"), "term")
+
+
+#: Decimal places to which scores are compared: sums of one document's parts differ beyond them with the order of the parts.
+PLACES, FUSED_PLACES = 9, 12
 
 
-def ranked(scores: DataFrame, k: int | None = None, query: str = "query_id", key: str = "chunk_id", ties: list[Column] | None = None) -> DataFrame:
-    """``scores`` with 0-based ``rank``; ties go to the lesser key unless told otherwise."""
-    order = Window.partitionBy(query).orderBy(F.desc("score"), *(ties or []), F.col(key))
-    out = scores.withColumn("rank", F.row_number().over(order) - 1)
-    return out if k is None else out.where(F.col("rank") < k)
+def ranked(scores: DataFrame, k: int | None = None, query: str = "query_id", key: str = "chunk_id", ties: list[Column] | None = None, places: int = PLACES) -> DataFrame:
+    """``scores`` with 0-based ``rank``; scores equal to ``places`` are ties, which go to the lesser key unless told otherwise.
+
+    The limit is on the bare row number, by which Spark cuts each task's rows before the shuffle."""
+    order = Window.partitionBy(query).orderBy(F.desc(F.rint(F.col("score") * 10**places)), *(ties or []), F.col(key))
+    out = scores.withColumn("rank", F.row_number().over(order))
+    return (out if k is None else out.where(F.col("rank") <= k)).withColumn("rank", F.col("rank") - 1)
 
 
 def sparse_scores(queries: DataFrame, weights: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
-    """Products of query and document weights, summed; a document without a common term has no row."""
-    rows = weights.join(queries, "term")
+    """Products of query and document weights, summed; a document without a common term has no row.
+
+    Postings are dealt by document, so that a pair's parts meet where they are made and only the postings are shuffled."""
+    rows = weights.repartition(key).join(queries, "term")
     return rows.groupBy(query, key).agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
 
 
@@ -74,8 +108,10 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
     """The exact k best of each query by cosine, candidates pruned to k within every batch before they are ranked.
 
     The queries are a stated set, taken in blocks of QUERY_BLOCK; a block's matrix goes to the tasks,
-    which read each vector once. Zero vectors score 0; vectors of another length than the query's are no candidates."""
-    qs = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).orderBy("q")
+    which read each vector once. Zero vectors score 0; vectors of another length than the query's are no candidates.
+    A query without a vector has no results. A matrix is bounded by QUERY_BLOCK rows and the vectors' length; queries of
+    several lengths make a block for each."""
+    qs = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL").orderBy(F.size("v"), "q")
     kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
     kind, parts, held = to_arrow_type(queries.schema[query].dataType), [], []
 
@@ -104,10 +140,10 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
         return vectors.select(key, vector).mapInArrow(work, kinds)
 
     for r in qs.toLocalIterator():
-        held.append(r)
-        if len(held) == QUERY_BLOCK:
+        if len(held) == QUERY_BLOCK or held and len(held[0]["v"]) != len(r["v"]):
             parts.append(block(held))
             held = []
+        held.append(r)
     if held or not parts:
         parts.append(block(held) if held else vectors.sparkSession.createDataFrame([], kinds))
     out = parts[0]
@@ -129,7 +165,7 @@ def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, query: str = "que
     for r in rows[1:]:
         all_ = all_.unionByName(r)
     total = all_.groupBy(query, key).agg(F.sum("part").alias("score"), F.min("seen").alias("seen"))
-    return ranked(total, None, query, key, [F.col("seen.list"), F.col("seen.rank")]).drop("seen")
+    return ranked(total, None, query, key, [F.col("seen.list"), F.col("seen.rank")], FUSED_PLACES).drop("seen")
 
 
 def overlap_score(query: Column, content: Column) -> Column:

@@ -13,6 +13,7 @@ from fathom.functions.render import candidate_lines
 from fathom.functions.text import actor_name, cited_ids, technique, technique_ids
 from fathom.operators import retrieval as R
 from fathom.plans.settings import Settings, alpha, get_settings
+from fathom.sinks import materialized
 
 Search = Callable[[DataFrame, int], DataFrame]
 
@@ -33,16 +34,19 @@ class Index:
     weights: DataFrame
 
 
-def build_index(chunks: DataFrame) -> Index:
-    counts = R.term_counts(chunks)
-    stats = R.bm25_stats(chunks, counts)
-    terms = R.bm25_terms(counts, stats)
+def build_index(chunks: DataFrame, asked: DataFrame | None = None) -> Index:
+    """An index over all terms, or over those of the queries in ``asked`` (query_id, text). Chunks are tokenized once.
+
+    Counts, terms and vocabulary are written tables, of which Spark knows the size: it broadcasts those that are small."""
+    only = None if asked is None else materialized(R.asked_terms(asked).select("term").distinct(), "asked")
+    counts = materialized(R.term_counts(chunks, only=only), "counts")
+    terms, stats = (materialized(df, name) for df, name in zip(R.bm25_tables(counts), ("terms", "stats"), strict=True))
     return Index(chunks, terms, stats, R.postings(counts, terms, stats))
 
 
 def sparse_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank). Queries without a known term have no rows."""
-    terms = R.query_terms(queries, index.terms)
+    terms = materialized(R.query_terms(queries, index.terms), "query-terms")
     return R.ranked(R.sparse_scores(terms, index.weights), k)
 
 

@@ -46,11 +46,11 @@ def dangling_edges(spark, d):
     return rows.agg(F.count_if("hit").alias("resolved"), F.count_if(F.col("hit").isNull()).alias("dangling"))
 
 
-def _bundle(spark, d, whole=False):
-    """Customers as groups, suppliers as software, parts as techniques: who uses what through the orders' lines. All of them, or the first of each."""
-    customer = table(spark, d, "customer").where("true" if whole else "c_custkey <= 40")
+def _bundle(spark, d):
+    """Customers as groups, suppliers as software, parts as techniques: who uses what through the orders' lines."""
+    customer = table(spark, d, "customer")
     none, off = F.lit(None).cast("array<struct<kill_chain_name:string,phase_name:string>>"), F.lit(False)
-    part = table(spark, d, "part").where("true" if whole else "p_partkey <= 400")
+    part = table(spark, d, "part")
     phase = F.array(F.struct(F.lit("c").alias("kill_chain_name"), F.concat(F.lit("t"), (F.col("p_partkey") % 3).cast("string")).alias("phase_name")))
     nodes = (
         customer.select(F.concat(F.lit("g--"), F.col("c_custkey").cast("string")).alias("id"), F.lit("intrusion-set").alias("type"), F.lit(None).cast("string").alias("external_id"), none.alias("phases"), off.alias("revoked"), off.alias("deprecated"))
@@ -69,29 +69,20 @@ def _bundle(spark, d, whole=False):
 
 
 GRAPH = """
-t AS (SELECT p_partkey AS p, 'T' || (p_partkey % 90 + 1000) AS technique FROM part WHERE p_partkey <= 400 AND p_partkey % 10 <> 0 AND p_partkey % 3 = 1),
+t AS (SELECT p_partkey AS p, 'T' || (p_partkey % 90 + 1000) AS technique FROM part WHERE p_partkey % 10 <> 0 AND p_partkey % 3 = 1),
 u AS (SELECT DISTINCT o_custkey AS c, l_partkey, l_suppkey, l_linenumber FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
-hop1 AS (SELECT c, technique FROM u JOIN t ON l_partkey = p WHERE l_linenumber = 1 AND c <= 40),
-hop2 AS (SELECT c, technique FROM (SELECT DISTINCT c, l_suppkey AS s FROM u WHERE l_linenumber = 2 AND c <= 40) JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey FROM u WHERE l_linenumber = 3) USING (s) JOIN t ON l_partkey = p)"""
+hop1 AS (SELECT c, technique FROM u JOIN t ON l_partkey = p WHERE l_linenumber = 1),
+hop2 AS (SELECT c, technique FROM (SELECT DISTINCT c, l_suppkey AS s FROM u WHERE l_linenumber = 2) JOIN (SELECT DISTINCT l_suppkey AS s, l_partkey FROM u WHERE l_linenumber = 3) USING (s) JOIN t ON l_partkey = p)"""
 
 
-TWO_HOP = f"""WITH {GRAPH}, a AS (SELECT c, technique, true AS direct FROM hop1 UNION ALL SELECT c, technique, false FROM hop2)
-SELECT 'g--' || c AS actor, 't1' AS tactic, technique, bool_or(direct) AS direct, bool_or(NOT direct) AS via_software FROM a GROUP BY ALL"""
-
-
-@query(TWO_HOP)
-def two_hop_traversal(spark, d, whole=False):
-    nodes, edges, customer = _bundle(spark, d, whole)
+@query(f"""WITH {GRAPH}, a AS (SELECT c, technique, true AS direct FROM hop1 UNION ALL SELECT c, technique, false FROM hop2)
+SELECT 'g--' || c AS actor, 't1' AS tactic, technique, bool_or(direct) AS direct, bool_or(NOT direct) AS via_software FROM a GROUP BY ALL""")
+def two_hop_traversal(spark, d):
+    nodes, edges, customer = _bundle(spark, d)
     actors = customer.select(F.concat(F.lit("g--"), F.col("c_custkey").cast("string")).alias("actor"), F.lit("t1").alias("tactic"))
     return G.gold_techniques(actors, nodes, edges)
 
 
-@query(TWO_HOP.replace("p_partkey <= 400 AND ", "").replace(" AND c <= 40", ""))
-def two_hop_traversal_every(spark, d):
-    """Over all customers and all parts."""
-    return two_hop_traversal(spark, d, whole=True)
-
-
 @query("""WITH q(query) AS (VALUES ('Supplier#000000001'), (' supplier#000000002 '), ('alias-3'), ('ias-44'), ('alias-5'), ('nothing'), ('')),
 n AS (SELECT s_suppkey AS id, lower(s_name) AS name, 'alias-' || s_suppkey AS alias FROM supplier),
 k AS (SELECT query, lower(trim(query)) AS key FROM q),
@@ -107,8 +98,8 @@ def prioritised_match(spark, d):
     return G.match_names(asked, names)
 
 
-VERDICTS = """WITH RECURSIVE al AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS b FROM nation WHERE n_nationkey < 20),
-re AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation WHERE n_nationkey < 15),
+VERDICTS = """WITH RECURSIVE al AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey, n_nationkey % 2 ORDER BY n_nationkey) AS b FROM nation),
+re AS (SELECT n_name AS a, lag(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS b FROM nation),
 ea AS (SELECT a, b FROM al WHERE b IS NOT NULL UNION SELECT b, a FROM al WHERE b IS NOT NULL),
 er AS (SELECT * FROM ea UNION SELECT a, b FROM re WHERE b IS NOT NULL UNION SELECT b, a FROM re WHERE b IS NOT NULL),
 ca(a, b) AS (SELECT a, b FROM ea UNION SELECT ca.a, ea.b FROM ca JOIN ea ON ca.b = ea.a),
@@ -117,22 +108,17 @@ SELECT x.n_name AS a, y.n_name AS b, CASE WHEN EXISTS (SELECT 1 FROM ca WHERE a
 
 
 @query(VERDICTS)
-def actor_components(spark, d, whole=False):
+def actor_components(spark, d):
+    """One region and parity is C, one region alone P, two regions I."""
     nation = table(spark, d, "nation").select("n_nationkey", "n_regionkey", "n_name")
     before = lambda *by: F.lag("n_name").over(Window.partitionBy(*by).orderBy("n_nationkey"))
     shape = lambda df, kind: G.actor_edges(df.where("b IS NOT NULL").select(F.col("n_name").alias("name"), F.array("b").alias("others"), F.col("n_nationkey").alias("position")), kind)
-    aliases = shape(nation.where("true" if whole else "n_nationkey < 20").withColumn("b", before("n_regionkey", F.col("n_nationkey") % 2)), "alias")
-    related = shape(nation.where("true" if whole else "n_nationkey < 15").withColumn("b", before("n_regionkey")), "related")
+    aliases = shape(nation.withColumn("b", before("n_regionkey", F.col("n_nationkey") % 2)), "alias")
+    related = shape(nation.withColumn("b", before("n_regionkey")), "related")
     names = nation.select(F.col("n_name").alias("a"))
     return G.actor_verdicts(names.crossJoin(F.broadcast(names.withColumnRenamed("a", "b"))), aliases, related)
 
 
-@query(VERDICTS.replace(" WHERE n_nationkey < 20", "").replace(" WHERE n_nationkey < 15", ""))
-def actor_components_every(spark, d):
-    """With edges from all nations: one region and parity is C, one region alone P, two regions I."""
-    return actor_components(spark, d, whole=True)
-
-
 @query("SELECT l_returnflag AS src_type, l_linestatus AS rel, l_linenumber::VARCHAR AS dst_type, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY ALL")
 def edge_stats(spark, d):
     edges = table(spark, d, "lineitem").select(F.concat("l_returnflag", F.lit("--x")).alias("src"), F.col("l_linestatus").alias("rel"), F.concat(F.col("l_linenumber").cast("string"), F.lit("--y")).alias("dst"))

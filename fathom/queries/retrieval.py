@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from fathom.operators import metrics as M
 from fathom.operators import retrieval as R
+from fathom.operators.layout import spread
+from fathom.plans.retrieval import Pipeline, build_index, of_sources, sparse_search
+from fathom.plans.settings import Settings
 from fathom.queries import query, table
 from fathom.queries.text import IOC, TOKENS
 
@@ -23,100 +26,82 @@ ss AS (SELECT item_id, doc_id, sum(idf * weight) AS score FROM qt JOIN terms USI
 sparse AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM ss)"""
 
 
-def _index(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    counts = R.term_counts(docs, CHUNK)
-    stats = R.bm25_stats(docs, counts)
-    terms = R.bm25_terms(counts, stats)
-    return docs, stats, counts, terms
-
-
-def _sparse(spark, d, k):
-    docs, stats, counts, terms = _index(spark, d)
-    queries = table(spark, d, "benchmark").select("item_id", "text")
-    wanted = R.query_terms(queries, terms, "item_id")
-    # Postings are wanted for query terms only, so counts are cut to these before their weights are made.
-    few = counts.join(wanted.select("term").distinct(), "term", "left_semi")
-    scores = R.sparse_scores(wanted, R.postings(few, terms, stats, CHUNK), "item_id", CHUNK).withColumn("score", F.round("score", 9))
-    return R.ranked(scores, k, "item_id", CHUNK)
+def _docs(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
 
 
 @query(f"WITH {COUNTS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_terms(spark, d):
-    return _index(spark, d)[3].select("term", "df", F.round("idf", 6).alias("idf"))
+    docs = _docs(spark, d)
+    found = R.bm25_terms(R.frequencies(docs), docs.agg(F.count("*").alias("num_docs")))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(f"WITH {COUNTS} SELECT num_docs, round(avgdl, 6) AS avgdl FROM stats")
 def bm25_stats(spark, d):
-    return _index(spark, d)[1].select("num_docs", F.round("avgdl", 6).alias("avgdl"))
+    return R.bm25_stats(_docs(spark, d)).select("num_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
 @query(f"WITH {COUNTS} SELECT doc_id, count(*) AS n, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM post GROUP BY doc_id")
 def bm25_doc_vectors(spark, d):
-    _, stats, counts, terms = _index(spark, d)
-    return R.postings(counts, terms, stats, CHUNK).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+    index = build_index(_docs(spark, d).withColumnRenamed("doc_id", "chunk_id"))
+    by = index.weights.groupBy(F.col("chunk_id").alias("doc_id"))
+    return by.agg(F.count("*").alias("n"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
+
+
+def _asked(spark, d):
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 @query(f"WITH {COUNTS}, {QTERMS} SELECT item_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM sparse WHERE rank < 10")
 def sparse_topk(spark, d):
-    return _sparse(spark, d, 10).select("item_id", "doc_id", F.round("score", 5).alias("score"), "rank")
-
+    asked = _asked(spark, d)
+    found = sparse_search(build_index(_docs(spark, d).withColumnRenamed("doc_id", "chunk_id")), asked, 10)
+    return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
-QUERIES_N, EVERY = 20, 100
-#: Which vectors are searched for: those that the SQL twins name, and the set that grows with the table.
-FIRST, WHOLE = f"vec_id < {QUERIES_N}", f"vec_id % {EVERY} = 0"
-DENSE = f"""
-dense AS (
-  SELECT q.vec_id AS qid, e.vec_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) / sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]) * list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) AS score,
-    e.label, q.label AS gold FROM embeddings q, embeddings e WHERE q.vec_id < {QUERIES_N}),
-dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM dense)"""
 
+#: The vectors that are searched for: a set that grows with the table.
+ASKED = "vec_id % 100 = 0"
 
-def search(sql: str):
-    """Register a search over the ids that its SQL names, and as ``NAME_every`` over every id divisible by EVERY."""
 
-    def add(f):
-        def whole(spark, d):
-            return f(spark, d, WHOLE)
+def _cosine(name: str, vector: str) -> str:
+    """A list of the scores of all vectors for those asked, by a part of the embedding or all of it."""
+    a, b = f"q.{vector}::DOUBLE[]", f"e.{vector}::DOUBLE[]"
+    return f"""{name} AS (
+  SELECT q.vec_id AS qid, e.vec_id, coalesce(list_dot_product({a}, {b}) / nullif(sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})), 0), 0) AS score,
+    e.label, q.label AS gold FROM embeddings q, embeddings e WHERE q.{ASKED})"""
 
-        whole.__name__ = f"{f.__name__}_every"
-        query(sql.replace(f"vec_id < {QUERIES_N}", WHOLE))(whole)
-        return query(sql)(f)
 
-    return add
+DENSE = f"""{_cosine("dense", "embedding")},
+  dr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM dense)"""
 
 
-def _dense(spark, d, k, only=None, asked=FIRST):
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    queries = rows.where(asked).select(F.col("vec_id").alias("qid"), "vector")
-    base = rows if only is None else rows.where(only)
-    scores = R.dense_scores(queries, base, k, "qid", "vec_id").withColumn("score", F.round("score", 9))
-    return R.ranked(scores, k, "qid", "vec_id"), rows
+def _dense(spark, d, k, only=None, dims=None):
+    """The k best of each vector asked for, by the first ``dims`` numbers or all, and the table."""
+    vector = F.col("embedding") if dims is None else F.slice("embedding", 1, dims)
+    rows = table(spark, d, "embeddings").select("vec_id", vector.alias("vector"), "label")
+    queries = rows.where(ASKED).select(F.col("vec_id").alias("qid"), "vector")
+    base = rows if only is None else of_sources(rows, only, "label")
+    return R.ranked(R.dense_scores(queries, base, k, "qid", "vec_id"), k, "qid", "vec_id"), rows
 
 
-@search(f"WITH {DENSE} SELECT qid, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10")
-def dense_topk(spark, d, asked=FIRST):
-    return _dense(spark, d, 10, asked=asked)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+@query(f"WITH {DENSE} SELECT qid, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10")
+def dense_topk(spark, d):
+    return _dense(spark, d, 10)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-@search(f"""WITH {DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS r FROM dense WHERE label IN (1, 3, 5))
+@query(f"""WITH {DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS r FROM dense WHERE label IN (1, 3, 5))
 SELECT qid, vec_id, round(score, 6) AS score, r::INT AS rank FROM f WHERE r < 10""")
-def dense_topk_filtered(spark, d, asked=FIRST):
-    return _dense(spark, d, 10, F.col("label").isin(1, 3, 5), asked)[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+def dense_topk_filtered(spark, d):
+    return _dense(spark, d, 10, [1, 3, 5])[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
-TWO = f"""{DENSE},
-other AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY abs(vec_id - qid), vec_id) - 1 AS rank FROM dense),
+HALF = 8
+TWO = f"""{DENSE}, {_cosine("part", f"embedding[1:{HALF}]")},
+other AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM part),
 lists AS (SELECT qid, vec_id, rank, 0 AS l FROM dr WHERE rank < 30 UNION ALL SELECT qid, vec_id, rank, 1 FROM other WHERE rank < 30)"""
 
 
-def _two(spark, d, asked):
-    first, rows = _dense(spark, d, 30, asked=asked)
-    near = rows.select("vec_id").crossJoin(F.broadcast(rows.where(asked).select(F.col("vec_id").alias("qid"))))
-    second = R.ranked(near.withColumn("score", -F.abs(F.col("vec_id") - F.col("qid")).cast("double")), 30, "qid", "vec_id")
-    return first, second
-
-
 def _fused_sql(a: float, b: float) -> str:
     keep = "" if a and b else f"WHERE l = {0 if a else 1}"
     return f"""WITH {TWO}, s AS (SELECT qid, vec_id, sum(CASE l WHEN 0 THEN {a} ELSE {b} END / (60 + rank + 1)) AS score, min(struct_pack(l := l, r := rank)) AS seen FROM lists {keep} GROUP BY ALL),
@@ -124,50 +109,72 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DE
 SELECT qid, vec_id, round(score, 9) AS score, rank::INT AS rank FROM r WHERE rank < 20"""
 
 
-def _fused(spark, d, a, b, asked):
-    first, second = _two(spark, d, asked)
-    return R.fuse([(first, a), (second, b)], 60, "qid", "vec_id").where("rank < 20").select("qid", "vec_id", F.round("score", 9).alias("score"), "rank")
+def _fused(spark, d, a, b):
+    lists = [(_dense(spark, d, 30)[0], a), (_dense(spark, d, 30, dims=HALF)[0], b)]
+    return R.fuse(lists, 60, "qid", "vec_id").where("rank < 20").select("qid", "vec_id", F.round("score", 9).alias("score"), "rank")
 
 
-@search(_fused_sql(0.5, 0.5))
-def rrf_fuse(spark, d, asked=FIRST):
-    return _fused(spark, d, 0.5, 0.5, asked)
+@query(_fused_sql(0.5, 0.5))
+def rrf_fuse(spark, d):
+    return _fused(spark, d, 0.5, 0.5)
 
 
-@search(_fused_sql(0.8, 0.2))
-def rrf_weighted(spark, d, asked=FIRST):
-    return _fused(spark, d, 0.8, 0.2, asked)
+@query(_fused_sql(0.8, 0.2))
+def rrf_weighted(spark, d):
+    return _fused(spark, d, 0.8, 0.2)
 
 
-@search(_fused_sql(0.0, 1.0))
-def rrf_zero_weight(spark, d, asked=FIRST):
-    return _fused(spark, d, 0.0, 1.0, asked)
+@query(_fused_sql(0.0, 1.0))
+def rrf_zero_weight(spark, d):
+    return _fused(spark, d, 0.0, 1.0)
 
 
+#: How often each of these stands in a text is a vector that both engines make.
+LETTERS = "etaonisrldu.,"
+LETTER_SQL = "[" + ", ".join(f"(length(text) - length(replace(text, '{c}', '')))::DOUBLE" for c in LETTERS) + "]"
 HYBRID = f"""{COUNTS}, {QTERMS},
-near AS (SELECT b.item_id, d.doc_id, row_number() OVER (PARTITION BY b.item_id ORDER BY abs(length(d.text) - length(b.text)), d.doc_id) - 1 AS rank FROM benchmark b, documents d),
+dv AS (SELECT doc_id, {LETTER_SQL} AS v FROM documents), qv AS (SELECT item_id, {LETTER_SQL} AS v FROM benchmark),
+cs AS (SELECT item_id, doc_id, coalesce(list_dot_product(q.v, d.v) / nullif(sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v)), 0), 0) AS score FROM qv q, dv d),
+near AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) - 1 AS rank FROM cs),
 both_ AS (SELECT item_id, doc_id, rank, 0 AS l FROM near WHERE rank < 150 UNION ALL SELECT item_id, doc_id, rank, 1 FROM sparse WHERE rank < 150),
 f AS (SELECT item_id, doc_id, sum(0.5 / (60 + rank + 1)) AS score, min(struct_pack(l := l, r := rank)) AS seen FROM both_ GROUP BY ALL),
 fr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, seen.l, seen.r, doc_id) - 1 AS rank FROM f),
 qn AS (SELECT item_id, count(*) AS n FROM qt GROUP BY item_id),
 ov AS (SELECT fr.item_id, fr.doc_id, fr.rank, coalesce(h.c, 0) / qn.n AS score FROM fr JOIN qn USING (item_id)
   LEFT JOIN (SELECT item_id, doc_id, count(*) AS c FROM qt JOIN (SELECT DISTINCT doc_id, term FROM tf) USING (term) GROUP BY ALL) h USING (item_id, doc_id) WHERE fr.rank < 50),
-rr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, rank, doc_id) - 1 AS final FROM ov)"""
+rr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, rank, doc_id) - 1 AS final FROM ov)"""
+
+
+def letters(text):
+    """The counts of LETTERS."""
+    return F.array(*[(F.length(text) - F.length(F.replace(text, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 
 
-def _hybrid(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    queries = table(spark, d, "benchmark").select("item_id", "text")
-    pairs = docs.select("doc_id", F.length("content").alias("n")).crossJoin(F.broadcast(queries.select("item_id", F.length("text").alias("m"))))
-    near = R.ranked(pairs.select("item_id", "doc_id", (-F.abs(F.col("n") - F.col("m"))).cast("double").alias("score")), 150, "item_id", "doc_id")
-    fused = R.fuse([(near, 0.5), (_sparse(spark, d, 150), 0.5)], 60, "item_id", "doc_id").where("rank < 50")
-    rows = fused.join(docs, "doc_id").join(F.broadcast(queries), "item_id")
-    return R.rerank(rows, R.overlap_score(F.col("text"), F.col("content")), "item_id", "doc_id")
+def _hybrid(spark, d, k):
+    """The composed pipeline with its defaults: 150 from either side, fused, the 50 best scored again."""
+    chunks = spread(table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", F.col("text").alias("content"))).withColumn("vector", letters(F.col("content")))
+    asked = _asked(spark, d).withColumn("vector", letters(F.col("text")))
+    pipeline = Pipeline(build_index(chunks, asked.select("query_id", "text")), Settings(), score=R.overlap_score)
+    return pipeline.run(asked, k)
 
 
 @query(f"WITH {HYBRID} SELECT item_id, rr.doc_id, round(score, 6) AS score, final::INT AS rank, substr(d.text, 1, 40) AS head FROM rr JOIN documents d USING (doc_id) WHERE final < 10")
 def hybrid_pipeline(spark, d):
-    return _hybrid(spark, d).where("rank < 10").select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank", F.substring("content", 1, 40).alias("head"))
+    return _hybrid(spark, d, 10).select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank", F.substring("content", 1, 40).alias("head"))
+
+
+@query(f"""WITH {COUNTS}, {QTERMS}, qn AS (SELECT item_id, count(*) AS n FROM qt GROUP BY item_id),
+ov AS (SELECT s.item_id, s.doc_id, s.rank, h.c / qn.n AS score FROM sparse s JOIN qn USING (item_id)
+  JOIN (SELECT item_id, doc_id, count(*) AS c FROM qt JOIN (SELECT DISTINCT doc_id, term FROM tf) USING (term) GROUP BY ALL) h USING (item_id, doc_id) WHERE s.rank < 30)
+SELECT item_id, doc_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, rank, doc_id) - 1)::INT AS rank FROM ov""")
+def rerank_surrogate(spark, d):
+    """The 30 best by terms, scored anew by the share of the query's terms that they hold."""
+    asked = _asked(spark, d)
+    docs = _docs(spark, d).withColumnRenamed("doc_id", "chunk_id")
+    found = sparse_search(build_index(docs, asked), asked, 30)
+    pairs = found.join(docs, "chunk_id").join(asked, "query_id")
+    again = R.rerank(pairs, R.overlap_score(F.col("text"), F.col("content")))
+    return again.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {HYBRID}, m AS (SELECT item_id, final, contains(d.text, b.text) AS match FROM rr JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)),
@@ -175,16 +182,18 @@ q AS (SELECT b.item_id, CASE WHEN b.item_id % 2 = 0 THEN 'even' ELSE 'odd' END A
   coalesce(1.0 / min(CASE WHEN match AND final < 10 THEN final + 1 END), 0) AS rr FROM benchmark b CROSS JOIN (VALUES (1), (5), (10)) t(k) LEFT JOIN m ON m.item_id = b.item_id GROUP BY ALL)
 SELECT coalesce(category, 'overall') AS category, k, count(*) AS n_queries, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr FROM q GROUP BY GROUPING SETS ((category, k), (k))""")
 def retrieval_quality(spark, d):
-    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"))
-    rows = _hybrid(spark, d).select(F.col("item_id").alias("query_id"), "rank", F.contains("content", "text").alias("match"))
+    queries = _asked(spark, d).withColumn("category", F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd"))
+    found = _hybrid(spark, d, 10).join(queries.select("query_id", "text"), "query_id")
+    rows = found.select("query_id", "rank", F.contains("content", "text").alias("match"))
+    queries = queries.select("query_id", "category")
     out = M.by_category(M.per_query(rows, queries, [1, 5, 10]))
     return out.select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
-@search(f"""WITH {DENSE}, g AS (SELECT qid, label, vec_id, score, rank, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 9) DESC, rank) AS n, min(rank) OVER (PARTITION BY qid, label) AS first FROM dr WHERE rank < 100)
+@query(f"""WITH {DENSE}, g AS (SELECT qid, label, vec_id, score, rank, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 9) DESC, rank) AS n, min(rank) OVER (PARTITION BY qid, label) AS first FROM dr WHERE rank < 100)
 SELECT qid, label, vec_id, round(score, 6) AS score, (row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, first, vec_id) - 1)::INT AS rank FROM g WHERE n = 1""")
-def best_per_group(spark, d, asked=FIRST):
-    top, rows = _dense(spark, d, 100, asked=asked)
+def best_per_group(spark, d):
+    top, rows = _dense(spark, d, 100)
     labelled = top.join(rows.select("vec_id", "label"), "vec_id").withColumn("label", F.col("label").cast("string"))
     best = R.best_per_group(labelled, "label", "qid", "vec_id")
     return best.select("qid", F.col("label").cast("int").alias("label"), "vec_id", F.round("score", 6).alias("score"), "rank")
@@ -195,61 +204,61 @@ q AS (SELECT qid, 'g' || (qid % 3) AS category, k, max((match AND rank < k)::INT
   round(sum(CASE WHEN match AND rank < k THEN 1 / log2(rank + 2) ELSE 0 END), 4) AS ndcg FROM m CROSS JOIN (VALUES (1), (3), (5), (10)) t(k) GROUP BY ALL)"""
 
 
-def _per(spark, d, asked):
-    top, rows = _dense(spark, d, 10, asked=asked)
-    gold = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
+def _per(spark, d):
+    top, rows = _dense(spark, d, 10)
+    gold = rows.where(ASKED).select(F.col("vec_id").alias("query_id"), F.col("label").alias("gold"))
     found = top.withColumnRenamed("qid", "query_id").join(rows.select("vec_id", "label"), "vec_id").join(F.broadcast(gold), "query_id")
     queries = gold.select("query_id", F.concat(F.lit("g"), (F.col("query_id") % 3).cast("string")).alias("category"))
     return M.per_query(found.withColumn("match", F.col("label") == F.col("gold")), queries, [1, 3, 5, 10])
 
 
-@search(PER + " SELECT qid AS query_id, category, k, hit, round(rr, 6) AS rr, ndcg FROM q")
-def hit_mrr_ndcg(spark, d, asked=FIRST):
-    return _per(spark, d, asked).select("query_id", "category", "k", "hit", F.round("rr", 6).alias("rr"), "ndcg")
+@query(PER + " SELECT qid AS query_id, category, k, hit, round(rr, 6) AS rr, ndcg FROM q")
+def hit_mrr_ndcg(spark, d):
+    return _per(spark, d).select("query_id", "category", "k", "hit", F.round("rr", 6).alias("rr"), "ndcg")
 
 
 CATEGORY = PER + ", c AS (SELECT coalesce(category, 'overall') AS category, k, count(*) AS n_queries, avg(hit) AS hit_rate, avg(rr) AS mrr, avg(ndcg) AS ndcg FROM q GROUP BY GROUPING SETS ((category, k), (k)))"
 
 
-@search(CATEGORY + " SELECT category, k, n_queries, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 5) AS ndcg FROM c")
-def metrics_by_category(spark, d, asked=FIRST):
-    return M.by_category(_per(spark, d, asked)).select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 5).alias("ndcg"))
+@query(CATEGORY + " SELECT category, k, n_queries, round(hit_rate, 6) AS hit_rate, round(mrr, 6) AS mrr, round(ndcg, 9) AS ndcg FROM c")
+def metrics_by_category(spark, d):
+    return M.by_category(_per(spark, d)).select("category", "k", "n_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"), F.round("ndcg", 9).alias("ndcg"))
 
 
-@search(CATEGORY + ", l(category, k, least) AS (VALUES ('overall', 10, 0.99), ('g1', 1, 1.01), ('g0', 5, 0.0)) SELECT category, k, least::DOUBLE AS least, round(hit_rate, 6) AS hit_rate FROM c JOIN l USING (category, k) WHERE hit_rate < least")
-def threshold_gate(spark, d, asked=FIRST):
-    out = M.alerts(M.by_category(_per(spark, d, asked)), (("overall", 10, 0.99), ("g1", 1, 1.01), ("g0", 5, 0.0)))
+@query(CATEGORY + ", l(category, k, least) AS (VALUES ('overall', 10, 0.99), ('g1', 1, 1.01), ('g0', 5, 0.0)) SELECT category, k, least::DOUBLE AS least, round(hit_rate, 6) AS hit_rate FROM c JOIN l USING (category, k) WHERE hit_rate < least")
+def threshold_gate(spark, d):
+    out = M.alerts(M.by_category(_per(spark, d)), (("overall", 10, 0.99), ("g1", 1, 1.01), ("g0", 5, 0.0)))
     return out.select("category", "k", "least", F.round("hit_rate", 6).alias("hit_rate"))
 
 
 SETS = f"""WITH {DENSE}, p AS (SELECT qid, k, list('T10' || (10 + label) ORDER BY rank) AS pred FROM dr CROSS JOIN (VALUES (1), (3), (5), (10)) t(k) WHERE rank < k GROUP BY ALL),
-g AS (SELECT vec_id AS qid, ['T10' || (10 + label), 'T10' || (10 + (label + 1) % 10)] AS gold FROM embeddings WHERE vec_id < {QUERIES_N}),
+g AS (SELECT vec_id AS qid, ['T10' || (10 + label), 'T10' || (10 + (label + 1) % 10)] AS gold FROM embeddings WHERE {ASKED}),
 c AS (SELECT qid, k, list_distinct(pred) AS pred, gold FROM p JOIN g USING (qid)),
 n AS (SELECT qid, k, len(list_intersect(pred, gold)) AS tp, len(pred) - len(list_intersect(pred, gold)) AS fp, len(gold) - len(list_intersect(pred, gold)) AS fn FROM c)"""
 
 
-def _sets(spark, d, asked):
-    top, rows = _dense(spark, d, 10, asked=asked)
+def _sets(spark, d):
+    top, rows = _dense(spark, d, 10)
     name = lambda c: F.concat(F.lit("T10"), (c + 10).cast("string"))
     found = top.withColumnRenamed("qid", "query_id").join(rows.select("vec_id", name(F.col("label")).alias("attack_id")), "vec_id")
-    gold = rows.where(asked).select(F.col("vec_id").alias("query_id"), F.array(name(F.col("label")), name((F.col("label") + 1) % 10)).alias("gold"))
+    gold = rows.where(ASKED).select(F.col("vec_id").alias("query_id"), F.array(name(F.col("label")), name((F.col("label") + 1) % 10)).alias("gold"))
     return M.prefixes(found, "attack_id", [1, 3, 5, 10]).join(gold, "query_id")
 
 
-@search(SETS + " SELECT qid AS query_id, k, tp::INT AS tp, fp::INT AS fp, fn::INT AS fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS p, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS r FROM n")
-def prf_at_k(spark, d, asked=FIRST):
-    rows = M.set_counts(_sets(spark, d, asked), F.col("gold"), F.col("labels"))
+@query(SETS + " SELECT qid AS query_id, k, tp::INT AS tp, fp::INT AS fp, fn::INT AS fn, round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS p, round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS r FROM n")
+def prf_at_k(spark, d):
+    rows = M.set_counts(_sets(spark, d), F.col("gold"), F.col("labels"))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return rows.select("query_id", "k", "tp", "fp", "fn", F.round(M.ratio(tp, tp + fp), 6).alias("p"), F.round(M.ratio(tp, tp + fn), 6).alias("r"))
 
 
-@search(SETS + """ SELECT k, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS n, round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS precision,
+@query(SETS + """ SELECT k, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS n, round(sum(tp) / nullif(sum(tp) + sum(fp), 0), 6) AS precision,
   round(sum(tp) / nullif(sum(tp) + sum(fn), 0), 6) AS recall, round(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 6) AS f1 FROM n GROUP BY k""")
-def micro_f1(spark, d, asked=FIRST):
-    out = M.micro(M.set_counts(_sets(spark, d, asked), F.col("gold"), F.col("labels")), "k")
+def micro_f1(spark, d):
+    out = M.micro(M.set_counts(_sets(spark, d), F.col("gold"), F.col("labels")), "k")
     return out.select("k", "tp", "fp", "fn", "n", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-@search(SETS + " SELECT k, round(sum(tp) / sum(tp + fn), 6) AS recall FROM n GROUP BY k")
-def label_recall_at_k(spark, d, asked=FIRST):
-    return M.recall_at(_sets(spark, d, asked), F.col("gold"), F.array_distinct("labels"), "k").select("k", F.round("recall", 6).alias("recall"))
+@query(SETS + " SELECT k, round(sum(tp) / sum(tp + fn), 6) AS recall FROM n GROUP BY k")
+def label_recall_at_k(spark, d):
+    return M.recall_at(_sets(spark, d), F.col("gold"), F.array_distinct("labels"), "k").select("k", F.round("recall", 6).alias("recall"))

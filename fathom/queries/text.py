@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
-from fathom.functions.tokens import PORTABLE, indicators, tokenize
+from fathom.functions.tokens import PORTABLE, indicators, tokenized
 from fathom.operators import chunking
+from fathom.operators.layout import spread
 from fathom.operators.sections import BOILERPLATE, keep, merge_forward
 from fathom.queries import query, table
 from fathom.sources import feeds, files
@@ -23,7 +24,9 @@ tok AS (
 
 @query(f"SELECT doc_id, {CLEAN} AS content FROM documents WHERE {CLEAN} <> ''")
 def clean_documents(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.clean(F.col("text")).alias("content")).where("content IS NOT NULL")
+    """A text is cleaned once: the blank ones go by what is left of them, not by a filter that would clean them first."""
+    made = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.filter(F.array(T.clean(F.col("text"))), lambda x: x.isNotNull()).alias("c"))
+    return made.select("doc_id", F.explode("c").alias("content"))
 
 
 @query("""
@@ -122,13 +125,13 @@ def sections_merge(spark, d):
 
 @query(f"SELECT ioc, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '{IOC}', 0, 'i'))) AS ioc FROM documents) GROUP BY ioc")
 def ioc_extract(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(indicators(F.col("text"))).alias("ioc"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(indicators(F.col("text"))).alias("ioc"))
     return rows.groupBy("ioc").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 @query(f"WITH {TOKENS} SELECT doc_id, len(t)::INT AS n, len(list_distinct(t))::INT AS terms FROM tok")
 def tokenize_counts(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", tokenize(F.col("text")).alias("t"))
+    rows = tokenized(spread(table(spark, d, "documents").select("doc_id", "text")), "text", "t")
     return rows.select("doc_id", F.size("t").alias("n"), F.size(F.array_distinct("t")).alias("terms"))
 
 

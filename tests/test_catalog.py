@@ -10,7 +10,6 @@ import __spark_entry__ as entry
 from fathom import catalog
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"retrieval_quality", "actor_components"}
 
 
 @pytest.fixture(scope="module")
@@ -26,7 +25,7 @@ def flat(v):
     return round(v, 6) if isinstance(v, float) else tuple(map(flat, v)) if isinstance(v, (list, tuple)) else v
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_its_sql(spark, db, name):
     df = catalog.queries()[name](spark, SF)
     columns = sorted(df.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import models, render
 from fathom.functions import text as T
-from fathom.functions.tokens import PATTERN, tokenize
+from fathom.functions.tokens import PATTERN, indicators, tokenize, tokenized
 from fathom.operators import chunking, graph, keyed, metrics, retrieval, sections
 from fathom.plans import evaluation, ingest
 from fathom.plans import retrieval as plans
@@ -61,10 +61,20 @@ def words(text):
 
 
 def test_tokens(spark):
+    rng = random.Random(3)
+    bits = ["a.b.com", "foo", "-", "T1059", "t1059.001", "cve-2020-12345", "MS17-010", "1.2.3.4", "/24", "255.255.255.256", "aa:bb:cc:dd:ee:ff", ":", "_", "é", "deadbeef" * 4, "deadbeef" * 5, "deadbeef" * 8, "a" * 70, ".", "com", "x.co", " ", "9"]
     texts = ["256.1.2.3 xT1059y", "10.0.0.0/8x 1.2.3.4/33", "CVE-2021-44228 and foo.community a bb " + "q" * 65, "é_ü AB:cd:EF:01:23:45 " + "a1" * 32, "", "ms17-010! example.co.uk"]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", tokenize(F.col("t")).alias("w"), tokenize(F.col("t"), True).alias("n")).collect()
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) for _ in range(400)]
+    rows = tokenized(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string"), "t", "n").select("i", tokenize(F.col("t")).alias("w"), "n", indicators(F.col("t")).alias("ind")).collect()
     for r in rows:
         assert sorted(r["w"]) == sorted(r["n"]) == sorted(words(texts[r["i"]])), texts[r["i"]]
+        assert r["ind"] == [m[0].lower() for m in re.finditer(PATTERN, texts[r["i"]])]
+
+
+def test_prose_is_in_normal_form_and_indicators_are_not(spark):
+    df = spark.createDataFrame([("\ufb01le \uff34\uff11\uff10\uff15\uff19.\uff10\uff10\uff11 evil.com \u00bdx",), ("file",), (None,)], "t string")
+    got = [sorted(r["n"]) for r in tokenized(df, "t", "n").collect()]
+    assert sorted(got) == sorted([sorted(["evil.com", "file", "t1059", "001", "2x"]), ["file"], []])
 
 
 # --- chunks and sections -------------------------------------------------------------------------
@@ -102,8 +112,10 @@ def test_semantic_chunks(spark):
     clean = re.sub(r"[ \t]+", " ", texts[0].strip())
     assert fixed == [clean[a : a + 40] for a in range(0, len(clean), 24)]
     with pytest.raises(ValueError):
-        chunking.fixed_chunks(F.col("x"), 4, 4)
+        chunking.steps(F.col("x"), 4, 4)
     assert chunking.chunk(df.withColumn("source", F.lit("whois"))).count() == 60
+    wide = [r["content"] for r in chunking.chunk(df.where("id = '0'"), "fixed", 10, 8).orderBy("chunk_index").collect()]
+    assert wide == [clean[a : a + 40] for a in range(0, len(clean), 8)]
 
 
 def merged(parts):

@@ -7,7 +7,7 @@ from fathom import catalog
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["dense_topk_every", "dense_topk_filtered_every", "rrf_fuse_every", "best_per_group_every"])
+@pytest.mark.parametrize("name", ["dense_topk", "dense_topk_filtered", "rrf_fuse", "best_per_group"])
 def test_searches_are_for_every_hundredth_vector(spark, name):
     ids = [r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()]
     asked = {r[0] for r in catalog.queries()[name](spark, SF).select("qid").distinct().collect()}
@@ -30,14 +30,14 @@ def test_two_hops_from_every_customer_to_every_part(spark, tmp_path):
         if (c := 20 + o % 50) in range(30, 61):
             for technique in {names[p]} if n == 1 and p in names else software[s] if n == 2 else ():
                 want.setdefault((f"g--{c}", technique), set()).add(n)
-    got = {(r["actor"], r["technique"]): {n for n, hit in ((1, r["direct"]), (2, r["via_software"])) if hit} for r in catalog.queries()["two_hop_traversal_every"](spark, str(tmp_path)).collect()}
+    got = {(r["actor"], r["technique"]): {n for n, hit in ((1, r["direct"]), (2, r["via_software"])) if hit} for r in catalog.queries()["two_hop_traversal"](spark, str(tmp_path)).collect()}
     assert got == want
     assert any(int(a[3:]) > 40 and 1 in hops for (a, _), hops in want.items())
 
 
 def test_every_nation_has_edges(spark):
     nations = {r["n_name"]: r for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
-    got = {(r["a"], r["b"]): r["verdict"] for r in catalog.queries()["actor_components_every"](spark, SF).collect()}
+    got = {(r["a"], r["b"]): r["verdict"] for r in catalog.queries()["actor_components"](spark, SF).collect()}
     region = lambda x: nations[x]["n_regionkey"]
     parts = [(region(x), nations[x]["n_nationkey"] % 2) for x in nations]
     assert len(got) == len(nations) ** 2 and set(got.values()) == {"C", "P", "I"}
