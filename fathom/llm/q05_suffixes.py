@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import suffix_dedup
 
@@ -11,4 +12,6 @@ ORACLE_SQL = None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)
+    """The contract's columns, and ``has_repeat``: whether any byte is removed."""
+    found = suffix_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_kept=False)
+    return found.withColumn("has_repeat", F.col("n_removed") > 0)

@@ -13,7 +13,7 @@ an anchor contain it, so their union is one stretch.
 Equal texts are found by their digests first: one of them stands for all in the search, and all are
 removed whole. A gram of more than HOT anchors is dealt to several groups: partners of SPAN bytes
 share at least half of these on one side, so anchors meet by the next half SPAN to the right and by
-the last to the left. Grams that repeat themselves with a short period are named last, so a run of
+the last to the left. The join that finds repeated grams deals such a gram's anchors too. Grams that repeat themselves with a short period are named last, so a run of
 one word over and over has few anchors.
 
 Texts count as UTF-8 bytes. Defined cases: null counts as empty; texts of under SPAN bytes lose
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm._storage import kept
+from fathom.llm._storage import discard, kept, salted_join
 from fathom.llm._text import column_bytes, mix, pieces, powers, prefix_hash
 from fathom.llm.suffix_sort import common, deep_shallow
 
@@ -244,14 +244,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", with_kept: b
     sign = signed(long.withColumn("id", F.col("id").cast("long")))
     one = sign.join(copies, "digest").where(F.col("id").eqNullSafe(F.col("first"))).dropDuplicates(["digest"])
     marks = kept(one.select("digest", F.explode(F.arrays_zip("places", "hashes")).alias("m")).select("digest", F.col("m.places").alias("place"), F.col("m.hashes").alias("hash")), "anchors", "lz4")
-    counts = marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    hits = marks.join(counts, "hash").groupBy("digest").agg(F.collect_list(F.struct("place", "hash", (F.col("n") > HOT).alias("hot"))).alias("found"))
+    counts = kept(marks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1"), "counts", "lz4")
+    hits = salted_join(marks, counts, "hash", ["digest", "place"], hot=HOT).groupBy("digest").agg(F.collect_list(F.struct("place", "hash", (F.col("n") > HOT).alias("hot"))).alias("found"))
     near = long.join(hits.join(copies, "digest"), "digest").where(F.col("id").cast("long").eqNullSafe(F.col("first"))).dropDuplicates(["digest"])
     near = kept(near.select("digest", "text", "found"), "near")
     spans = covered(contexts(near)).groupBy("digest").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     cuts = cut_out(near.select("digest", "text").join(spans, "digest"))
     cuts = cuts.select("digest", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"), *["kept"] * with_kept)
     fate = kept(copies.join(cuts, "digest", "left").where("copies > 1 OR n_removed IS NOT NULL").drop("first"), "fate")
+    discard(marks, counts, near, copies)
     out = rows.select("id", "digest", raw.alias("raw"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(raw, 256).alias("own"))
     out = (out if with_kept else out.drop("raw")).join(fate, "digest", "left")
     gone = F.coalesce(F.col("copies") > 1, F.lit(False))
