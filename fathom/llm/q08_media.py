@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from fathom.llm import media
-from fathom.llm._storage import kept
+from fathom.llm._storage import discard, kept
 
 NAME = "op8_media_columns"
 ORACLE_SQL = None
 
 
+#: Samples a second of the stored sound.
+RATE = 4000
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables are written and read back: the files, and the resampled sound that features are taken of."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
     stored = kept(media.store(documents), "media")
-    return media.load(stored, keep=("doc_id", "n_bytes"))
+    sounds = kept(media.load(stored, keep=("doc_id", "n_bytes"), rate=RATE), "sounds")
+    discard(stored)
+    return media.described(sounds, RATE)
