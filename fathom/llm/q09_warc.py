@@ -1,4 +1,4 @@
-"""op9: all ``pages`` written to WARC archives, indexed, and read back through the index."""
+"""op9: all ``pages`` written to WARC archives, indexed, and read back by looking up every URL in the index."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ LEAST = 0
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    blocks, _ = warc.build_index(warc.write(pages, LEAST))
-    return warc.read(warc.entries(blocks))
+    segments = warc.build_index(warc.write(pages, LEAST))
+    return warc.read(warc.look_up(warc.url_keys(pages), segments))
 
 
 ORACLE_SQL = """

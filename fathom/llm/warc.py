@@ -2,9 +2,12 @@
 
 ``write`` lays pages down as gzip members of ``.warc.gz`` files in a folder that all executors
 share, one file a task, and keeps a row for each capture. ``build_index`` sorts the captures by
-their reversed-host URL key into compressed blocks of BLOCK_LINES lines (first level) and keeps the
-first key and place of each block in a sparse directory (second level). ``find`` bisects the directory
-and then the block for a key; ``read`` fetches captures by range reads of the archives.
+their reversed-host URL key and writes each range of keys as a segment: a file of compressed blocks of
+BLOCK_LINES lines (first level) and a sparse directory with each block's keys and place (second
+level). The segments themselves, one for each task that sorted, are the rows of a small table.
+``look_up`` bisects the segments and their directories for every key, which tells the blocks that may
+hold it; tasks then range-read each such block once and bisect it for its keys. ``read`` fetches
+captures by range reads of the archives. A key of very many captures is many blocks, and so many tasks.
 
 Payloads are the pages' html as UTF-8, null counting as empty. Of equal payloads of at least
 ``least`` bytes the one with the smallest page id is a response and the others are revisits that name
@@ -34,13 +37,11 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm._storage import kept, new_path
+from fathom.llm._storage import kept, new_path, salted_join
 
 BLOCK_LINES = 3000
 #: Captures of one file within so many bytes are read by one task.
 SPAN = 64 << 20
-#: Directory rows that ``find`` may take to the driver; beyond, it has Spark choose the blocks.
-DIRECTORY_ROWS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CAPTURE = "key string, url string, page_id long, type string, file string, offset long, length long"
@@ -108,8 +109,8 @@ def revisits(pages: DataFrame, least: int, page_id: str = "page_id", html: str =
     """(page_id, digest, refers_to) of all but the first of equal payloads. Ids and digests alone are shuffled."""
     own = pages.select(F.col(page_id).alias("page_id"), F.coalesce(html, F.lit("")).alias("h"))
     own = own.where(F.octet_length("h") >= least).select("page_id", F.sha1(F.encode("h", "UTF-8")).alias("digest"))
-    groups = own.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL").drop("n")
-    return own.join(groups, "digest").where("page_id IS NULL OR page_id > refers_to").distinct()
+    groups = own.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    return salted_join(own, kept(groups, "digests"), "digest", ["page_id"]).where("page_id IS NULL OR page_id > refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -154,78 +155,121 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, parts, strict=True)], [n for n, _ in parts])
 
 
-def build_index(captures: DataFrame, lines: int = BLOCK_LINES) -> tuple[DataFrame, DataFrame]:
-    """(blocks, directory): blocks are (block, first_key, last_key, n, data); the directory is all but the data."""
+SEGMENT = "folder string, segment string, first_key string, last_key string, blocks long, lines long"
+LINE = "key string, page_id long, type string, folder string, file string, offset long, length long"
+#: Lines that a task gives on at once.
+BATCH = 2000
+
+
+def build_index(captures: DataFrame, lines: int = BLOCK_LINES) -> DataFrame:
+    """The table of segments (SEGMENT): their blocks and directories are files in the shared folder, named by attempt."""
+    folder = new_path(captures.sparkSession, "cdx")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(held: list[tuple]) -> tuple:
-            text = "".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held)
-            return uuid.uuid4().hex, held[0][0], held[-1][0], len(held), zlib.compress(text.encode("utf-8", "surrogatepass"), 6)
+        system, base = pafs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        name, at, out, held, places, total = uuid.uuid4().hex, 0, None, [], [], 0
+
+        def block() -> None:
+            nonlocal at, out, held
+            if out is None:
+                out = system.open_output_stream(f"{base}/{name}.cdx", compression=None)
+            data = zlib.compress("".join(json.dumps(x, ensure_ascii=False) + "\n" for x in held).encode("utf-8", "surrogatepass"), 6)
+            out.write(data)
+            places.append((held[0][0], held[-1][0], at, len(data)))
+            at, held = at + len(data), []
 
-        held: list[tuple] = []
         for batch in batches:
-            out = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.append(row)
+                total += 1
                 if len(held) == lines:
-                    out.append(block(held))
-                    held = []
-            yield _batch(out, ddl)
+                    block()
         if held:
-            yield _batch([block(held)], ddl)
+            block()
+        if out is not None:
+            out.close()
+            with system.open_output_stream(f"{base}/{name}.dir", compression=None) as f:
+                f.write(zlib.compress("".join(json.dumps(p, ensure_ascii=False) + "\n" for p in places).encode("utf-8", "surrogatepass"), 6))
+            yield _batch([(folder, name, places[0][0], places[-1][1], len(places), total)], SEGMENT)
 
-    ddl = "block string, first_key string, last_key string, n long, data binary"
     order = captures.select("key", "page_id", "type", "folder", "file", "offset", "length").repartitionByRange("key", "file", "offset").sortWithinPartitions("key", "file", "offset")
-    blocks = kept(order.mapInArrow(work, ddl), "cdx", "none")
-    return blocks, blocks.drop("data")
+    return kept(order.mapInArrow(work, SEGMENT), "segments")
+
+
+def spanning(firsts: list[str], lasts: list[str], key: str) -> range:
+    """Which of some sorted ranges may hold a key, by bisection; a key's lines may go on over several."""
+    return range(bisect_left(lasts, key), bisect_right(firsts, key))
+
+
+def _read_at(folder: str, name: str, offset: int = 0, length: int | None = None) -> bytes:
+    system, base = pafs.FileSystem.from_uri(folder)
+    with system.open_input_file(f"{base}/{name}") as f:
+        return f.read_at(f.size() if length is None else length, offset)
 
 
-def entries(blocks: DataFrame) -> DataFrame:
-    """The lines of index blocks."""
+def url_keys(urls: DataFrame, url: str = "url") -> DataFrame:
+    """The distinct keys (key) of a table of URLs; null and odd URLs have keys of their own."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for data in batch.column(0):
-                yield _batch([tuple(x) for x in _lines(data.as_py())], ddl)
+            yield pa.RecordBatch.from_arrays([pa.array([url_key(x) for x in batch.column(0).to_pylist()], pa.string())], ["key"])
+
+    return urls.select(F.col(f"`{url}`").alias("_url")).distinct().mapInArrow(work, "key string").distinct()
+
+
+def look_up(keys: DataFrame, segments: DataFrame) -> DataFrame:
+    """The index lines (LINE) of a table of distinct keys.
 
-    ddl = "key string, page_id long, type string, folder string, file string, offset long, length long"
-    return blocks.select("data").mapInArrow(work, ddl)
+    The segments' table has a row for each task of the sort, so it goes to all tasks; a directory is read by the tasks
+    whose keys fall into it, one at a time."""
+    root = sorted((r["first_key"], r["last_key"], r["folder"], r["segment"]) for r in segments.collect())
+    firsts, lasts = [r[0] for r in root], [r[1] for r in root]
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, places, starts, ends = -1, [], [], []
+        for batch in batches:
+            out = []
+            for key in batch.column(0).to_pylist():
+                for i in spanning(firsts, lasts, key):
+                    if i != now:
+                        now, places = i, _lines(_read_at(root[i][2], f"{root[i][3]}.dir"))
+                        starts, ends = [p[0] for p in places], [p[1] for p in places]
+                    for j in spanning(starts, ends, key):
+                        out.append((key, root[i][2], root[i][3], places[j][2], places[j][3]))
+            yield _batch(out, "key string, folder string, segment string, offset long, length long")
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block, names = None, [], []
+        for batch in batches:
+            out: list[tuple] = []
+            for key, *place in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != now:
+                    folder, segment, offset, length = now = place
+                    block = _lines(_read_at(folder, f"{segment}.cdx", offset, length))
+                    names = [x[0] for x in block]
+                out += map(tuple, block[bisect_left(names, key) : bisect_right(names, key)])
+                if len(out) >= BATCH:
+                    yield _batch(out, LINE)
+                    out = []
+            yield _batch(out, LINE)
+
+    ordered = keys.select("key").repartitionByRange("key").sortWithinPartitions("key")
+    found = ordered.mapInArrow(hits, "key string, folder string, segment string, offset long, length long")
+    return found.repartition("segment", "offset").sortWithinPartitions("folder", "segment", "offset", "key").mapInArrow(lines, LINE)
 
 
 def _lines(data: bytes) -> list[list]:
     return [json.loads(x) for x in zlib.decompress(data).decode("utf-8", "surrogatepass").split("\n")[:-1]]
 
 
-def find(blocks: DataFrame, directory: DataFrame, urls: list[str]) -> dict[str, list[list]]:
-    """Index lines of each of a few URLs: bisect the directory, fetch only the blocks hit, bisect these."""
-    keys = {u: url_key(u) for u in urls}
-    if directory.limit(DIRECTORY_ROWS + 1).count() <= DIRECTORY_ROWS:
-        held = sorted((r["first_key"], r["last_key"], r["block"]) for r in directory.select("first_key", "last_key", "block").collect())
-        firsts = [h[0] for h in held]
-        wanted = set()
-        for k in keys.values():
-            i = bisect_right(firsts, k) - 1
-            while i >= 0 and held[i][1] >= k:  # a key's lines may begin in an earlier block
-                wanted.add(held[i][2])
-                i -= 1
-        chosen = blocks.where(F.col("block").isin(sorted(wanted)))
-    else:
-        hit = [(F.col("first_key") <= k) & (F.col("last_key") >= k) for k in sorted(set(keys.values()))]
-        chosen = blocks.where(hit[0] if len(hit) == 1 else F.expr("false") if not hit else _any(hit))
-    out: dict[str, list[list]] = {u: [] for u in urls}
-    for row in chosen.select("data").toLocalIterator():
-        lines = _lines(row["data"])
-        names = [x[0] for x in lines]
-        for u, k in keys.items():
-            out[u] += lines[bisect_left(names, k) : bisect_right(names, k)]
-    return out
-
-
-def _any(conditions: list):
-    total = conditions[0]
-    for c in conditions[1:]:
-        total = total | c
-    return total
+def find(segments: DataFrame, urls: list[str]) -> dict[str, list[list]]:
+    """``look_up`` for a few URLs: the index lines of each."""
+    rows = segments.sparkSession.createDataFrame([(url_key(u),) for u in urls], "key string").distinct()
+    held: dict[str, list[list]] = {}
+    for r in look_up(rows, segments).toLocalIterator():
+        held.setdefault(r["key"], []).append(list(r))
+    return {u: held.get(url_key(u), []) for u in urls}
 
 
 def fetch(folder: str, file: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:

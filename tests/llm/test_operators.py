@@ -294,7 +294,8 @@ def test_codecs():
 def test_store_and_load(spark):
     texts = [None, "", "é" * 32, "a" * 65, "a" * 65, "long " * 30_000]
     df = spark.createDataFrame([(i, t, "m") for i, t in enumerate(texts)], "doc_id long, text string, media string")
-    got = {r["doc_id"]: r for r in media.load(media.store(df), keep=("doc_id", "n_bytes"), with_pcm=True).collect()}
+    sounds = media.load(media.store(df), keep=("doc_id", "n_bytes"))
+    got = {r["doc_id"]: {**r.asDict(), **f.asDict()} for r, f in zip(sounds.orderBy("doc_id").collect(), media.described(sounds).orderBy("doc_id").collect(), strict=True)}
     for i, t in enumerate(texts):
         raw = (t or "").encode()
         payload = raw + bytes(-len(raw) % 64 if raw else 64)
@@ -303,7 +304,19 @@ def test_store_and_load(spark):
         assert len(r["pcm"]) == 2 * int(re.search(r" n=(\d+)", r["feature"])[1])
     assert got[3]["feature"] == got[4]["feature"] and got[3]["media_sha256"] == got[4]["media_sha256"]
     odd = spark.createDataFrame([(1, None), (2, bytearray(b"RIFF"))], "doc_id long, media binary")
-    assert [r["feature"] for r in media.load(odd).collect()] == [None, None]
+    assert [r["feature"] for r in media.described(media.load(odd)).collect()] == [None, None]
+    assert media.described(media.load(media.store(df.limit(0)))).count() == 0
+
+
+def test_stored_sound_is_what_features_are_of(spark):
+    """A low rate keeps every second sample, of whole blocks and of the last."""
+    text = "sound " * 50
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = media.load(media.store(df, codec=media.MULAW), rate=4000).first()
+    payload = media.pad(text.encode())
+    want = media.MULAW_PCM[np.frombuffer(payload, np.uint8)][::2]
+    assert np.frombuffer(row["pcm"], "<i2").tolist() == want.tolist()
+    assert media.described(media.load(media.store(df, codec=media.MULAW), rate=4000), 4000).first()["feature"] == media.feature("mulaw", want, 4000)
 
 
 # --- WARC -----------------------------------------------------------------------------------------
@@ -313,18 +326,32 @@ def test_archives_and_index(spark):
     rows = [(3, "http://a.b.example.com/x?y", "zz"), (1, "https://example.com/q", "zz"), (2, None, None), (5, "odd\r\nx", ""), (7, "http://example.com/q", "é only"), (None, "u", "zz"), (1, "https://example.com/q", "zz"), (9, "http://example.com/long", "x" * 200_000)]
     df = spark.createDataFrame([(*r, "k", 4) for r in rows], "page_id long, url string, html string, key string, offset int").repartition(3)
     for least, empty in ((0, "revisit"), (1, "response")):
-        blocks, directory = warc.build_index(warc.write(df, least), lines=2)
-        got = sorted(map(tuple, warc.read(warc.entries(blocks)).collect()), key=repr)
+        segments = warc.build_index(warc.write(df, least), lines=2)
+        got = sorted(map(tuple, warc.read(warc.look_up(warc.url_keys(df), segments)).collect()), key=repr)
         want = []
         for page, _, html in rows:
             raw = (html or "").encode()
             revisit = page in (3, None) or page == 5 and empty == "revisit"
             want.append((page, len(raw), warc.digest_of(raw), "revisit" if revisit else "response", (2 if page == 5 else 1) if revisit else None))
         assert got == sorted(want, key=repr)
-    hits = warc.find(blocks, directory, ["http://example.com/q", "http://nope/", "http://a.b.example.com/x?y"])
+    hits = warc.find(segments, ["http://example.com/q", "http://nope/", "http://a.b.example.com/x?y"])
     assert sorted(x[1] for x in hits["http://example.com/q"]) == [1, 1, 7] and hits["http://nope/"] == [] and len(hits["http://a.b.example.com/x?y"]) == 1
     fields, block = warc.fetch(*next(x for x in hits["http://example.com/q"] if x[1] == 7)[3:])
     assert fields["warc-type"] == "response" and block.endswith("é only".encode())
     assert warc.url_key("http://www.example.com:80/a?b#c") == "com,example,www:80)/a?b"
-    blocks, _ = warc.build_index(warc.write(df.limit(0)))
-    assert warc.read(warc.entries(blocks)).collect() == []
+    none = warc.build_index(warc.write(df.limit(0)))
+    assert warc.read(warc.look_up(warc.url_keys(df), none)).collect() == [] and warc.find(none, ["u"]) == {"u": []}
+
+
+def test_a_key_over_many_blocks_and_segments(spark):
+    """A URL of a third of all captures: its lines fill many blocks, and tasks sort parts of them."""
+    rows = [(i, "http://hot.example/" if i % 3 == 0 else f"http://h{i}.example/", f"p{i}") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        segments = warc.build_index(warc.write(df), lines=7)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert segments.count() > 1 and segments.agg({"lines": "sum"}).first()[0] == 300
+    assert sorted(x[1] for x in warc.find(segments, ["http://hot.example/"])["http://hot.example/"]) == list(range(0, 300, 3))
+    assert sorted(r["page_id"] for r in warc.look_up(warc.url_keys(df), segments).collect()) == list(range(300))
