@@ -5,7 +5,8 @@ numbers; see ``base_spans``. The chain model labels the words that hold a digit
 the begin or inside of a kind, by features of their shape and of the words around. All other words
 are O by definition, so a text falls into independent runs of such words, and only these are
 decoded, many runs side by side. It is fitted on ``labelled_table``, a small table of written-out
-lines. A span of it is added where it overlaps no pattern's span: national phone numbers, mostly.
+lines. A span of it is added where it passes its kind's test (``passes``) and overlaps no pattern's span: national phone
+numbers, mostly. Runs of years and other plain numbers pass none.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined cases: null and empty texts have
 none; repeated rows are treated alike and all kept; a text of any length is searched whole, in time
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import crf
+from fathom.llm._text import column_bytes, pieces
 from fathom.llm.quality import df_schema
 
 KINDS = ("email", "ip", "card", "phone")
@@ -192,6 +194,13 @@ def labelled_table(n: int = 30, seed: int = 11) -> list[tuple[str, list[Span]]]:
             spans += [("card", len(line), len(line) + len(made))] * real
             line += f"{made} "
         table.append((line + rng.choice(filler), spans))
+    plain = [lambda: f"{rng.randint(1900, 2099)}", lambda: d(rng.randint(1, 4)), lambda: f"{d(2)}:{d(2)}", lambda: f"{d(2)}.{d(1)}"]
+    for i in range(2 * n):  # a phone among plain numbers, and plain numbers alone
+        same = rng.choice(plain)()
+        some = lambda: [same if i % 3 else rng.choice(plain)() for _ in range(rng.randint(0, 5))]  # noqa: B023, E731
+        before, after = " ".join([rng.choice(filler), *some()]) + " ", " ".join(["", *some(), rng.choice(filler)])
+        made = makers[rng.choice((0, 2, 3))][1]() if i % 2 else ""
+        table.append((before + (made or same) + after, [("phone", len(before), len(before) + len(made))] if made else []))
     return table
 
 
@@ -265,12 +274,30 @@ def chain_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> l
     return out
 
 
+_PHONE_LIKE = re.compile(r"\+?[0-9(][ ().0-9-]*[0-9]")
+
+
+def passes(kind: str, text: str) -> bool:
+    """The test of each kind that a span of the chain must pass: what the kind's numbers look like, and for card and phone
+    the patterns' counts of digits. A phone shows a sign that plain numbers side by side lack."""
+    digits = sum(c in "0123456789" for c in text)
+    if kind == "email":
+        name, at, domain = text.partition("@")
+        return bool(name and at) and "." in domain.strip(".")
+    if kind == "ip":
+        parts = text.split(".")
+        return len(parts) == 4 and all(p.isascii() and p.isdigit() and _small(p) for p in parts)
+    if kind == "card":
+        return _CARD.fullmatch(text) is not None and 13 <= digits <= 19 and luhn(re.sub("[ -]", "", text))
+    return _PHONE_LIKE.fullmatch(text) is not None and 9 <= digits <= 15 and any(c in text for c in "+(-")
+
+
 def all_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text, by kind as listed, then start."""
     out = []
     for text, more in zip(texts, chain_spans(texts, fitted), strict=True):
         base = base_spans(text)
-        free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
+        free = [s for s in more if passes(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
         order = lambda s: (KINDS.index(s[0]), s[1], s[2])
         out.append((base, sorted([*base, *free], key=order)))
     return out
@@ -280,6 +307,8 @@ def written(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+#: Bytes of text that are searched at once.
+TEXT = 1 << 20
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, spans_list array<struct<kind:string,start:int,end:int>>"
 _LIST = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -290,8 +319,8 @@ def find(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low, high in pieces(column_bytes(batch.column(0))[1], TEXT):
+                part = batch.slice(low, high - low)
                 found = all_spans([t or "" for t in part.column(0).to_pylist()], fitted)
                 counts = [pa.array([sum(s[0] == k for s in b) for b, _ in found], pa.int64()) for k in KINDS]
                 made = [
@@ -319,8 +348,8 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low, high in pieces(column_bytes(batch.column(place))[1], TEXT):
+                part = batch.slice(low, high - low)
                 texts = part.column(place).to_pylist()
                 found = all_spans([t or "" for t in texts], fitted)
                 made = pa.array([t if t is None else masked(t, a) for t, (_, a) in zip(texts, found, strict=True)], pa.string())

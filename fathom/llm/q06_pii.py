@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fathom.llm import pii
 
@@ -11,4 +12,6 @@ ORACLE_SQL = None
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("spans_list")
+    """The contract's columns, and ``has_pii``: whether any span was found."""
+    found = pii.find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.drop("spans_list").withColumn("has_pii", F.col("spans") != "")

@@ -4,11 +4,30 @@ from fathom.llm import pii
 
 
 def test_an_entity_across_any_word_of_a_long_run():
-    entity, filler = "(212) 555-1234", "17 "
-    for lead in (10, 61, 62, 63, 64, 127, 4095):
-        before = filler * lead
-        found = pii.all_spans([f"{before}{entity} " + filler * 70], pii.model())[0][1]
-        assert any(k == "phone" and a <= len(before) and b >= len(before) + len(entity) for k, a, b in found), (lead, found)
+    entity = "(212) 555-1234"
+    for filler in ("17 ", "12 ", "2024 "):
+        for lead in (0, 1, 10, 61, 62, 63, 64, 65, 127, 10_000):
+            before = filler * lead
+            found = pii.all_spans([f"{before}{entity} " + filler * 70], pii.model())[0][1]
+            assert ("phone", len(before), len(before) + len(entity)) in found, (filler, lead, found[:5])
+
+
+def test_numbers_that_are_no_personal_data():
+    years = [" ".join(f"{y}" for y in range(1990, 1990 + n)) for n in (1, 3, 4, 10, 62, 65)]
+    texts = [*years, "2024 " * 62, "2024 " * 10_000, "12 " * 65, "rows 4711 4712 4713 4714", "3.5 4.5 5.5 6.5", "10:30 11:30 12:30 13:30"]
+    for text in texts:
+        base, found = pii.all_spans([text], pii.model())[0]
+        assert found == base, (text[:40], found[:5])
+        assert [s for s in found if s[0] != "card"] == []
+
+
+def test_every_span_passes_its_kind():
+    rows = pii.labelled_table(20, seed=5)
+    for (text, _), (base, found) in zip(rows, pii.all_spans([t for t, _ in rows], pii.model()), strict=True):
+        assert all(pii.passes(k, text[a:b]) for k, a, b in found if (k, a, b) not in base)
+    bad = {"email": ("a@", "@b.c", "a@b"), "ip": ("1.2.3", "1.2.3.256", "1.2.3.x"), "card": ("1234567812345678", "4111 1111 1111"), "phone": ("2024 2024 2024", "(212) 5", "1" * 16 + "-1")}
+    assert not any(pii.passes(k, x) for k, xs in bad.items() for x in xs)
+    assert pii.passes("phone", "(212) 555-1234") and pii.passes("card", "4111 1111 1111 1111") and pii.passes("ip", "1.2.3.255") and pii.passes("email", "a@b.c")
 
 
 def test_long_runs_take_time_in_proportion():
