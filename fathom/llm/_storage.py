@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,3 +71,11 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, by: list[str], n: str
     left = tell(many).withColumn("_part", F.pmod(F.xxhash64(*by), F.col("_parts").cast("long")).cast("int")).drop("_bucket", "_parts")
     right = tell(one).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_bucket", "_parts")
     return left.join(right, [key, "_part"]).drop("_part")
+
+
+def renamed(df: DataFrame, needed: tuple[str, ...]) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``df`` with all columns but those ``needed`` under names that no operator uses, and the way back to the columns as they
+    were, in their order. So no extra column clashes with an operator's own, not even by its letters' case."""
+    names = df.columns
+    inner = [c if c in needed else f"_extra_{i}" for i, c in enumerate(names)]
+    return df.toDF(*inner), lambda out: out.select(*inner).toDF(*names)

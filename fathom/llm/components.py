@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm._storage import kept
+from fathom.llm._storage import discard, kept
 
 #: Links (16 bytes each) that one task joins.
 BASE = 1_000_000
@@ -62,9 +62,12 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen[0] <= BASE:
-            return kept(now.coalesce(1).mapInArrow(_joined, "id long, component long"), "components")
+            out = kept(now.coalesce(1).mapInArrow(_joined, "id long, component long"), "components")
+            discard(now)
+            return out
         if tuple(seen) == before:
             roots = now.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
             return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
-        before = tuple(seen)
+        before, last = tuple(seen), now
         now = kept(_star(_star(now, True), False), "links")
+        discard(last)

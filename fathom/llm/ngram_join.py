@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm._storage import kept
+from fathom.llm._storage import discard, kept
 from fathom.llm._text import column_bytes, mix, pieces, powers, shingles, word_hashes
 from fathom.llm.components import components
 
@@ -307,6 +307,14 @@ def verified(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str =
     return order.mapInArrow(work, "a long, b long")
 
 
+def same_id(sign: DataFrame, copies: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of copies that one document is in by several texts: its id need not stand for any of them."""
+    inside = sign.where("n > 0 AND id IS NOT NULL").select("id", "h1", "h2")
+    several = inside.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("id")
+    classes_ = inside.join(several, "id", "left_semi").join(copies, ["h1", "h2"]).select("id", "first").distinct()
+    return classes_.join(classes_.groupBy("id").agg(F.min("first").alias("a")), "id").where("first <> a").select("a", F.col("first").alias("b"))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, n_shingles, component_id) for every row."""
     docs = docs.select(key, text)
@@ -317,8 +325,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     met = kept(first_meetings(own.select("id", "n", F.explode("sigs").alias("sig"))), "met")
     close = (F.col("leader") != F.col("id")) & (100 * F.least("leader_n", "n") >= PERCENT * F.greatest("leader_n", "n"))
     pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    label = components(verified(kept(likely(pairs, own), "pairs"), docs, key, text))
+    tried = kept(likely(pairs, own), "pairs")
+    label = components(verified(tried, docs, key, text).unionByName(same_id(sign, copies)))
+    discard(tried)
     members, skip, most = met.select("sig", "id"), 0, FIRST
+    opened = None
     # Sums tell how often an id is in a group, which an xor does not; those of half a hash cannot overflow.
     halves = [F.sum(f(F.xxhash64("id", *more))).alias(f"{c}{k}") for c, more in (("h", []), ("i", [F.lit(1)])) for k, f in enumerate((lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF)))]
     while True:
@@ -328,12 +339,17 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         )
         open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h0", "h1", "i0", "i1").agg(F.min("sig").alias("sig"))  # of groups with the same members one
         tagged = kept(tagged.join(open_.select("sig"), "sig", "left_semi").distinct(), "open")
+        discard(opened, met if opened is None else None)
+        opened = tagged
         if tagged.isEmpty():
             break
         fresh = later_meetings(tagged.join(own.select("id", "n", "bits"), "id"), skip, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = kept(fresh, "pairs")
         if not fresh.isEmpty():
+            before = label
             label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(fresh, docs, key, text)))
+            discard(before)
+        discard(fresh)
         members, skip, most = tagged.select("sig", "id"), skip + most, most * FASTER
     named = sign.select("id", "h1", "h2", "n").join(copies, ["h1", "h2"], "left").join(label.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "first"))
