@@ -28,12 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm._text import column_bytes, pieces
+
 #: Bytes of text of which the distinct words are folded together.
 CHUNK = 1 << 20
 #: A word of more bytes is folded alone.
 LONG = 48
 #: Distinct words that a worker keeps folded.
 KEPT = 150_000
+#: Bytes of text whose ids are given on together.
+TEXT = 2 << 20
 SCHEMA = "n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
 
 
@@ -288,8 +292,8 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", keep: tup
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(vocab := vocabulary(path))
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
+            for low, high in pieces(column_bytes(batch.column(0))[1], TEXT):
+                part = batch.slice(low, high - low)
                 n, all_ids, id_hash, text_hash = [], [], [], []
                 for found in encode_batch(part.column(0).to_pylist(), words, pattern):
                     ids = found.tolist()

@@ -9,7 +9,7 @@ the least edit distance of the item to any part of the text. Hits whose surround
 searched as one stretch, so the work on a text never exceeds its length for an item.
 
 The items are a stated query set: they are searched for in all documents, in blocks of BLOCK bytes.
-Defined cases: null or empty items match nothing, null or empty texts hold nothing; items of equal
+Defined cases: null or empty items match nothing, and items without an id are left out, null or empty texts hold nothing; items of equal
 text are all reported; items of under 16 bytes are matched without edits. Repeated rows are all
 kept and judged alike. Extra columns are kept by ``clean`` and dropped by ``find`` unless in ``keep``.
 """
@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm._storage import renamed
 from fathom.llm._text import LOWER, column_bytes, pieces
 from fathom.llm.quality import df_schema
 
 ERROR_EVERY = 16
 BLOCK = 8 << 20
 BITS = 22
+#: Bytes of text that are searched before their rows are given on.
+TEXT = 4 << 20
 MATCHES = "matches array<struct<item_id:long,distance:int,end:long>>"
 _MATCH = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -191,8 +194,8 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         def work(batches: Iterator[pa.RecordBatch], rows=rows, more=n > 0) -> Iterator[pa.RecordBatch]:
             found = Items(rows)
             for batch in batches:
-                for low in range(0, batch.num_rows, 1024):
-                    part = batch.slice(low, 1024)
+                for low, high in pieces(column_bytes(batch.column(place))[1], TEXT):
+                    part = batch.slice(low, high - low)
                     made = _matches(part.column(place), found)
                     if more:
                         made = [a + b for a, b in zip(part.column(part.num_columns - 1).to_pylist(), made, strict=True)]
@@ -203,5 +206,6 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that no item contaminates, with their columns."""
-    return matched(docs, items, text).where(F.size("matches") == 0).select(*[F.col(f"`{c}`") for c in docs.columns if c != "matches"])
+    """The documents that no item contaminates, with their columns, whatever these are called."""
+    inner, back = renamed(docs, (text,))
+    return back(matched(inner, items, text).where(F.size("matches") == 0))

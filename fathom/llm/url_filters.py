@@ -138,7 +138,9 @@ def _struct(rule: Rule) -> Column:
 
 def judge(df: DataFrame, sites: list[Rule], patterns: list[Rule], url: str = "url") -> DataFrame:
     """``df`` with host, path, rule (the site rule that decides, else null), verdict and matched (the deciding rule of either kind)."""
-    rules = [*sites, *patterns]
+    rules, given = [*sites, *patterns], df.columns
+    df = df.toDF(*[f"_extra_{i}" if c in ("_best", "_url") and c != url else c for i, c in enumerate(given)])
+    names = dict(zip(df.columns, given, strict=True))
     df = df.drop(*[c for c in (*OUT, "matched") if c != url and c in df.columns])
     host, path = host_and_path(F.col(url))
     counts = token_counts(df, url, {t for r in rules for t in r.tokens}) if len(rules) <= LITERAL_RULES and rules else {}
@@ -149,7 +151,7 @@ def judge(df: DataFrame, sites: list[Rule], patterns: list[Rule], url: str = "ur
         df = _by_join(df, rules, url)
     b = F.col("_best")
     return df.select(
-        *[F.col(f"`{c}`") for c in df.columns if c != "_best"],
+        *[F.col(f"`{c}`").alias(names[c]) for c in df.columns if c != "_best"],
         host.alias("host"), path.alias("path"),
         F.when(b["site"] == 1, b["text"]).alias("rule"),
         F.coalesce(b["action"], F.lit("allow")).alias("verdict"), b["text"].alias("matched"),
