@@ -4,8 +4,8 @@ A document's terms are its words, with A-Z lower-cased and signs as gaps, and th
 longer ones, by which compound and inflected words share a term, all hashed; those that it holds are
 its features, each with value 1. Besides a weight, every term has a vector, and the
 product of two terms' vectors is the weight of their occurring together: an insult beside a group's
-name weighs more than both alone. Of the terms in the sample, TERMS with the most information on the
-label (mutual information) have parameters; all others count as zero.
+name weighs more than both alone. Those terms have parameters that the sample holds evidence for: all whose
+likelihood-ratio statistic on the label reaches EVIDENCE, however many, and LEAST at the least; the others count as zero.
 
 Fitting takes at most SAMPLE labelled rows, those with the least hash of their id. Labels whose
 crc32(id as text) mod FOLDS is HELD_OUT are never fitted on. Every document is scored over its whole text.
@@ -30,7 +30,10 @@ from fathom.llm._text import LOWER, column_bytes, find_words, pieces, prefix_has
 from fathom.llm.quality import df_schema, sampled, sigmoid
 
 SAMPLE = 8000
-TERMS = 512
+#: The statistic (chi-squared, one degree of freedom) from which a term counts as told by the label; chance passes one in 25 million.
+EVIDENCE = 30.0
+#: So many terms have parameters even without evidence of their own: two can tell together what neither does.
+LEAST = 512
 FACTORS = 4
 BITS = 22
 #: Bytes of the beginnings that are terms too.
@@ -75,13 +78,13 @@ class Model:
         n = len(offsets) - 1
         held = getattr(self, "_table", None)
         if held is None:
-            held = np.full(1 << BITS, -1, np.int16)
+            held = np.full(1 << BITS, -1, np.int32)
             held[self.known] = np.arange(len(self.known))
             self._table = held
         row, code = terms(data, offsets)
         at = held[code]
-        both = np.unique(row[at >= 0] * (TERMS + 1) + at[at >= 0])
-        return sigmoid(predict(both // (TERMS + 1), both % (TERMS + 1), n, self.bias, self.weights, self.vectors))
+        both = np.unique((row[at >= 0] << BITS) | at[at >= 0])
+        return sigmoid(predict(both >> BITS, both & ((1 << BITS) - 1), n, self.bias, self.weights, self.vectors))
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_table"}
@@ -96,8 +99,9 @@ def predict(row: np.ndarray, term: np.ndarray, n: int, bias: float, weights: np.
     return out
 
 
-def informative(row: np.ndarray, code: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """The codes, in order, with the most mutual information with the label; of equals the lesser codes."""
+def informative(row: np.ndarray, code: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The codes, in order, whose likelihood-ratio statistic on the label (twice the rows times their mutual information) reaches
+    EVIDENCE, and LEAST of the greatest; of equals the lesser codes."""
     codes, at = np.unique(code, return_inverse=True)
     n, n1 = len(y), y.sum()
     here = np.bincount(at, minlength=len(codes)).astype(float)
@@ -106,9 +110,9 @@ def informative(row: np.ndarray, code: np.ndarray, y: np.ndarray, most: int) ->
     for a, pa_, pb in ((both, here, n1), (here - both, here, n - n1), (n1 - both, n - here, n1), (n - n1 - here + both, n - here, n - n1)):
         with np.errstate(divide="ignore", invalid="ignore"):
             info += np.where(a > 0, a / n * np.log(a * n / (pa_ * pb)), 0)
-    info[here < 3] = 0
-    best = np.lexsort((codes, -info))[:most]
-    return np.sort(codes[best][info[best] > 0])
+    told = 2 * n * info >= EVIDENCE
+    told[np.lexsort((codes, -info))[:LEAST]] = True
+    return codes[told & (info > 0)]
 
 
 def fit(docs: list[list[int]], labels: list[int], rounds: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Model:
@@ -119,7 +123,7 @@ def fit(docs: list[list[int]], labels: list[int], rounds: int = 400, rate: float
         return Model(np.zeros(0, np.int64), float(np.log((share + 1e-3) / (1 - share + 1e-3))), np.zeros(0), np.zeros((0, FACTORS)))
     row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
     code = np.concatenate([np.asarray(d, np.int64) for d in docs])
-    known = informative(row, code, y, TERMS)
+    known = informative(row, code, y)
     at = np.searchsorted(known, code)
     hit = at < len(known)
     hit[hit] = known[at[hit]] == code[hit]
