@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from fathom import queries as registry
-from fathom.queries import relational, retrieval, streams, text  # noqa: F401  they register themselves
+from fathom.queries import components, relational, retrieval, streams, text  # noqa: F401  they register themselves
 
 
 def queries() -> dict:

@@ -19,7 +19,6 @@ from fathom.plans import retrieval as plans
 from fathom.plans.settings import get_settings
 from fathom.sinks import markdown, write_json
 from fathom.sources import feeds, files, stix
-from fathom.streaming import since
 
 SOURCES = ("mitre", "relationships", "otx", "whois", "pdns", "virustotal")
 
@@ -36,15 +35,10 @@ def read_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return make(spark.read.schema(schema).json(path))
 
 
-def index(spark: SparkSession, table: str, model: str) -> plans.Index:
-    chunks = spark.table(table).withColumn("attack_id", F.get_json_object("metadata", "$.attack_id")).withColumn("pulse_id", F.get_json_object("metadata", "$.pulse_id"))
-    return ingest.index_of(chunks.withColumn("vector", hashed_vector()(F.col("content"))), model)
-
-
 def search(a: argparse.Namespace) -> int:
     spark = session()
     queries = spark.createDataFrame([(0, a.text)], "query_id int, text string")
-    found = plans.build(index(spark, a.table, a.model), a.config, embed=hashed_vector(), score=overlap_score).run(queries, a.k, a.source)
+    found = plans.build(ingest.stored_index(spark, a.table, a.model), a.config, embed=hashed_vector(), score=overlap_score).run(queries, a.k, a.source)
     rows = found.select((F.col("rank") + 1).alias("rank"), F.round("score", 4).alias("score"), "source", F.substring("chunk_id", 1, 12).alias("id"), snippet(F.col("content")).alias("content"))
     print(markdown(rows.orderBy("rank")))
     return 0
@@ -62,9 +56,9 @@ def load(a: argparse.Namespace) -> int:
 
 
 def refresh(a: argparse.Namespace) -> int:
-    """Documents changed after a mark, chunked again."""
+    """Documents that their source changed after a mark, or of which it does not say when, chunked again."""
     docs = read_source(session(), a.kind, a.path)
-    print(json.dumps(ingest.seed(since(docs, "retrieved_at", a.since), a.out)))
+    print(json.dumps(ingest.seed(ingest.changed_since(docs, a.since), a.out)))
     return 0
 
 
@@ -72,7 +66,7 @@ def evaluate(a: argparse.Namespace) -> int:
     spark = session()
     queries = files.query_set(spark, a.queries, a.suite == "retrieval")
     asked = queries.select("query_id", F.col("query").alias("text"))
-    built, rows = index(spark, a.table, a.model), []
+    built, rows = ingest.stored_index(spark, a.table, a.model), []
     for config in dict.fromkeys(a.config):
         results = plans.build(built, config, get_settings(), hashed_vector(), overlap_score).run(asked, max(a.k))
         found = evaluation.query_set(results, queries, sorted(set(a.k))) if a.suite == "retrieval" else evaluation.attribution(results, queries, sorted(set(a.k)))[0]

@@ -17,8 +17,8 @@ Embedder = Callable[[Column], Column]
 Scorer = Callable[[Column, Column], Column]
 Writer = Callable[[Column], Column]
 
-#: Models by short name.
-ALIASES = {"bge-m3": "BAAI/bge-m3", "minilm": "sentence-transformers/all-MiniLM-L6-v2"}
+#: Fixed value: the model with a short name.
+ALIASES = {"bge-m3": "BAAI/bge-m3"}
 FAILED = "[generation failed]"
 #: What the models are told.
 ANSWER_PROMPT = "Answer from the given context only. Put the id of every chunk you rely on in square brackets."
@@ -28,7 +28,52 @@ REWRITE_PROMPT = "Write a short passage that a report answering this question wo
 
 
 def model_name(name: str) -> str:
-    return ALIASES.get(name.lower(), name)
+    return ALIASES.get(name.strip(), name.strip())
+
+
+TASKS = ("rewrite", "analysis", "report")
+
+
+def routed(task: str, models: dict[str, str], provider: str = "", local: str = "") -> str:
+    """The model for a task: the local one for all if there is one, else a provider's single model (``models[provider]``), else the task's own."""
+    if task not in TASKS:
+        raise ValueError(f"unknown task {task!r}")
+    return local or models.get(provider) or models[task]
+
+
+def batch_scorer(score: Callable[[list[str], list[str]], list[float]], batch: int = 8, longest: int = 512) -> Scorer:
+    """A scorer of pairs that runs on the executors: a model function gets ``batch`` pairs at a time, contents cut to ``longest`` words."""
+
+    @F.pandas_udf("double")
+    def scored(queries: pd.Series, contents: pd.Series) -> pd.Series:
+        cut = [" ".join((c or "").split()[:longest]) for c in contents]
+        out: list[float] = []
+        for low in range(0, len(cut), batch):
+            out += score([q or "" for q in queries[low : low + batch]], cut[low : low + batch])
+        return pd.Series(out, dtype=float)
+
+    return scored
+
+
+def batch_writer(write: Callable[[str], str], tries: int = 3, wait: float = 2.0) -> Writer:
+    """A language model that runs on the executors: a prompt is tried again, waiting longer each time, and null where all tries fail."""
+
+    @F.pandas_udf("string")
+    def written(prompts: pd.Series) -> pd.Series:
+        import time
+
+        def one(prompt: str | None) -> str | None:
+            for n in range(tries):
+                try:
+                    return None if prompt is None else write(prompt)
+                except Exception:  # noqa: BLE001  any client, any fault
+                    if n + 1 < tries:
+                        time.sleep(wait * 2**n)
+            return None
+
+        return prompts.map(one)
+
+    return written
 
 
 def hashed_vector(dim: int = 64) -> Embedder:

@@ -37,5 +37,23 @@ def answer_rows(answers: DataFrame, results: DataFrame, references: DataFrame |
     return out if references is None else out.join(references, query, "left")
 
 
+def with_embedding_model(docs: DataFrame, model: str) -> DataFrame:
+    """Documents that say which model their vectors are of."""
+    return docs.withColumn("embedding_model", F.lit(model))
+
+
+def query_records(per_query: DataFrame, results: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, category, hits by k, rr, target_rank, retrieved ids in order): what is kept of each query; the rank of the target is 1 / rr, null without a hit."""
+    own = per_query.groupBy(query, "category").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "hit")))).alias("hits"), F.max("rr").alias("rr"))
+    got = results.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))), lambda x: x["chunk_id"]).alias("retrieved"))
+    return own.join(got, query, "left").withColumn("target_rank", F.when(F.col("rr") > 0, F.round(1 / F.col("rr")).cast("int")))
+
+
+def relative_path(path: str, root: str) -> str:
+    """A path below the root as seen from there, any other as it is."""
+    inside = path.removeprefix(root.rstrip("/") + "/")
+    return inside if inside != path else path
+
+
 def snippet(content: Column, n: int = 120) -> Column:
     return F.translate(F.substring(content, 1, n), "\n", " ")

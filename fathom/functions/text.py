@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 STRUCTURED_SOURCES = ("whois", "pdns", "virustotal")
 #: Fixed value: the namespace of point ids.
 POINT_NAMESPACE = "d7b3a5a64f724e869b882e5f5d8a1c3e"
+# How techniques and secrets look, and the answers that name no actor.
 TECHNIQUE = r"T\d{4}(?:\.\d{3})?"
 SECRET = r"(?i)(api[_-]?key|token|authorization)\s*[=:]\s*(?:bearer\s+)?\S+"
-NO_ACTOR = ("none", "unknown", "n/a", "no actor", "null", "")
+NO_ACTOR = ("", "none", "unknown", "n/a", "na", "no actor", "cannot be determined", "undetermined")
 READ_CAP = 8000
 
 
@@ -62,6 +63,11 @@ def technique_set(ids: Column, level: str = "technique") -> Column:
     return F.array_distinct(F.transform(kept, lambda x: technique(x, level)))
 
 
+def chunk_technique(metadata: Column) -> Column:
+    """The technique id in a chunk's metadata, stripped and upper-cased; null where there is none."""
+    return F.nullif(F.upper(strip(F.get_json_object(metadata, "$.attack_id"))), F.lit(""))
+
+
 def same_technique(a: Column, b: Column) -> Column:
     """Equal ids, or one is a sub-technique of the other, whatever their case."""
     x, y = F.upper(strip(a)), F.upper(strip(b))

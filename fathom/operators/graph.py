@@ -68,7 +68,32 @@ def edge_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     rows = edges.join(kind.select(F.col("id").alias("src"), F.col("type").alias("a")), "src", "left").join(kind.select(F.col("id").alias("dst"), F.col("type").alias("b")), "dst", "left")
     rows = rows.groupBy(F.coalesce("a", reference_type(F.col("src"))).alias("src_type"), "rel", F.coalesce("b", reference_type(F.col("dst"))).alias("dst_type")).agg(F.count("*").alias("n"))
     total = rows.agg(F.sum("n").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select("src_type", "rel", "dst_type", "n", (F.col("n") / F.col("total")).alias("share"))
+    out = rows.crossJoin(F.broadcast(total)).select("src_type", "rel", "dst_type", "n", (F.col("n") / F.col("total")).alias("share"))
+    return out.orderBy(F.desc("n"), "src_type", "rel", "dst_type")
+
+
+def relation_statistics(edges: DataFrame) -> DataFrame:
+    """(rel, n): most frequent first."""
+    return edges.groupBy(F.coalesce("rel", F.lit("<unknown>")).alias("rel")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rel")
+
+
+#: The triples that tell who uses what.
+TRIPLES = (
+    ("intrusion-set", "uses", "attack-pattern"), ("intrusion-set", "uses", "malware"), ("intrusion-set", "uses", "tool"), ("campaign", "attributed-to", "intrusion-set"),
+    ("campaign", "uses", "attack-pattern"), ("campaign", "uses", "malware"), ("campaign", "uses", "tool"),
+)
+
+
+def chosen_triples(statistics: DataFrame, triples: tuple = TRIPLES) -> DataFrame:
+    """(position, src_type, rel, dst_type, n, percent) of some triples, 0 where there is none, and their total in a last row without types."""
+    spark = statistics.sparkSession
+    wanted = spark.createDataFrame([(i, *t) for i, t in enumerate(triples)], "position int, src_type string, rel string, dst_type string")
+    rows = wanted.join(statistics.drop("share"), ["src_type", "rel", "dst_type"], "left").select("position", "src_type", "rel", "dst_type", F.coalesce("n", F.lit(0)).alias("n"))
+    none = F.lit(None).cast("string")
+    last = rows.agg(F.sum("n").alias("n")).select(F.lit(len(triples)).alias("position"), none.alias("src_type"), none.alias("rel"), none.alias("dst_type"), "n")
+    total = statistics.agg(F.greatest(F.coalesce(F.sum("n"), F.lit(0)), F.lit(1)).alias("total"))
+    out = rows.unionByName(last).crossJoin(F.broadcast(total))
+    return out.select("position", "src_type", "rel", "dst_type", "n", F.round(100 * F.col("n") / F.col("total"), 1).alias("percent"))
 
 
 def node_statistics(nodes: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ def first_by_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with their keys; of several new rows the last (column ``seq``, if any) counts."""
+    """Rows of ``new`` replace those of ``old`` with their keys; of several new rows the last by ``seq`` counts. Without that column a key has one new row, or rows that are equal."""
     fresh = last_by_key(new, keys, "seq").drop("seq") if "seq" in new.columns else new.dropDuplicates(keys)
     return old.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh.select(*old.columns))
 

@@ -63,6 +63,12 @@ def merge_forward(sections: DataFrame, document: str = "doc_id", position: str =
     return rows.where(~F.col("_gives")).drop("_gives").select(*sections.columns)
 
 
+def page_sections(pages: DataFrame, document: str = "doc_id") -> DataFrame:
+    """Plain pages (page, text) to sections: one for each whose cleaned text has LEAST_RAW characters, without a title."""
+    rows = pages.withColumn("text", clean_section(F.coalesce("text", F.lit("")))).where(F.length("text") >= LEAST_RAW)
+    return rows.select(document, F.col("page").alias("position"), F.lit("").alias("section_title"), "page", "text")
+
+
 def titled_sections(elements: DataFrame, document: str = "doc_id", position: str = "position") -> DataFrame:
     """Page elements (kind, text, page) to sections: each title or header starts one; bodies of under LEAST_RAW characters go."""
     order = Window.partitionBy(document).orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,4 +1,4 @@
-"""Ingestion: documents to chunks, chunks to tables; runs again add only what is new."""
+"""Ingestion: documents to chunks, chunks to tables; a run again changes only what has changed."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from fathom.functions.text import point_id
 from fathom.operators.chunking import chunk
-from fathom.operators.keyed import pending
 from fathom.plans.retrieval import Index, build_index
 from fathom.sinks import read_model, upsert_table, write_chunks, write_model
 from fathom.sources import files
@@ -23,23 +22,35 @@ def seed(docs: DataFrame, path: str, strategy: str | None = None, limit: int | N
 
 
 def load(spark: SparkSession, paths: dict[str, str], table: str) -> dict[str, int]:
-    """Chunk files by source into a table keyed by point id; a missing file counts 0. Only chunks that the table lacks are added."""
+    """Chunk files by source into a table keyed by point id; a missing file counts 0. A chunk replaces what the table has under its id; of several in the files the last counts."""
     out = {}
     for source, path in paths.items():
         try:
-            rows, _ = files.chunks(spark, path)
+            rows = files.chunks(spark, path)[0].withColumn("seq", files.place())
         except Exception as e:  # Spark's error for a missing path
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             out[source] = 0
             continue
         rows = rows.withColumn("point_id", point_id(F.col("id"))).withColumnRenamed("id", "chunk_id")
-        if spark.catalog.tableExists(table):
-            rows = pending(rows, spark.table(table), "point_id")
         out[source] = upsert_table(rows, table, ["point_id"], "source")
     return out
 
 
+def changed_since(docs: DataFrame, mark: str | None) -> DataFrame:
+    """Documents whose source's own time of change is after a mark (both ISO 8601, compared as text); those without one stay."""
+    if mark is None:
+        return docs
+    changed = F.coalesce(*[F.nullif(F.get_json_object("metadata", f"$.{k}"), F.lit("")) for k in ("last_modified", "updated", "last_seen")])
+    return docs.where(changed.isNull() | (changed > mark))
+
+
+def status_counts(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(status, n, chunks) of a run's log, and of those before it."""
+    rows = log.select("status", "chunks") if before is None else log.select("status", "chunks").unionByName(before.select("status", "chunks"))
+    return rows.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
+
+
 def model(chunks: DataFrame, path: str, refit: bool = False) -> tuple[DataFrame, DataFrame]:
     """The BM25 tables at ``path``: those that are there, unless asked to fit anew."""
     spark = chunks.sparkSession
@@ -60,3 +71,11 @@ def index_of(chunks: DataFrame, path: str) -> Index:
 
     terms, stats = model(chunks, path)
     return Index(chunks, terms, stats, R.postings(R.term_counts(chunks), terms, stats))
+
+
+def stored_index(spark: SparkSession, table: str, model_path: str) -> Index:
+    """The index over a stored table: ids of techniques and pulses from its metadata, hashed vectors, stored BM25 tables."""
+    from fathom.functions.models import hashed_vector
+
+    chunks = spark.table(table).withColumn("attack_id", F.get_json_object("metadata", "$.attack_id")).withColumn("pulse_id", F.get_json_object("metadata", "$.pulse_id"))
+    return index_of(chunks.withColumn("vector", hashed_vector()(F.col("content"))), model_path)

@@ -1,12 +1,11 @@
-"""Streams over ``events`` drained once, beside the SQL of their batch twins."""
+"""Streams over ``events`` drained once to files, beside the SQL of their batch twins."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from fathom.queries import query, table
+from fathom.sinks import new_folder
 from fathom.streaming import deduplicated, drain, event_stream, sessions, tumbling
 
 
@@ -15,14 +14,7 @@ def _events(spark, d, late: str | None = "1 day"):
 
 
 def _drain(rows, mode="complete"):
-    spark = rows.sparkSession
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    name = f"drained_{uuid.uuid4().hex}"
-    try:
-        return drain(rows, name, mode)
-    finally:
-        if before:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return drain(rows, new_folder(rows.sparkSession, "stream"), mode)
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -42,8 +34,7 @@ def stream_sliding(spark, d):
 b AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT * FROM a ORDER BY user_id, ts))
 SELECT user_id, min(ts) AS start, (max(ts) + INTERVAL 6 HOUR)::TIMESTAMP AS "end", count(*) AS n FROM b GROUP BY user_id, s""")
 def stream_session(spark, d):
-    rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = sessions(rows, "6 hours", "user_id")
+    out = _drain(sessions(_events(spark, d), "6 hours", "user_id"))
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 

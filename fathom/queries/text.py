@@ -171,21 +171,16 @@ def render_prose(spark, d):
     return rows.select("s_suppkey", feeds.whois_text().alias("content"))
 
 
-@query("""SELECT conv_id, count(*) AS n, string_agg(role, '>' ORDER BY turn) AS roles, arg_max(text, turn) AS last_text FROM conversations GROUP BY conv_id""")
-def context_messages(spark, d):
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return rows.select("conv_id", "n", F.array_join(F.transform("m", lambda x: x["role"]), ">").alias("roles"), F.element_at("m", -1)["text"].alias("last_text"))
-
-
-LINKS = """
-h AS (SELECT page_id, url, regexp_extract_all(html, '<a\\s[^>]*?href\\s*=\\s*"([^"]*)"', 1, 'i') AS hs FROM pages),
+LINKS = rf"""
+h AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '{files.ANCHOR.replace("'", "''").removeprefix("(?i)")}', 0, 'i'),
+  lambda x: regexp_replace(regexp_replace(x, '{files.ANCHOR_HEAD.removeprefix("(?i)")}', '', 'i'), '^["'']|["'']$', '', 'g')) AS hs FROM pages),
 u AS (SELECT page_id, url, (unnest(range(0, len(hs))))::INT AS position, unnest(hs) AS href FROM h),
 l AS (
-  SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]*)', 1) AS site,
-    regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.\\-]*://[^/]*(?:/.*)?)/[^/]*$', 1) AS folder FROM u),
+  SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS site,
+    regexp_extract(regexp_replace(url, '[?#].*$', ''), '^([A-Za-z][A-Za-z0-9+.\-]*://[^/]*(?:/.*)?)/[^/]*$', 1) AS folder FROM u),
 links AS (
-  SELECT page_id, url, position, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\\-]*:') THEN href
-    WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\\-]*):', 1) || ':' || href
+  SELECT page_id, url, position, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.\-]*:') THEN href
+    WHEN starts_with(href, '//') THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*):', 1) || ':' || href
     WHEN starts_with(href, '/') THEN site || href
     ELSE CASE WHEN regexp_matches(folder, '://[^/]+') THEN folder ELSE site END || '/' || href END AS link FROM l)"""
 

@@ -14,16 +14,22 @@ from fathom.operators.keyed import last_by_key, upsert
 RECORD = ("id", "parent_doc_id", "source", "content", "chunk_index", "metadata", "retrieved_at")
 
 
-def materialized(df: DataFrame, name: str = "step") -> DataFrame:
-    """``df`` written to the folder the cluster shares (spark.checkpoint.dir) and read back, which ends its lineage."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder the cluster shares: spark.checkpoint.dir, or, for a local session as in tests, one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("fathom.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         folder = f"file://{tempfile.mkdtemp(prefix='fathom-')}"
         spark.conf.set("fathom.shared.dir", folder)
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialized(df: DataFrame, name: str = "step") -> DataFrame:
+    """``df`` written to the shared folder and read back, which ends its lineage."""
+    path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
@@ -56,6 +62,37 @@ def upsert_table(new: DataFrame, table: str, keys: list[str], partition: str | N
     return n
 
 
+def ensure_table(spark: SparkSession, table: str, schema: str, partition: str | None = None) -> bool:
+    """Creates a table with this schema if there is none; whether it did."""
+    if spark.catalog.tableExists(table):
+        return False
+    parts = f" PARTITIONED BY ({partition})" if partition else ""
+    spark.sql(f"CREATE TABLE {table} ({schema}) USING parquet{parts}")
+    return True
+
+
+def point_count(table: DataFrame, source: str | None = None) -> int:
+    """How many points there are, of all sources or of one."""
+    return (table if source is None else table.where(F.col("source") == source)).count()
+
+
+def write_query_set(queries: DataFrame, path: str) -> None:
+    """A query set as JSON lines, in order of its ids."""
+    queries.repartitionByRange(1, "query_id").sortWithinPartitions("query_id").write.mode("overwrite").json(path)
+
+
+def cached(spark: SparkSession, path: str, make, schema: str, most: int | None = None, order: str | None = None) -> DataFrame:
+    """Rows kept as JSON lines at ``path``: read if they are there, else made and written. A limit takes the first by ``order``."""
+    try:
+        rows = spark.read.schema(schema).json(path)
+    except Exception as e:  # Spark's error for a missing path
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        make().write.json(path)
+        rows = spark.read.schema(schema).json(path)
+    return rows if most is None else rows.orderBy(order or rows.columns[0]).limit(most)
+
+
 def append_log(rows: DataFrame, path: str) -> None:
     """Checkpoint rows (key, status, chunks, error) appended as JSON lines."""
     rows.write.mode("append").json(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import document_id, resolve_url, safe_filename, technique_ids
@@ -32,6 +32,11 @@ def chunks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(~whole)
 
 
+def place() -> Column:
+    """Where a row stands among the files read: later files, then later parts of a file, then later lines are greater."""
+    return F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+
+
 def pulse_ids(value: Column) -> Column:
     """Null, a string or a JSON list, read as a string, to a list without empty entries."""
     many = F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>")).otherwise(F.array(value))
@@ -55,9 +60,10 @@ def labelled_texts(rows: DataFrame, text: str, ids: str, most: int | None = None
 
 
 def numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(position, ``name``): the lines of a text file with their numbers, counted over the file's parts in order."""
-    rows = spark.read.text(path).rdd.zipWithIndex().map(lambda x: (x[1], x[0][0]))
-    return spark.createDataFrame(rows, f"position long, {name} string")
+    """(position, ``name``): the lines of a small text file with their numbers; several files count on in order of their paths."""
+    files_ = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path")
+    rows = files_.select("file_path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", name))
+    return rows.select((F.row_number().over(Window.orderBy("file_path", "line")) - 1).cast("long").alias("position"), name)
 
 
 def paired(spark: SparkSession, texts: str, gold: str) -> DataFrame:
@@ -77,9 +83,8 @@ def on_platform(rows: DataFrame, platform: str | None) -> DataFrame:
 
 def checkpoint(spark: SparkSession, path: str, key: str = "pulse_id") -> DataFrame:
     """The last record of each key of an append-only log; malformed lines do not count."""
-    rows = lines(spark, path, "pulse_id string, status string, chunks int, error string").where(f"_corrupt IS NULL AND {key} IS NOT NULL").drop("_corrupt")
-    place = rows.withColumn("_file", F.input_file_name()).withColumn("_n", F.monotonically_increasing_id())
-    return last_by_key(place, [key], "_n").drop("_file", "_n")
+    rows = lines(spark, path, "pulse_id string, status string, chunks int, error string").where(f"_corrupt IS NULL AND {key} IS NOT NULL")
+    return last_by_key(rows.withColumn("_n", place()), [key], "_n").drop("_n", "_corrupt")
 
 
 def distinct_keys(rows: DataFrame, column: str) -> DataFrame:
@@ -134,10 +139,17 @@ def reports(spark: SparkSession, folder: str, parser: Parser, glob: str = "*.pdf
     return rows.select(document_id("pdf", key).alias("id"), F.lit("pdf").alias("source"), F.col("text").alias("content"), metadata.alias("metadata"))
 
 
+#: An anchor up to the end of its target, which is in double or single quotes or bare; and what stands before the target.
+ANCHOR_HEAD = r"(?i)^<a\s(?:[^>]*?\s)?href\s*=\s*"
+ANCHOR = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """(url, position, link): the targets of all anchors, made absolute."""
-    found = F.regexp_extract_all(html, F.lit(r'(?i)<a\s[^>]*?href\s*=\s*"([^"]*)"'), 1)
-    return pages.select(url, F.posexplode(found).alias("position", "href")).select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
+    found = F.regexp_extract_all(html, F.lit(ANCHOR), 0)
+    rows = pages.select(url, F.posexplode(found).alias("position", "tag"))
+    href = F.regexp_replace(F.regexp_replace("tag", ANCHOR_HEAD, ""), "^[\"']|[\"']$", "")
+    return rows.select(url, "position", href.alias("href")).select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
 
 
 def report_links(found: DataFrame, kind: str) -> DataFrame:
@@ -157,3 +169,56 @@ def first_links(lists: list[DataFrame], most: int | None = None) -> DataFrame:
     one = first_by_key(rows, ["link"], "list", "position").withColumn("filename", safe_filename(F.col("link")))
     one = one.orderBy("list", "position", "link")
     return one if most is None else one.limit(most)
+
+
+def newest_where(files_: DataFrame, holds: Column) -> DataFrame:
+    """Of whole-text files (value, file_path, file_modification_time) the newest whose content passes a test."""
+    return files_.where(holds).orderBy(F.desc("file_modification_time"), F.desc("file_path")).limit(1)
+
+
+def saved_metrics(spark: SparkSession, path: str, required: tuple[str, ...] = ("config", "category", "k", "hit_rate", "mrr")) -> DataFrame:
+    """A saved evaluation; one that lacks a required key is an error."""
+    rows = spark.read.option("multiLine", True).json(path)
+    if missing := [c for c in required if c not in rows.columns]:
+        raise ValueError(f"{path} lacks {', '.join(missing)}")
+    return rows
+
+
+def pooled(sources: list[DataFrame], n: int, seed: int = 42, key: str = "id") -> DataFrame:
+    """n rows of several sources together, drawn by a seeded hash of their keys: the same rows however they lie."""
+    rows = sources[0]
+    for df in sources[1:]:
+        rows = rows.unionByName(df)
+    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+#: Fixed value: bytes of a report beyond which it is not kept.
+MOST_BYTES = 50 * 1024 * 1024
+
+
+def usable_report(content_type: str, url: str, size: int) -> bool:
+    """Whether an answer is a report to keep: it says so, or its URL does, and it is not too large."""
+    return ("pdf" in content_type or url.lower().endswith(".pdf")) and size <= MOST_BYTES
+
+
+def download(url: str, folder: str, name: str, dry_run: bool = False, timeout: float = 30.0) -> bool:
+    """One report into a folder, by any file system; what is there already is not fetched again. Whether it is there, or would be."""
+    import urllib.request
+
+    import pyarrow.fs as pafs
+
+    system, base = pafs.FileSystem.from_uri(folder)
+    at = f"{base}/{name}"
+    if dry_run or system.get_file_info(at).type == pafs.FileType.File:
+        return True
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            data = answer.read(MOST_BYTES + 1)
+            if not usable_report(answer.headers.get("content-type", ""), url, len(data)):
+                return False
+    except (OSError, ValueError):
+        return False
+    system.create_dir(base, recursive=True)
+    with system.open_output_stream(at) as out:
+        out.write(data)
+    return True

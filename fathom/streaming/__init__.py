@@ -39,13 +39,25 @@ def deduplicated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(list(keys)) if rows.isStreaming else rows.dropDuplicates(list(keys))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> DataFrame:
-    """All that is there now, run through the stream into a table in memory: for small results and tests."""
-    spark = stream.sparkSession
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All that is there now, run through the stream into Parquet files under ``folder``, with its checkpoint beside them.
+
+    In mode ``append`` a window comes out once the watermark has passed it; in ``complete`` each batch replaces the last,
+    so that what is read is the final state. Nothing is gathered on the driver."""
+    spark, out = stream.sparkSession, f"{folder}/out"
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    if mode == "append":
+        query = writer.format("parquet").option("path", out).start()
+    else:
+        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def unexpired(rows: DataFrame, time: str, days: int = 90, now=None) -> DataFrame:
+    """Rows of the last days: what a refresh by time keeps of patterns that expire."""
+    until = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return rows.where(F.col(time).cast("timestamp") > until - F.make_interval(days=F.lit(days)))
 
 
 def upsert_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> None:

@@ -309,7 +309,9 @@ def test_files_and_sinks(spark, tmp_path):
     assert good.count() == 2 and skipped.count() == 2
     spark.sql("DROP TABLE IF EXISTS points")
     assert ingest.load(spark, {"otx": f"{tmp_path}/c", "none": f"{tmp_path}/absent"}, "points") == {"otx": 2, "none": 0}
-    assert ingest.load(spark, {"otx": f"{tmp_path}/c"}, "points") == {"otx": 0} and spark.table("points").count() == 2
+    ingest.seed(docs.withColumn("retrieved_at", F.lit("2026-01-01T00:00:00")).withColumn("content", F.concat(F.lit("New "), "content")), f"{tmp_path}/c2", limit=1)
+    assert ingest.load(spark, {"otx": f"{tmp_path}/c2"}, "points") == {"otx": 1}
+    assert sorted(r["content"] for r in spark.table("points").collect()) == ["New Text 0. More.", "Text 1. More."]
     spark.sql("DROP TABLE points")
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, seq int")
     spark.sql("DROP TABLE IF EXISTS kv")
