@@ -72,6 +72,7 @@ def fit(chains: list[list[list[int]]], labels: list[list[int]], n_features: int,
     params = [np.zeros((n_features + 1, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)]
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     hot = np.eye(n_labels)[y] * on[:, :, None]
+    held = x[on].ravel()
     for round_ in range(1, rounds + 1):
         emit, move, first = params[0], params[1] + bar_move, params[2] + bar_first
         e = emit[x].sum(axis=2)
@@ -87,8 +88,8 @@ def fit(chains: list[list[list[int]]], labels: list[list[int]], n_features: int,
         p = np.exp(alpha + beta - total[:, None, None]) * on[:, :, None]
         diff = (p - hot) / n
         grads = [np.zeros_like(params[0]), np.zeros_like(params[1]), diff[:, 0].sum(axis=0)]
-        for j in range(x.shape[2]):
-            np.add.at(grads[0], x[:, :, j].ravel(), diff.reshape(-1, n_labels))
+        for label in range(n_labels):
+            grads[0][:, label] = np.bincount(held, np.repeat(diff[on, label], x.shape[2]), minlength=n_features + 1)
         for t in range(1, steps):
             both = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None])
             grads[1] += ((both - hot[:, t - 1, :, None] * hot[:, t, None, :]) * on[:, t, None, None]).sum(axis=0) / n
