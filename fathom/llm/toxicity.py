@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -102,10 +103,11 @@ def predict(row: np.ndarray, term: np.ndarray, n: int, bias: float, weights: np.
 def informative(row: np.ndarray, code: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The codes, in order, whose likelihood-ratio statistic on the label (twice the rows times their mutual information) reaches
     EVIDENCE, and LEAST of the greatest; of equals the lesser codes."""
-    codes, at = np.unique(code, return_inverse=True)
+    count = np.bincount(code)
+    codes = np.flatnonzero(count)
     n, n1 = len(y), y.sum()
-    here = np.bincount(at, minlength=len(codes)).astype(float)
-    both = np.bincount(at, y[row], minlength=len(codes))
+    here = count[codes].astype(float)
+    both = np.bincount(code, y[row])[codes]
     info = np.zeros(len(codes))
     for a, pa_, pb in ((both, here, n1), (here - both, here, n - n1), (n1 - both, n - here, n1), (n - n1 - here + both, n - here, n - n1)):
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -115,7 +117,7 @@ def informative(row: np.ndarray, code: np.ndarray, y: np.ndarray) -> np.ndarray:
     return codes[told & (info > 0)]
 
 
-def fit(docs: list[list[int]], labels: list[int], rounds: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Model:
+def fit(docs: list[np.ndarray] | list[list[int]], labels: list[int], rounds: int = 400, rate: float = 0.05, decay: float = 2e-4, seed: int = 7) -> Model:
     """Full-batch Adam on the logistic loss; positive rows weigh as much as negative ones in part."""
     y = np.array(labels, float)
     if len(y) == 0 or y.min() == y.max():
@@ -166,8 +168,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
                 yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(low, high - low)], ["t", "y"])
 
     rows = few.mapInArrow(work, "t array<int>, y int").toArrow()
-    pairs = sorted(zip(rows["t"].to_pylist(), rows["y"].to_pylist(), strict=True))
-    return fit([t for t, _ in pairs], [int(y > 0) for _, y in pairs])
+    labelled = rows["y"].to_pylist()
+    held = [c for c in rows["t"].chunks if len(c)]
+    found = [np.asarray(c.values)[low:high] for c in held for low, high in pairwise(c.offsets.to_pylist())]
+    # In the order of the terms, so that sums do not depend on the order in which rows arrive.
+    order = sorted(range(len(found)), key=lambda i: (found[i].astype(">i4").tobytes(), labelled[i]))
+    return fit([found[i] for i in order], [int(labelled[i] > 0) for i in order])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
