@@ -16,12 +16,7 @@ comparing all pairs:
    (whichever of two prefixes ends first lies wholly within the order of the other). The number of
    buckets goes with the size level of the larger document of a pair; the smaller one signs at each
    level that it can meet.
-3. Documents of the same words are one class of copies, which one member stands for. Signatures
-   are grouped; in each group the first member meets the others, their Jaccard similarity is
-   computed exactly, and links are joined to components. Groups whose members are not all of one
-   component go on with more members that meet the rest, each after the last such member, until no
-   group holds two components that have not met. So a group of many copies costs as many
-   comparisons as it has members, and no link between different texts is lost.
+3. Signatures are grouped, and the members of a group meet as ``meetings`` says: no link between different texts is lost.
 
 Shingles are 64-bit hashes. Defined cases: null and empty texts have empty sets and link with
 nothing, themselves as component. Repeated rows count as copies; rows that share an id are one
@@ -39,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm._storage import discard, kept
+from fathom.llm._storage import kept
 from fathom.llm._text import column_bytes, mix, pieces, powers, shingles, word_hashes
-from fathom.llm.components import components
+from fathom.llm.meetings import PERCENT, WORDS, bitmap, resolve
 
-K, PERCENT = 5, 80
+K = 5
 FREQUENT, VERY = 16, 4096
 #: So many frequent shingles, the most frequent ones, are known to all tasks; the rest count as class 1.
 KNOWN = 1 << 18
@@ -53,8 +48,6 @@ LEVEL = 5
 SALTS = 8
 #: Bytes of text whose shingles are counted together before the shuffle.
 COUNTED = 8 << 20
-#: 64-bit words of a set's bitmap.
-WORDS = 32
 Known = tuple[np.ndarray, np.ndarray]
 
 
@@ -144,19 +137,6 @@ def signatures(tokens: np.ndarray, kind: np.ndarray, percent: int = PERCENT) ->
     return np.unique(np.concatenate(parts))
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """For each of 64 * WORDS hash values whether an odd number of the tokens has it. Where two bitmaps differ the sets do, so
-    the number of differing bits is at most that of shingles in one set alone."""
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % (64 * WORDS), minlength=64 * WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def may_link(bits: np.ndarray, n: np.ndarray, other: np.ndarray, m: int, percent: int = PERCENT) -> np.ndarray:
-    """Whether sets of sizes n with these bitmaps can link with one of size m: their sizes and their bitmaps' difference allow it."""
-    differ = np.bitwise_count((bits ^ other).view(np.uint64)).sum(axis=1, dtype=np.int64)  # of signed numbers it would count the absolute value's
-    return (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * differ <= (100 - percent) * (n + m))
-
-
 def signed(docs: DataFrame, known: Known, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """(id, h1, h2, n, bits, sigs): a digest of the words, the set's size, its bitmap and its signatures."""
 
@@ -218,139 +198,8 @@ def first_meetings(postings: DataFrame) -> DataFrame:
     return order.mapInArrow(work, "sig long, leader long, id long, leader_n int, n int")
 
 
-def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
-    """(a, b) within groups: the members ``skip`` to ``skip + most`` of a group, by id, meet all after them; pairs of one component,
-    or that sizes or bitmaps rule out, are left out.
-
-    members: sig, id, n, component, bits; rows that share an id are one member. Of a group that streams by only these ``most`` members are held."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig_now, id_now, place = None, None, -1
-        held: list[tuple] = []  # id, n, component, bits
-        for batch in batches:
-            sig, ids, n, component = (batch.column(i).to_numpy() for i in range(4))
-            bits = batch.column(4).flatten().to_numpy().reshape(-1, WORDS)
-            a_out, b_out = [], []
-            starts = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else []
-            for low, high in zip(starts, np.r_[starts[1:], len(sig)].astype(int) if len(sig) else [], strict=True):
-                if sig[low] != sig_now:
-                    sig_now, id_now, place, held = sig[low], None, -1, []
-                known = len(held)
-                places = place + np.cumsum(np.r_[ids[low] != id_now, ids[low + 1 : high] != ids[low : high - 1]])
-                here = low + np.flatnonzero((places >= skip) & (places < skip + most))
-                held += [(ids[i], n[i], component[i], bits[i]) for i in here]
-                for j, (one, m, c, own) in enumerate(held):
-                    at = low if j < known else here[j - known] + 1
-                    ok = (component[at:high] != c) & (ids[at:high] != one)
-                    if ok.any():
-                        ok[ok] = may_link(bits[at:high][ok], n[at:high][ok].astype(np.int64), own, int(m))
-                        found = ids[at:high][ok]
-                        a_out.append(np.full(len(found), one))
-                        b_out.append(found)
-                id_now, place = ids[high - 1], int(places[-1])
-            made = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a_out, b_out)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["a", "b"])
-
-    order = members.select("sig", "id", "n", "component", "bits").repartition("sig").sortWithinPartitions("sig", "id")
-    return order.mapInArrow(work, "a long, b long")
-
-
-#: Members of an open group that meet the rest in the first later round, and how many times as many in each next one.
-FIRST, FASTER = 64, 16
-
-
-def likely(pairs: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that sizes and bitmaps do not rule out. own: id, n, bits."""
-    a, b = (own.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}")) for c in "ab")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    both = pairs.join(a, "a").join(b, "b")
-    return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
-
-
-#: Pairs of one document beyond which they are dealt to several tasks.
-HOT = 1000
-
-
-def verified(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link. Each b's text is sent to a's; a document of many pairs is sent to each of the tasks that they are dealt to."""
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    count = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    parts = F.ceil(F.col("n") / HOT).cast("int")
-    dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
-    others = dealt.join(own, F.col("b") == F.col("id")).select("a", "part", "b", "t")
-    firsts = count.join(own, F.col("a") == F.col("id")).select("a", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(None).cast("long").alias("b"), "t")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, firsts_ = None, []
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(3))
-            a_col, p_col, b_col = (batch.column(i).to_pylist() for i in range(3))
-            a_out, b_out = [], []
-            for low, high in pieces(offsets):
-                hashes, bounds = shingles(*word_hashes(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]), K)
-                for row in range(low, high):
-                    mine = np.unique(hashes[bounds[row - low] : bounds[row - low + 1]])
-                    if (a_col[row], p_col[row]) != now:
-                        now, firsts_ = (a_col[row], p_col[row]), []
-                    if b_col[row] is None:
-                        firsts_.append(mine)
-                        continue
-                    for first in firsts_:
-                        both = len(np.intersect1d(first, mine, assume_unique=True))
-                        if both and 100 * both >= percent * (len(first) + len(mine) - both):
-                            a_out.append(a_col[row])
-                            b_out.append(b_col[row])
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-
-    order = firsts.unionByName(others).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
-    return order.mapInArrow(work, "a long, b long")
-
-
-def same_id(sign: DataFrame, copies: DataFrame) -> DataFrame:
-    """Links (a, b) between classes of copies that one document is in by several texts: its id need not stand for any of them."""
-    inside = sign.where("n > 0 AND id IS NOT NULL").select("id", "h1", "h2")
-    several = inside.groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("x"), F.max(F.struct("h1", "h2")).alias("y")).where("x <> y").select("id")
-    classes_ = inside.join(several, "id", "left_semi").join(copies, ["h1", "h2"]).select("id", "first").distinct()
-    return classes_.join(classes_.groupBy("id").agg(F.min("first").alias("a")), "id").where("first <> a").select("a", F.col("first").alias("b"))
-
-
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(``key``, n_shingles, component_id) for every row."""
     docs = docs.select(key, text)
     sign = kept(signed(docs, frequent(docs, text), key, text), "signed", "lz4")
-    copies = kept(sign.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("first")), "copies")
-    reps = copies.where("first IS NOT NULL").select(F.col("first").alias("id")).distinct()
-    own = sign.join(reps, "id", "left_semi")
-    met = kept(first_meetings(own.select("id", "n", F.explode("sigs").alias("sig"))), "met")
-    close = (F.col("leader") != F.col("id")) & (100 * F.least("leader_n", "n") >= PERCENT * F.greatest("leader_n", "n"))
-    pairs = met.where(close).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tried = kept(likely(pairs, own), "pairs")
-    label = components(verified(tried, docs, key, text).unionByName(same_id(sign, copies)))
-    discard(tried)
-    members, skip, most = met.select("sig", "id"), 0, FIRST
-    opened = None
-    # Sums tell how often an id is in a group, which an xor does not; those of half a hash cannot overflow.
-    halves = [F.sum(f(F.xxhash64("id", *more))).alias(f"{c}{k}") for c, more in (("h", []), ("i", [F.lit(1)])) for k, f in enumerate((lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF)))]
-    while True:
-        tagged = members.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"))
-        seen = tagged.groupBy("sig").agg(
-            F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size"), *halves
-        )
-        open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h0", "h1", "i0", "i1").agg(F.min("sig").alias("sig"))  # of groups with the same members one
-        tagged = kept(tagged.join(open_.select("sig"), "sig", "left_semi").distinct(), "open")
-        discard(opened, met if opened is None else None)
-        opened = tagged
-        if tagged.isEmpty():
-            break
-        fresh = later_meetings(tagged.join(own.select("id", "n", "bits"), "id"), skip, most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        fresh = kept(fresh, "pairs")
-        if not fresh.isEmpty():
-            before = label
-            label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(fresh, docs, key, text)))
-            discard(before)
-        discard(fresh)
-        members, skip, most = tagged.select("sig", "id"), skip + most, most * FASTER
-    named = sign.select("id", "h1", "h2", "n").join(copies, ["h1", "h2"], "left").join(label.withColumnRenamed("id", "first"), "first", "left")
-    component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "first"))
-    return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    return resolve(sign, docs, first_meetings, K, key, text)

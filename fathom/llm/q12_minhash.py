@@ -1,0 +1,29 @@
+"""op12: components of near-duplicate ``documents`` by whole-text 2-word shingles, from banded MinHash buckets."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from fathom.llm import minhash
+
+NAME = "op12_minhash_dedup"
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 2 THEN ws[1] ELSE array_to_string(ws[i:i + 1], ' ') END AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws), 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM both_ JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * i >= 80 * (p.n + q.n - i)),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, link.y FROM r JOIN link ON r.y = link.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x) c USING (doc_id)
+"""

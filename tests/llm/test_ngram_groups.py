@@ -3,19 +3,31 @@
 import pytest
 from pyspark.sql import functions as F
 
-from fathom.llm import ngram_join
+from fathom.llm import meetings, ngram_join
 
 #: The groups of signatures 10 and 12 both hold B, which leads them, and C; A or D, twice, is in one of them alone.
 B, C, A, D = 1, 2, 3, 4
 
 
-def test_places_are_those_of_ids(spark):
-    """Two texts an id: skipping 2 members skips 4 rows, and the third and fourth meet."""
-    rows = [(7, i, 10, i, [x] * ngram_join.WORDS) for i in range(5) for x in (0, 0)]
-    members = spark.createDataFrame(rows, "sig long, id long, n int, component long, bits array<long>").repartition(1)
-    met = lambda skip, most: {tuple(r) for r in ngram_join.later_meetings(members, skip, most).collect()}
-    assert met(0, 2) == {(a, b) for a in (0, 1) for b in range(a + 1, 5)}
-    assert met(2, 32) == {(2, 3), (2, 4), (3, 4)}
+@pytest.mark.parametrize("block, part", [(1024, 8192), (2, 3)])
+def test_every_pair_of_a_group_meets_once(spark, monkeypatch, block, part):
+    """Rounds of 3, 12 and all other members; two texts an id; the grid of blocks and parts changes nothing."""
+    monkeypatch.setattr(meetings, "BLOCK", block)
+    monkeypatch.setattr(meetings, "PART", part)
+    rows = [(sig, i, 10, i, [x] * meetings.WORDS, 2 * m) for sig, m in ((7, 40), (9, 2)) for i in range(m) for x in (0, 0)]
+    members = spark.createDataFrame(rows, "sig long, id long, n int, component long, bits array<long>, size int")
+    met = []
+    for skip, most in ((0, 3), (3, 12), (15, 192)):
+        met += {(min(r), max(r)) for r in meetings.later_meetings(members, skip, most).collect()}
+    assert sorted(set(met)) == [(a, b) for a in range(40) for b in range(a + 1, 40)]
+    assert len(met) - len(set(met)) <= 1  # only the pair that both groups hold
+
+
+def test_components_and_sizes_spare_meetings(spark):
+    rows = [(7, i, 10 if i < 8 else 100, 0 if i < 6 else i, [0] * meetings.WORDS, 10) for i in range(10)]
+    members = spark.createDataFrame(rows, "sig long, id long, n int, component long, bits array<long>, size int")
+    met = {(min(r), max(r)) for r in meetings.later_meetings(members, 0, 64).collect()}
+    assert met == {(a, b) for a in range(8) for b in (6, 7) if a < b} | {(8, 9)}
 
 
 @pytest.mark.parametrize("dropped", [10, 12])

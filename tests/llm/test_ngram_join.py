@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from fathom.llm import ngram_join
+from fathom.llm import meetings, ngram_join
 
 
 def linked(x: set, y: set) -> bool:
@@ -34,7 +34,7 @@ def test_bitmaps_never_rule_out_a_link():
         n = int(rng.integers(1, 400))
         x = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
         y = np.unique(np.concatenate([x[: len(x) - int(rng.integers(0, n // 6 + 1))], rng.integers(0, 2**64, int(rng.integers(0, n // 8 + 1)), dtype=np.uint64)]))
-        ok = ngram_join.may_link(ngram_join.bitmap(x)[None, :], np.array([len(x)]), ngram_join.bitmap(y), len(y))[0]
+        ok = meetings.may_link(meetings.bitmap(x)[None, :], np.array([len(x)]), meetings.bitmap(y), len(y))[0]
         assert ok or not linked(set(x.tolist()), set(y.tolist()))
 
 
@@ -63,7 +63,7 @@ def brute(rows):
 def made_frequent(monkeypatch):
     monkeypatch.setattr(ngram_join, "FREQUENT", 3)
     monkeypatch.setattr(ngram_join, "VERY", 8)
-    monkeypatch.setattr(ngram_join, "HOT", 3)
+    monkeypatch.setattr(meetings, "HOT", 3)
 
 
 def test_join_equals_brute_force(spark, made_frequent):
