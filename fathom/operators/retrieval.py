@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -100,20 +101,23 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-#: Query vectors up to so many are sent to every task and multiplied there by blocks; more are joined in blocks of that size.
+#: Query vectors up to so many are sent to every task and multiplied there.
 QUERY_BLOCK = 4096
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", vector: str = "vector") -> DataFrame:
     """The exact k best of each query by cosine, candidates pruned to k within every batch before they are ranked.
 
-    The queries are a stated set, taken in blocks of QUERY_BLOCK; a block's matrix goes to the tasks,
-    which read each vector once. Zero vectors score 0; vectors of another length than the query's are no candidates.
-    A query without a vector has no results. A matrix is bounded by QUERY_BLOCK rows and the vectors' length; queries of
-    several lengths make a block for each."""
-    qs = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL").orderBy(F.size("v"), "q")
+    The queries are a stated set. Up to QUERY_BLOCK of them, which is checked, go to the tasks as a matrix for each length,
+    and vectors are read where they are; more meet the vectors as a grid of blocks and parts (``neighbours.met``), without
+    passing the driver. Zero vectors score 0; vectors of another length than the query's are no candidates. A query
+    without a vector has no results."""
+    qs = queries.select(F.col(query).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    first = qs.limit(QUERY_BLOCK + 1).collect()
+    if len(first) > QUERY_BLOCK:
+        return _dense_grid(qs, vectors, k, query, key, vector)
     kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{key}` {vectors.schema[key].dataType.simpleString()}, score double"
-    kind, parts, held = to_arrow_type(queries.schema[query].dataType), [], []
+    kind = to_arrow_type(queries.schema[query].dataType)
 
     def unit(m: np.ndarray) -> np.ndarray:
         size = np.linalg.norm(m, axis=1, keepdims=True)
@@ -139,17 +143,25 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
 
         return vectors.select(key, vector).mapInArrow(work, kinds)
 
-    for r in qs.toLocalIterator():
-        if len(held) == QUERY_BLOCK or held and len(held[0]["v"]) != len(r["v"]):
-            parts.append(block(held))
-            held = []
-        held.append(r)
-    if held or not parts:
-        parts.append(block(held) if held else vectors.sparkSession.createDataFrame([], kinds))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    by_length: dict[int, list] = {}
+    for r in first:
+        by_length.setdefault(len(r["v"]), []).append(r)
+    parts = [block(rows) for n, rows in sorted(by_length.items()) if n]
+    return reduce(DataFrame.unionByName, parts) if parts else vectors.sparkSession.createDataFrame([], kinds)
+
+
+def _dense_grid(qs: DataFrame, vectors: DataFrame, k: int, query: str, key: str, vector: str) -> DataFrame:
+    """The scores of more queries than one task is to hold; vectors go once to each block of queries of their length."""
+    from fathom.operators.neighbours import BLOCK, PART, met
+
+    blocks = -(-qs.count() // BLOCK)
+    parts = max(1, -(-vectors.count() // PART))
+    part = lambda name, of: F.pmod(F.xxhash64(name), F.lit(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+    none, all_ = F.lit(0.0), F.lit(float("inf"))
+    left = qs.where("size(v) > 0").select(F.col("q").alias(query), "v", F.size("v").alias("cell"), part("q", blocks).alias("block"), none.alias("at"), all_.alias("within"))
+    right = vectors.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(key, F.col(vector).alias("v"), F.size(vector).alias("cell"), part(key, parts).alias("part"), none.alias("residual"))
+    return met(left.withColumn("part", each(parts)), right.withColumn("block", each(blocks)), k, query, key)
 
 
 def fuse(lists: list[tuple[DataFrame, float]], k: int = RRF_K, query: str = "query_id", key: str = "chunk_id") -> DataFrame:

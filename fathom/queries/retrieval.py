@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.operators import metrics as M
+from fathom.operators import neighbours as N
 from fathom.operators import retrieval as R
 from fathom.operators.layout import spread
 from fathom.plans.retrieval import Pipeline, build_index, of_sources, sparse_search
 from fathom.plans.settings import Settings
 from fathom.queries import query, table
 from fathom.queries.text import IOC, TOKENS
+from fathom.sinks import new_folder
 
 CHUNK = "doc_id"
 COUNTS = f"""{TOKENS},
@@ -96,6 +98,30 @@ def dense_topk_filtered(spark, d):
     return _dense(spark, d, 10, [1, 3, 5])[0].select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 
+def _cells(spark, d):
+    """The inverted file over the table's vectors, and those that are searched for."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return N.build(rows, new_folder(spark, "cells"), "vec_id"), rows.where(ASKED).select(F.col("vec_id").alias("qid"), "vector")
+
+
+@query(f"WITH {DENSE} SELECT qid, vec_id, round(score, 6) AS score, rank::INT AS rank FROM dr WHERE rank < 10")
+def cells_exact_topk(spark, d):
+    """The inverted file's exact mode: what probes and residual bounds leave unread cannot be among the ten best."""
+    index, queries = _cells(spark, d)
+    found = R.ranked(N.search(index, queries, 10, probes=4, exact=True, query="qid"), 10, "qid", "vec_id")
+    return found.select("qid", "vec_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(f"SELECT count(*) AS vectors, count(*) FILTER ({ASKED}) AS queries, TRUE AS enough FROM embeddings")
+def cells_recall(spark, d):
+    """Every vector is in a cell, and the probes find at least 0.9 of the ten best that full search finds."""
+    index, queries = _cells(spark, d)
+    got = R.ranked(N.search(index, queries, 10, probes=16, query="qid"), 10, "qid", "vec_id").select("qid", "vec_id", F.lit(1).alias("hit"))
+    best = _dense(spark, d, 10)[0].select("qid", "vec_id").join(got, ["qid", "vec_id"], "left")
+    told = best.agg(F.count_distinct("qid").alias("queries"), (F.sum(F.coalesce("hit", F.lit(0))) / F.count("*") >= 0.9).alias("enough"))
+    return index.rows().agg(F.count("vec_id").alias("vectors")).crossJoin(told)
+
+
 HALF = 8
 TWO = f"""{DENSE}, {_cosine("part", f"embedding[1:{HALF}]")},
 other AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, vec_id) - 1 AS rank FROM part),
