@@ -52,6 +52,7 @@ def seed(a: argparse.Namespace) -> int:
 
 def load(a: argparse.Namespace) -> int:
     print(json.dumps(ingest.load(session(), dict(p.split("=", 1) for p in a.files), a.table)))
+    ingest.index_table(session(), a.table, a.model, a.refit)
     return 0
 
 
@@ -119,6 +120,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--since")
     i = command("ingest", load)
     i.add_argument("files", nargs="+", help="source=path")
+    i.add_argument("--refit", action="store_true", help="fit the terms' weights anew")
     stored(i)
     e = command("eval", evaluate)
     e.add_argument("suite", choices=("retrieval", "attribution"))

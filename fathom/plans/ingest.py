@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.functions.text import point_id
+from fathom.operators import blocks
+from fathom.operators.blocks import Blocks
 from fathom.operators.chunking import chunk
-from fathom.plans.retrieval import Index, build_index
-from fathom.sinks import read_model, upsert_table, write_chunks, write_model
+from fathom.operators.layout import spread
+from fathom.plans.retrieval import Index
+from fathom.sinks import materialized, read_model, store, versioned, write_chunks
 from fathom.sources import files
 
 
@@ -22,7 +25,8 @@ def seed(docs: DataFrame, path: str, strategy: str | None = None, limit: int | N
 
 
 def load(spark: SparkSession, paths: dict[str, str], table: str) -> dict[str, int]:
-    """Chunk files by source into a table keyed by point id; a missing file counts 0. A chunk replaces what the table has under its id; of several in the files the last counts."""
+    """Chunk files by source into a versioned table keyed by point id; a missing file counts 0. A chunk replaces what the table
+    has under its id; of several in the files the last counts, files in order of their time of change, then their path."""
     out = {}
     for source, path in paths.items():
         try:
@@ -33,7 +37,9 @@ def load(spark: SparkSession, paths: dict[str, str], table: str) -> dict[str, in
             out[source] = 0
             continue
         rows = rows.withColumn("point_id", point_id(F.col("id"))).withColumnRenamed("id", "chunk_id")
-        out[source] = upsert_table(rows, table, ["point_id"], "source")
+        rows = materialized(rows, "loaded")
+        out[source] = rows.count()
+        versioned.upsert(rows, versioned.location(spark, table), ["point_id"])
     return out
 
 
@@ -51,31 +57,46 @@ def status_counts(log: DataFrame, before: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("chunks"))
 
 
-def model(chunks: DataFrame, path: str, refit: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The BM25 tables at ``path``: those that are there, unless asked to fit anew."""
-    spark = chunks.sparkSession
+def model(chunks: DataFrame, path: str, refit: bool = False) -> Blocks:
+    """The stored sparse index of ``chunks`` at ``path``, written anew. Its terms' weights are those of the model that is there, unless asked to fit anew."""
+    spark, known = chunks.sparkSession, None
     if not refit:
         try:
-            return read_model(spark, path)
+            known = tuple(materialized(df, "model") for df in read_model(spark, path))
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-    index = build_index(chunks)
-    write_model(index.terms, index.stats, path)
-    return read_model(spark, path)
+    return blocks.build(chunks, path, model=known)
 
 
-def index_of(chunks: DataFrame, path: str) -> Index:
-    """An index whose term weights come from stored tables; terms they do not know have none."""
-    from fathom.operators import retrieval as R
+def index_table(spark: SparkSession, table: str, path: str, refit: bool = False) -> None:
+    """Makes a stored table ready to be searched: its sparse index, and the vectors of its chunks, in a folder for the table's version.
 
-    terms, stats = model(chunks, path)
-    return Index(chunks, terms, stats, R.postings(R.term_counts(chunks), terms, stats))
-
-
-def stored_index(spark: SparkSession, table: str, model_path: str) -> Index:
-    """The index over a stored table: ids of techniques and pulses from its metadata, hashed vectors, stored BM25 tables."""
+    It runs once after loading; a search then tokenizes and embeds its questions alone."""
     from fathom.functions.models import hashed_vector
 
-    chunks = spark.table(table).withColumn("attack_id", F.get_json_object("metadata", "$.attack_id")).withColumn("pulse_id", F.get_json_object("metadata", "$.pulse_id"))
-    return index_of(chunks.withColumn("vector", hashed_vector()(F.col("content"))), model_path)
+    place = versioned.location(spark, table)
+    at, chunks = versioned.version(spark, place), versioned.read(spark, place)
+    found = model(chunks, path, refit)
+    vectors = spread(chunks.select("chunk_id", "content")).select("chunk_id", hashed_vector()(F.col("content")).alias("vector"))
+    vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    store.delete(spark, f"{path}/indexed")
+    store.put_new(spark, f"{path}/indexed", f"{at.number} {found.key}")
+
+
+def stored_index(spark: SparkSession, table: str, path: str) -> Index:
+    """The index over a stored table: ids of techniques and pulses from its metadata, stored vectors, stored postings.
+
+    A table that has changed since ``index_table``, or was never given to it, is indexed here first."""
+    place = versioned.location(spark, table)
+    at = versioned.version(spark, place)
+    if at is None:
+        raise FileNotFoundError(f"nothing has been loaded into {table}")
+    if not store.exists(spark, f"{path}/indexed") or store.read_text(spark, f"{path}/indexed").split()[0] != str(at.number):
+        index_table(spark, table, path)
+    stored, vectors = blocks.load(spark, path), spark.read.parquet(f"{path}/vectors")
+    chunks = versioned.read(spark, place, at.number)
+    chunks = chunks.withColumn("attack_id", F.get_json_object("metadata", "$.attack_id")).withColumn("pulse_id", F.get_json_object("metadata", "$.pulse_id"))
+    each = F.explode(F.arrays_zip("keys", "weights"))
+    weights = stored.blocks.select("term", each.alias("r")).select("term", F.col("r.keys").alias("chunk_id"), F.col("r.weights").alias("weight"))
+    return Index(chunks.join(vectors, "chunk_id"), stored.terms, stored.stats, weights, stored)

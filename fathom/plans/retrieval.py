@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from fathom.functions.models import FAILED, Embedder, Scorer, Writer, dense_text
 from fathom.functions.render import candidate_lines
 from fathom.functions.text import actor_name, cited_ids, technique, technique_ids
+from fathom.operators import blocks
 from fathom.operators import retrieval as R
+from fathom.operators.blocks import Blocks
 from fathom.plans.settings import Settings, alpha, get_settings
 from fathom.sinks import materialized
 
@@ -26,12 +28,14 @@ def of_sources(df: DataFrame, sources: str | list[str] | None, column: str = "so
 
 @dataclass(frozen=True)
 class Index:
-    """chunks: chunk_id, source, content (and attack_id, pulse_id, vector if there are any), with the BM25 tables."""
+    """chunks: chunk_id, source, content (and attack_id, pulse_id, vector if there are any), with the BM25 tables. stored: the
+    same postings in blocks; where they are there, a search over all sources reads them instead of ``weights``."""
 
     chunks: DataFrame
     terms: DataFrame
     stats: DataFrame
     weights: DataFrame
+    stored: Blocks | None = None
 
 
 def build_index(chunks: DataFrame, asked: DataFrame | None = None) -> Index:
@@ -46,6 +50,8 @@ def build_index(chunks: DataFrame, asked: DataFrame | None = None) -> Index:
 
 def sparse_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, score, rank). Queries without a known term have no rows."""
+    if index.stored is not None:
+        return blocks.search(index.stored, queries, k).results
     terms = materialized(R.query_terms(queries, index.terms), "query-terms")
     return R.ranked(R.sparse_scores(terms, index.weights), k)
 
@@ -70,7 +76,7 @@ class Pipeline:
         fetch = max(k, s.reranker_candidates) if self.score else k
         index = replace(self.index, chunks=of_sources(self.index.chunks, sources))
         if sources:
-            index = replace(index, weights=index.weights.join(index.chunks.select("chunk_id"), "chunk_id", "left_semi"))
+            index = replace(index, stored=None, weights=index.weights.join(index.chunks.select("chunk_id"), "chunk_id", "left_semi"))
         if self.write is not None:
             queries = queries.withColumn("dense_text", dense_text(F.col("text"), self.write, s.hyde_min_tokens, s.hyde_max_chars))
         if s.hybrid_alpha >= 1:

@@ -342,11 +342,14 @@ def model_bakeoff(spark, d):
     return bakeoff.best_first(both).select("name", F.round("recall_at_k", 6).alias("recall_at_k"), F.round("mrr", 6).alias("mrr"))
 
 
-@query("SELECT substr(sha256('d' || doc_id || ':0'), 1, 16) AS id, 'new ' || substr(text, 1, 10) AS head FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT substr(sha256('d' || doc_id || ':0'), 1, 16), substr(text, 1, 10) FROM documents WHERE doc_id % 3 <> 0")
+@query("""SELECT substr(sha256('d' || doc_id || ':0'), 1, 16) AS id, 'new ' || substr(text, 1, 10) AS head FROM documents WHERE doc_id % 3 = 0
+UNION ALL SELECT substr(sha256('d' || doc_id || ':0'), 1, 16), substr(text, 1, 10) FROM documents WHERE doc_id % 3 <> 0""")
 def upsert_changed(spark, d):
-    """Chunks loaded, then some of them with changed content, twice: the last one counts."""
+    """Chunks loaded into a versioned table, then some of them with changed content, twice: the last one counts."""
     rows = table(spark, d, "documents").select(T.chunk_id(_key("d", "doc_id"), F.lit(0)).alias("id"), F.substring("text", 1, 10).alias("head"), "doc_id")
-    changed = rows.where("doc_id % 3 = 0")
-    new = changed.withColumn("head", F.lit("stale")).withColumn("seq", F.lit(1)).unionByName(changed.withColumn("head", F.concat(F.lit("new "), "head")).withColumn("seq", F.lit(2)))
-    return upsert(rows.drop("doc_id"), new.drop("doc_id"), ["id"])
-
+    changed = rows.where("doc_id % 3 = 0").drop("doc_id")
+    new = changed.withColumns({"head": F.lit("stale"), "seq": F.lit(1)}).unionByName(changed.withColumns({"head": F.concat(F.lit("new "), "head"), "seq": F.lit(2)}))
+    path = new_folder(spark, "versioned")
+    versioned.upsert(rows.drop("doc_id"), path, ["id"], buckets=8)
+    versioned.upsert(new, path, ["id"])
+    return versioned.read(spark, path)

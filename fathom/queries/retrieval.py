@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathom.operators import blocks
 from fathom.operators import metrics as M
 from fathom.operators import neighbours as N
 from fathom.operators import retrieval as R
@@ -62,6 +63,14 @@ def sparse_topk(spark, d):
     return found.select(F.col("query_id").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.round("score", 5).alias("score"), "rank")
 
 
+@query(f"WITH {COUNTS}, {QTERMS} SELECT item_id, doc_id, round(score, 5) AS score, rank::INT AS rank FROM sparse WHERE rank < 10")
+def sparse_stored_topk(spark, d):
+    """The same from stored blocks, of which only those are read that can reach the ten best."""
+    index = blocks.build(_docs(spark, d), new_folder(spark, "blocks"), "doc_id")
+    found = blocks.search(index, _asked(spark, d), 10).results
+    return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 5).alias("score"), "rank")
+
+
 #: The vectors that are searched for: a set that grows with the table.
 ASKED = "vec_id % 100 = 0"
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.sinks import upsert_table
+from fathom.sinks import versioned
 
 
 def since(rows: DataFrame, column: str, mark) -> DataFrame:
@@ -61,10 +61,10 @@ def unexpired(rows: DataFrame, time: str, days: int = 90, now=None) -> DataFrame
 
 
 def upsert_into(stream: DataFrame, table: str, keys: list[str], checkpoint: str) -> None:
-    """Everything there is now merged into a table by key; a batch that is run again changes nothing."""
+    """Everything there is now merged into a versioned table by key; a batch that is run again changes nothing."""
 
-    def each(batch: DataFrame, _: int) -> None:
-        upsert_table(batch, table, keys)
+    def each(batch: DataFrame, number: int) -> None:
+        versioned.upsert(batch, versioned.location(batch.sparkSession, table), keys, batch=(checkpoint, number))
 
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

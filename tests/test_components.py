@@ -154,12 +154,14 @@ def test_gate_traces_and_paths(spark, monkeypatch, caplog):
 def test_library_entry_points(spark, tmp_path):
     docs = spark.createDataFrame([(str(i), "otx", t) for i, t in enumerate(["alpha beta", "gamma delta", "alpha delta"])], "id string, source string, content string")
     ingest.seed(docs.withColumn("retrieved_at", F.lit("2026-01-01T00:00:00")), f"{tmp_path}/c")
-    spark.sql("DROP TABLE IF EXISTS entry_points")
-    ingest.load(spark, {"otx": f"{tmp_path}/c"}, "entry_points")
-    more = {"spark": spark, "table": "entry_points", "model": f"{tmp_path}/model"}
+    table = f"{tmp_path}/entry_points"
+    ingest.load(spark, {"otx": f"{tmp_path}/c"}, table)
+    more = {"spark": spark, "table": table, "model": f"{tmp_path}/model"}
     assert fathom.query("alpha beta", 1, **more).first()["content"] == "alpha beta"
+    ingest.seed(docs.limit(1).withColumn("content", F.lit("omega delta")).withColumn("retrieved_at", F.lit("2026-01-02T00:00:00")), f"{tmp_path}/c3")
+    ingest.load(spark, {"otx": f"{tmp_path}/c3"}, table)
+    assert fathom.query("delta", 3, **more).where("content = 'omega delta'").count() == 1
     said = fathom.answer("alpha", 2, write=lambda p: F.lit("so it is [x1]"), **more).first()
     assert said["answer"] == "so it is [x1]" and said["cited"] == ["x1"]
     with pytest.raises(Exception, match="gave no answer"):
         fathom.answer("alpha", 2, write=models.no_model, raise_on_failure=True, **more).collect()
-    spark.sql("DROP TABLE entry_points")

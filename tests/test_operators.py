@@ -17,7 +17,7 @@ from fathom.operators import chunking, graph, keyed, metrics, retrieval, section
 from fathom.plans import evaluation, ingest
 from fathom.plans import retrieval as plans
 from fathom.plans.settings import Settings, alpha
-from fathom.sinks import append_log, markdown, splice, upsert_table, write_chunks
+from fathom.sinks import append_log, markdown, splice, upsert_table, versioned, write_chunks
 from fathom.sources import feeds, files, http, stix
 
 
@@ -307,12 +307,11 @@ def test_files_and_sinks(spark, tmp_path):
         f.write('{"id": "x"}\nnot json\n')
     good, skipped = files.chunks(spark, f"{tmp_path}/c")
     assert good.count() == 2 and skipped.count() == 2
-    spark.sql("DROP TABLE IF EXISTS points")
-    assert ingest.load(spark, {"otx": f"{tmp_path}/c", "none": f"{tmp_path}/absent"}, "points") == {"otx": 2, "none": 0}
+    points = f"{tmp_path}/points"
+    assert ingest.load(spark, {"otx": f"{tmp_path}/c", "none": f"{tmp_path}/absent"}, points) == {"otx": 2, "none": 0}
     ingest.seed(docs.withColumn("retrieved_at", F.lit("2026-01-01T00:00:00")).withColumn("content", F.concat(F.lit("New "), "content")), f"{tmp_path}/c2", limit=1)
-    assert ingest.load(spark, {"otx": f"{tmp_path}/c2"}, "points") == {"otx": 1}
-    assert sorted(r["content"] for r in spark.table("points").collect()) == ["New Text 0. More.", "Text 1. More."]
-    spark.sql("DROP TABLE points")
+    assert ingest.load(spark, {"otx": f"{tmp_path}/c2"}, points) == {"otx": 1}
+    assert sorted(r["content"] for r in versioned.read(spark, points).collect()) == ["New Text 0. More.", "Text 1. More."]
     rows = spark.createDataFrame([(1, "a", 1), (1, "b", 2)], "k int, v string, seq int")
     spark.sql("DROP TABLE IF EXISTS kv")
     upsert_table(rows, "kv", ["k"])
