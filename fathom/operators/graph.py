@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import TECHNIQUE, technique
+from fathom.operators.substrings import contained
 
 
 def is_active(revoked: Column, deprecated: Column) -> Column:
@@ -29,7 +30,8 @@ def match_names(queries: DataFrame, names: DataFrame, query: str = "query", name
     by_name = first(q.join(n, q["key"] == n["name"]), "exact_name").withColumn("priority", F.lit(0))
     by_alias = first(q.join(alias, q["key"] == alias["alias"]), "exact_alias").withColumn("priority", F.lit(1))
     open_ = q.where("key <> ''").join(by_name.select("query"), "query", "left_anti").join(by_alias.select("query"), "query", "left_anti")
-    inside = open_.join(alias, F.contains(alias["alias"], open_["key"])).groupBy("query").agg(F.min_by("id", "position").alias("id"), F.count_distinct("id").alias("hits"))
+    pairs = open_.join(contained(open_, alias, "key", "alias"), "key").join(alias, "alias")
+    inside = pairs.groupBy("query").agg(F.min_by("id", "position").alias("id"), F.count_distinct("id").alias("hits"))
     by_part = inside.select("query", F.when(F.col("hits") == 1, F.col("id")).alias("id"), "hits", F.when(F.col("hits") == 1, "alias_contains").otherwise("alias_ambiguous").alias("mode"), F.lit(2).alias("priority"))
     found = by_name.unionByName(by_alias).unionByName(by_part)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("priority"))).where("n = 1").select("query", "id", "mode")

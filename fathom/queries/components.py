@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from fathom.functions import render
 from fathom.functions import text as T
 from fathom.operators import gold, graph, metrics, sections
-from fathom.operators.keyed import upsert, zipped
+from fathom.operators.keyed import zipped
+from fathom.operators.substrings import contained, mentions
 from fathom.plans import bakeoff, evaluation, ingest
 from fathom.plans import retrieval as plans
 from fathom.queries import query, table
 from fathom.queries.retrieval import ASKED, DENSE, HALF, _cosine, _dense
+from fathom.sinks import new_folder, versioned
 from fathom.sources import feeds, files, stix
 
 NL = "chr(10)"
@@ -353,3 +355,32 @@ def upsert_changed(spark, d):
     versioned.upsert(rows.drop("doc_id"), path, ["id"], buckets=8)
     versioned.upsert(new, path, ["id"])
     return versioned.read(spark, path)
+
+
+@query("""SELECT n.needle, e.text FROM (SELECT DISTINCT lower(substr(city, 1, 4)) AS needle FROM clients UNION SELECT DISTINCT substr(name, 1, 2) FROM vendors) n
+JOIN (SELECT DISTINCT lower(email) AS text FROM clients) e ON n.needle <> '' AND contains(e.text, n.needle)""")
+def substring_pairs(spark, d):
+    """Which addresses hold the beginnings of cities and vendors' names, looked up by their rarest gram."""
+    clients, vendors = table(spark, d, "clients"), table(spark, d, "vendors")
+    needles = clients.select(F.lower(F.substring("city", 1, 4)).alias("needle")).union(vendors.select(F.substring("name", 1, 2)))
+    return contained(needles, clients.select(F.lower("email").alias("text")))
+
+
+@query("""SELECT doc_id, c.id FROM documents d JOIN (SELECT DISTINCT lower(trim(city)) AS name, nation_id AS id FROM clients WHERE trim(city) <> '') c ON contains(lower(d.text), c.name) GROUP BY ALL""")
+def city_mentions(spark, d):
+    """The nations whose clients' cities a document names anywhere, all found in one reading of it."""
+    return mentions(table(spark, d, "documents"), table(spark, d, "clients"), "doc_id", "text", "nation_id", "city")
+
+
+@query("""WITH n AS (SELECT client_id AS id, lower(trim(name)) AS name, lower(trim(email)) AS alias FROM clients),
+q AS (SELECT DISTINCT q AS query, lower(trim(coalesce(q, ''))) AS key FROM (SELECT upper(name) AS q FROM clients UNION ALL SELECT substr(email, 1, 9) FROM clients UNION ALL SELECT email FROM clients WHERE client_id % 3 = 0)),
+a AS (SELECT query, min(id) AS id FROM q JOIN n ON key = name GROUP BY query), b AS (SELECT query, min(id) AS id FROM q JOIN n ON key = alias GROUP BY query),
+p AS (SELECT query, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS id, CASE WHEN count(DISTINCT id) = 1 THEN 'alias_contains' ELSE 'alias_ambiguous' END AS mode FROM q JOIN n ON key <> '' AND contains(alias, key) GROUP BY query)
+SELECT q.query, CASE WHEN a.query IS NOT NULL THEN a.id WHEN b.query IS NOT NULL THEN b.id ELSE p.id END AS id,
+  CASE WHEN a.query IS NOT NULL THEN 'exact_name' WHEN b.query IS NOT NULL THEN 'exact_alias' ELSE coalesce(p.mode, 'no_match') END AS mode FROM q LEFT JOIN a USING (query) LEFT JOIN b USING (query) LEFT JOIN p USING (query)
+WHERE q.query IS NOT NULL""")
+def clients_matched(spark, d):
+    """Names, addresses and parts of addresses, looked up among all clients."""
+    rows = table(spark, d, "clients").select(F.col("client_id").alias("id"), "name", F.array("email").alias("aliases"), F.col("client_id").alias("position"), "email")
+    asked = rows.select(F.upper("name").alias("query")).union(rows.select(F.substring("email", 1, 9))).union(rows.where("id % 3 = 0").select("email"))
+    return graph.match_names(asked.where("query IS NOT NULL"), rows)

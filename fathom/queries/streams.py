@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.queries import query, table
 from fathom.sinks import new_folder
-from fathom.streaming import deduplicated, drain, event_stream, sessions, tumbling
+from fathom.streaming import deduplicated, drain, event_stream, expiry, sessions, tumbling
 
 
 def _events(spark, d, late: str | None = "1 day"):
@@ -42,3 +42,15 @@ def stream_session(spark, d):
 def stream_dedupe(spark, d):
     rows = _events(spark, d, late="60 days").select("ts", "user_id", "event_type")
     return _drain(deduplicated(rows, "user_id", "event_type"), "append").select("user_id", "event_type")
+
+
+@query("""WITH c AS (SELECT client_id, ts, coalesce(kind, '') AS kind FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL),
+l AS (SELECT client_id, max(struct_pack(ts := ts, kind := kind)) AS r FROM c GROUP BY client_id)
+SELECT client_id, epoch_us(r.ts) AS us, r.kind AS kind, 'kept' AS state FROM l UNION ALL
+SELECT client_id, epoch_us(r.ts), r.kind, 'expired' FROM l WHERE r.ts + INTERVAL 10 DAY <= (SELECT max(ts) FROM c) - INTERVAL 1 DAY""")
+def stream_expiry(spark, d):
+    """Each client's last click, forgotten ten days later by a timer."""
+    rows = event_stream(spark, d, table(spark, d, "clicks").schema, "clicks.parquet", late=None)
+    with expiry.rocks(spark):
+        out = _drain(expiry.latest(rows, "client_id", "kind", 10), "append")
+    return out.select(F.col("key").cast("long").alias("client_id"), "us", F.col("value").alias("kind"), "state")
