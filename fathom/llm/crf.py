@@ -60,8 +60,8 @@ class Chain:
         return [row[:k].tolist() for row, k in zip(out, size, strict=True)]
 
 
-def fit(chains: list[list[list[int]]], labels: list[list[int]], n_features: int, n_labels: int, allowed: np.ndarray, start: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3) -> Chain:
-    """Adam on the likelihood. Moves and first labels that are not allowed stay at a score that no path takes."""
+def fit(chains: list[list[list[int]]], labels: list[list[int]], n_features: int, n_labels: int, allowed: np.ndarray, start: np.ndarray, rounds: int = 120, rate: float = 0.1, decay: float = 1e-3, enough: float = 5e-3) -> Chain:
+    """Adam on the likelihood, until no part of its gradient is over ``enough``, ``rounds`` times at most. Moves and first labels that are not allowed stay at a score that no path takes."""
     x, size = padded(chains, n_features)
     n, steps, _ = x.shape
     y = np.zeros((n, steps), np.int64)
@@ -93,8 +93,10 @@ def fit(chains: list[list[list[int]]], labels: list[list[int]], n_features: int,
         for t in range(1, steps):
             both = np.exp(alpha[:, t - 1, :, None] + move + (e[:, t] + beta[:, t])[:, None, :] - total[:, None, None])
             grads[1] += ((both - hot[:, t - 1, :, None] * hot[:, t, None, :]) * on[:, t, None, None]).sum(axis=0) / n
+        grads = [g + decay * q for q, g in zip(params, grads, strict=True)]
+        if max(float(np.abs(np.where(np.abs(q) < 1e3, g, 0)).max()) for q, g in zip(params, grads, strict=True)) < enough:
+            break
         for i, (q, g) in enumerate(zip(params, grads, strict=True)):
-            g = g + decay * q
             m, v = state[i]
             m[:], v[:] = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             q -= rate * (m / (1 - 0.9**round_)) / (np.sqrt(v / (1 - 0.99**round_)) + 1e-8)

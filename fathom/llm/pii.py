@@ -5,8 +5,9 @@ numbers; see ``base_spans``. The chain model labels the words that hold a digit
 the begin or inside of a kind, by features of their shape and of the words around. All other words
 are O by definition, so a text falls into independent runs of such words, and only these are
 decoded, many runs side by side. It is fitted on ``labelled_table``, a small table of written-out
-lines. A span of it is added where it passes its kind's test (``passes``) and overlaps no pattern's span: national phone
-numbers, mostly. Runs of years and other plain numbers pass none.
+lines. Its spans pass their kinds' tests (``passes``): where one fails, its words are decoded again for the best labels
+whose spans all pass (``passing``), so numbers side by side that it joins are found one by one. A span is added where it
+overlaps no pattern's: national phone numbers, mostly. Runs of years and other plain numbers pass none.
 
 Spans are (kind, start, end) in code points, end exclusive. Defined cases: null and empty texts have
 none; repeated rows are treated alike and all kept; a text of any length is searched whole, in time
@@ -140,6 +141,7 @@ def features(text: str, run: list[tuple[int, int]]) -> Iterator[list[str]]:
     inner = [text[slice(*trimmed(text, a, b))] for a, b in run]
     digits = ["".join(filter("0123456789".__contains__, w)) for w in inner]
     plain = [bool(w) and all(c in "0123456789-" for c in w) for w in inner]
+    signs = ["" if text[b - 1].isalnum() else text[b - 1] for _, b in run]
     card, lo = [False] * len(inner), 0
     for same, group in groupby(plain):  # numbers side by side are joined once
         hi = lo + sum(1 for _ in group)
@@ -152,7 +154,7 @@ def features(text: str, run: list[tuple[int, int]]) -> Iterator[list[str]]:
         yield [
             "bias", f"s:{shape(w)}", f"n:{min(len(digits[i]), 20)}", f"run:{min(len(run), 6)}", f"cue:{cue}", f"card:{card[i]}", f"own:{plain[i] and 13 <= len(digits[i]) <= 19 and luhn(digits[i])}", f"ip:{ip}",
             f"at:{'@' in w and '.' in w.partition('@')[2]}", f"plus:{w.startswith('+')}", f"par:{w.startswith('(')}",
-            f"p:{shape(inner[i - 1])}" if i else "p:^", f"q:{shape(inner[i + 1])}" if i + 1 < len(inner) else "q:$",
+            f"end:{signs[i]}", f"before:{signs[i - 1] if i else ''}", f"p:{shape(inner[i - 1])}" if i else "p:^", f"q:{shape(inner[i + 1])}" if i + 1 < len(inner) else "q:$",
         ]
 
 
@@ -201,6 +203,13 @@ def labelled_table(n: int = 30, seed: int = 11) -> list[tuple[str, list[Span]]]:
         before, after = " ".join([rng.choice(filler), *some()]) + " ", " ".join(["", *some(), rng.choice(filler)])
         made = makers[rng.choice((0, 2, 3))][1]() if i % 2 else ""
         table.append((before + (made or same) + after, [("phone", len(before), len(before) + len(made))] if made else []))
+    for i in range(2 * n):  # lists of phones, of one form or of several
+        line, spans, one = f"{rng.choice(filler)} ", [], rng.choice((0, 2, 3))
+        for _ in range(rng.randint(2, 6)):
+            made = makers[one if i % 3 else rng.choice((0, 2, 3))][1]()
+            spans.append(("phone", len(line), len(line) + len(made)))
+            line += made + rng.choice((" ", ", ", "; "))
+        table.append((line + rng.choice(filler), spans))
     return table
 
 
@@ -224,6 +233,40 @@ def model() -> tuple[crf.Chain, dict[str, int]]:
     return crf.fit(x, labels, len(number), len(LABELS), allowed, ~inside), number
 
 
+#: Words of a span at most: as many as a card has digits.
+WORDS = 19
+
+
+def passing(text: str, words: list[tuple[int, int]], e: np.ndarray, chain: crf.Chain) -> list[Span]:
+    """The spans of the words' best labels among those whose spans all pass their kinds' tests. e: (words, labels), their scores."""
+    ends = [trimmed(text, a, b) for a, b in words]
+    digits = np.r_[0, np.cumsum([sum(c in "0123456789" for c in text[a:b]) for a, b in words])]
+    # After i words, by the last one's label: the score, and whence: (words before, their last label, span or null).
+    best: list[dict[int, tuple[float, tuple | None]]] = [{-1: (0.0, None)}] + [{} for _ in words]
+    move = lambda p, q: chain.first[q] if p < 0 else chain.move[p, q]
+    for i in range(len(words)):
+        for p, (score, _) in best[i].items():
+            steps = [(i + 1, 0, score + move(p, 0) + e[i, 0], None)]
+            for kind in KINDS:
+                b, inner = LABELS.index(f"B-{kind}"), LABELS.index(f"I-{kind}")
+                total = score + move(p, b) + e[i, b]
+                for j in range(i + 1, min(len(words), i + WORDS) + 1):
+                    if j > i + 1:
+                        total += chain.move[b if j == i + 2 else inner, inner] + e[j - 1, inner]
+                    if digits[j] - digits[i] > 19:
+                        break
+                    if ends[i][0] < ends[j - 1][1] and passes(kind, text[ends[i][0] : ends[j - 1][1]]):
+                        steps.append((j, b if j == i + 1 else inner, total, (kind, ends[i][0], ends[j - 1][1])))
+            for j, q, total, span in steps:
+                if q not in best[j] or total > best[j][q][0]:
+                    best[j][q] = (total, (i, p, span))
+    at, label, out = len(words), max(best[-1], key=lambda q: best[-1][q][0]), []
+    while at:
+        at, label, span = best[at][label][1]
+        out += [span] if span else []
+    return out[::-1]
+
+
 #: Runs of up to LONGEST words are decoded side by side, so many at once; a longer run is decoded whole, by itself, its scores taken for SCORED words at a time.
 TOGETHER, LONGEST, SCORED = 2048, 64, 4096
 
@@ -246,8 +289,10 @@ def chain_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> l
             while u < len(run) and LABELS[tags[u]] == f"I-{kind}":
                 u += 1
             start, end = trimmed(texts[i], *run[t])[0], trimmed(texts[i], *run[u - 1])[1]
-            if start < end:
+            if start < end and passes(kind, texts[i][start:end]):
                 out[i].append((kind, start, end))
+            else:  # what looks like one may be several, or none
+                out[i] += passing(texts[i], run[t:u], chain.scores(crf.padded([list(numbers(i, run[t:u]))], len(chain.emit) - 1)[0])[0], chain)
             t = u
 
     def decode() -> None:
@@ -297,7 +342,7 @@ def all_spans(texts: list[str], fitted: tuple[crf.Chain, dict[str, int]]) -> lis
     out = []
     for text, more in zip(texts, chain_spans(texts, fitted), strict=True):
         base = base_spans(text)
-        free = [s for s in more if passes(s[0], text[s[1] : s[2]]) and not any(s[1] < b and a < s[2] for _, a, b in base)]
+        free = [s for s in more if not any(s[1] < b and a < s[2] for _, a, b in base)]
         order = lambda s: (KINDS.index(s[0]), s[1], s[2])
         out.append((base, sorted([*base, *free], key=order)))
     return out
