@@ -1,67 +1,90 @@
-"""What is known of each capability, from saved results: four, side by side and never averaged."""
+"""What is known of each capability, from saved results: four, side by side and never averaged.
+
+Saved results are rows (kind, path, time, value), value being their JSON. A table names what each kind tells of which
+capability and where in the JSON it stands; joined with the results it gives a row for each result and measure. A result
+speaks for a capability if it has the measure that this one needs; the newest does, and of certificates of techniques one
+that passed its gate before all others. Capabilities for which none speaks say so."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
-from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 NONE = "NOT AVAILABLE"
 NOT_RUN = "NOT RUN"
+FOUND = "AVAILABLE"
+SAVED = "kind string, path string, time timestamp, value string"
+
+#: Capability, kind of result that tells of it, the measure that it needs (null: none), whether a passed gate goes first, and what is said without any.
+CAPABILITIES = [
+    ("technique_extraction", "certificate", "micro_f1", True, NONE),
+    ("actor_attribution", "certificate", "plausible_acc", False, NONE),
+    ("heterogeneous_retrieval", "attribution", "by_category", False, NONE),
+    ("generation_grounding", "answers", None, False, NOT_RUN),
+]
+#: Where measures stand in the saved JSON: fixed values of its format. Those named ``context_`` count only with references.
+PLACES = {
+    "technique_extraction": {
+        **{m: f"$.technique.enterprise.{m}" for m in ("n", "micro_f1", "precision", "recall", "pass")},
+        "threshold": "$.thresholds.tech_micro_f1", "out_of_corpus": "$.technique.mobile_out_of_corpus",
+    },
+    "actor_attribution": {
+        **{m: f"$.actor.{m}" for m in ("n", "correct_acc", "plausible_acc", "correct", "plausible", "incorrect", "pass")},
+        "threshold": "$.thresholds.actor_plausible",
+    },
+    "heterogeneous_retrieval": {"query_set": "$.query_set", "by_category": "$.results[0].by_category", "set_metrics": "$.results[0].set_metrics"},
+    "generation_grounding": {
+        m: f"$.{m}" for m in ("status", "n", "n_failed", "n_requested", "faithfulness", "answer_relevancy", "context_precision", "context_recall", "references_available")
+    },
+}
+
+
+def saved(spark: SparkSession, **paths: str) -> DataFrame:
+    """Saved results by kind (certificate, attribution, answers), each from a path or pattern; a missing path has none."""
+    out = spark.createDataFrame([], SAVED)
+    for kind, path in paths.items():
+        try:
+            rows = spark.read.option("wholetext", True).text(path)
+        except Exception as e:  # Spark's error for a missing path
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            continue
+        out = out.unionByName(rows.select(F.lit(kind).alias("kind"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("time"), "value"))
+    return out
+
+
+def told(results: DataFrame) -> DataFrame:
+    """(capability, path, time, measure, told): a row for each saved result and each measure that it has."""
+    kinds = {c: kind for c, kind, *_ in CAPABILITIES}
+    places = [(kinds[c], c, m, p) for c, own in PLACES.items() for m, p in own.items()]
+    places = results.sparkSession.createDataFrame(places, "kind string, capability string, measure string, place string")
+    rows = results.join(F.broadcast(places), "kind").select("capability", "path", "time", "measure", F.expr("get_json_object(value, place)").alias("told"))
+    return rows.where("told IS NOT NULL")
+
+
+def capabilities(results: DataFrame) -> DataFrame:
+    """(capability, status, path, measures): one row for each of the four, measures by name as the result has them."""
+    names = results.sparkSession.createDataFrame(CAPABILITIES, "capability string, kind string, needs string, gate_first boolean, absent string")
+    measures = F.map_from_entries(F.collect_list(F.struct("measure", "told")))
+    each = told(results).groupBy("capability", "path", "time").agg(measures.alias("m")).join(F.broadcast(names), "capability")
+    each = each.where(F.col("needs").isNull() | F.element_at("m", F.col("needs")).isNotNull())
+    first = F.col("gate_first") & F.coalesce(F.element_at("m", "pass") == "true", F.lit(False))
+    best = each.groupBy("capability").agg(F.max_by(F.struct("path", "m"), F.struct(first, "time", "path")).alias("best"))
+    without = F.coalesce(F.element_at("best.m", "references_available"), F.lit("false")) != "true"
+    shown = F.map_filter("best.m", lambda k, v: ~(F.startswith(k, F.lit("context_")) & without) & ~k.isin("status", "references_available"))
+    status = F.when(F.col("best").isNull(), F.col("absent")).otherwise(F.coalesce(F.element_at("best.m", "status"), F.lit(FOUND)))
+    return names.join(best, "capability", "left").select("capability", status.alias("status"), F.col("best.path").alias("path"), shown.alias("measures"))
+
+
+def report(rows: DataFrame) -> dict:
+    """The four rows as JSON objects for a file: numbers, truth values and objects as the saved results have them."""
 
+    def value(text: str):
+        try:
+            return json.loads(text)
+        except ValueError:
+            return text
 
-def records(spark: SparkSession, path: str) -> list[dict]:
-    """The saved JSON results below a path, newest first: a handful of reports."""
-    try:
-        rows = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path", "_metadata.file_modification_time").collect()
-    except Exception as e:  # Spark's error for a missing path
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return []
-    rows.sort(key=lambda r: (r["file_modification_time"], r["file_path"]), reverse=True)
-    return [{**json.loads(r["value"]), "_path": r["file_path"]} for r in rows]
-
-
-def newest(found: list[dict], *tests: Callable[[dict], bool]) -> dict | None:
-    """The newest record that passes the first test that any passes."""
-    return next((r for test in tests for r in found if test(r)), None)
-
-
-def at(record: dict | None, *keys: str):
-    for k in keys:
-        record = record.get(k) if isinstance(record, dict) else None
-    return record
-
-
-def build(certificates: list[dict], attribution: dict | None = None, answers: dict | None = None) -> dict:
-    """(generated, sources, capabilities). Technique extraction prefers a certificate that passed its gate; what is missing says so."""
-    tech = newest(certificates, lambda d: at(d, "technique", "enterprise", "pass") is True, lambda d: at(d, "technique", "enterprise", "micro_f1") is not None)
-    actor = newest(certificates, lambda d: at(d, "actor", "plausible_acc") is not None)
-    out: dict[str, dict] = {}
-    if tech:
-        own = tech["technique"]["enterprise"]
-        out["technique_extraction"] = {"n": own.get("n"), "score": {k: own.get(k) for k in ("micro_f1", "precision", "recall")}, "gate": {"threshold": at(tech, "thresholds", "tech_micro_f1"), "pass": own.get("pass")}, "out_of_corpus": at(tech, "technique", "mobile_out_of_corpus")}
-    else:
-        out["technique_extraction"] = {"status": NONE}
-    if actor:
-        own = actor["actor"]
-        out["actor_attribution"] = {"n": own.get("n"), "score": {k: own.get(k) for k in ("correct_acc", "plausible_acc", "correct", "plausible", "incorrect")}, "gate": {"threshold": at(actor, "thresholds", "actor_plausible"), "pass": own.get("pass")}}
-    else:
-        out["actor_attribution"] = {"status": NONE}
-    results = at(attribution, "results")
-    if results:
-        out["heterogeneous_retrieval"] = {"query_set": attribution.get("query_set"), "by_category_hit": {c: m.get("hit_at_k") for c, m in results[0].get("by_category", {}).items()}, "set_metrics": results[0].get("set_metrics")}
-    else:
-        out["heterogeneous_retrieval"] = {"status": NONE}
-    if answers is None:
-        out["generation_grounding"] = {"status": NOT_RUN}
-    elif str(answers.get("status", "")).startswith("BLOCKED"):
-        out["generation_grounding"] = {"status": answers["status"], "n_requested": answers.get("n_requested")}
-    else:
-        with_references = bool(answers.get("references_available"))
-        score = {k: answers.get(k) for k in ("faithfulness", "answer_relevancy")} | {k: answers.get(k) if with_references else None for k in ("context_precision", "context_recall")}
-        out["generation_grounding"] = {"n": answers.get("n"), "n_failed": answers.get("n_failed", 0), "score": score}
-    sources = {"technique": tech, "actor": actor, "attribution": attribution, "answers": answers}
-    return {"generated": datetime.now(UTC).isoformat(), "sources": {k: (v or {}).get("_path") for k, v in sources.items()}, "capabilities": out}
+    return {r["capability"]: {"status": r["status"], "source": r["path"], **{k: value(v) for k, v in sorted((r["measures"] or {}).items())}} for r in rows.collect()}

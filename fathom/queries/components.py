@@ -9,7 +9,7 @@ from fathom.functions import text as T
 from fathom.operators import gold, graph, metrics, sections
 from fathom.operators.keyed import zipped
 from fathom.operators.substrings import contained, mentions
-from fathom.plans import bakeoff, evaluation, ingest
+from fathom.plans import bakeoff, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
 from fathom.queries import query, table
 from fathom.queries.retrieval import ASKED, DENSE, HALF, _cosine, _dense
@@ -384,3 +384,22 @@ def clients_matched(spark, d):
     rows = table(spark, d, "clients").select(F.col("client_id").alias("id"), "name", F.array("email").alias("aliases"), F.col("client_id").alias("position"), "email")
     asked = rows.select(F.upper("name").alias("query")).union(rows.select(F.substring("email", 1, 9))).union(rows.where("id % 3 = 0").select("email"))
     return graph.match_names(asked.where("query IS NOT NULL"), rows)
+
+
+@query("""WITH s AS (SELECT sale_id, coalesce(sold_at, TIMESTAMP '2000-01-01') AS t, total, coalesce(priority, 0) > 3 AS pass, sale_id % 4 AS m FROM sales WHERE sale_id IS NOT NULL),
+r AS (SELECT 'technique_extraction' AS capability, t, sale_id, total AS score, pass AS first FROM s WHERE m < 2 AND total IS NOT NULL
+  UNION ALL SELECT 'actor_attribution', t, sale_id, total / 2, FALSE FROM s WHERE m = 1 AND total IS NOT NULL UNION ALL SELECT 'generation_grounding', t, sale_id, total, FALSE FROM s WHERE m = 2)
+SELECT n.capability, CASE WHEN b.capability IS NOT NULL THEN 'AVAILABLE' WHEN n.capability = 'generation_grounding' THEN 'NOT RUN' ELSE 'NOT AVAILABLE' END AS status, b.r.path AS path, round(b.r.score, 4) AS score
+FROM (SELECT unnest(['technique_extraction', 'actor_attribution', 'heterogeneous_retrieval', 'generation_grounding']) AS capability) n
+LEFT JOIN (SELECT capability, max(struct_pack(first := first, t := t, path := sale_id::VARCHAR, score := score)) AS r FROM r GROUP BY capability) b USING (capability)""")
+def capability_summary(spark, d):
+    """Each sale as a saved result: certificates of one capability or both, answers, and attributions without any result."""
+    rows = table(spark, d, "sales").where("sale_id IS NOT NULL")
+    m, total = F.col("sale_id") % 4, F.col("total")
+    own = F.struct(F.struct(total.alias("micro_f1"), (F.coalesce("priority", F.lit(0)) > 3).alias("pass")).alias("enterprise"))
+    value = F.when(m < 2, F.to_json(F.struct(own.alias("technique"), F.when(m == 1, F.struct((total / 2).alias("plausible_acc"))).alias("actor")))).when(m == 2, F.to_json(F.struct(total.alias("faithfulness"), F.lit(1).alias("n")))).otherwise('{"results": []}')
+    kind = F.when(m < 2, "certificate").when(m == 2, "answers").otherwise("attribution")
+    time = F.coalesce("sold_at", F.lit("2000-01-01").cast("timestamp_ntz")).cast("timestamp")
+    saved = rows.select(kind.alias("kind"), F.col("sale_id").cast("string").alias("path"), time.alias("time"), value.alias("value"))
+    score = F.coalesce(*[F.element_at("measures", k) for k in ("micro_f1", "plausible_acc", "faithfulness")])
+    return summary.capabilities(saved).select("capability", "status", "path", F.round(score.cast("double"), 4).alias("score"))

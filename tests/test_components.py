@@ -1,5 +1,6 @@
 """Summaries, downloads, feeds, traces and the library's entry points, beside small restatements."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -37,26 +38,37 @@ def test_scorers_and_writers_run_in_batches(spark):
     assert sorted(df.select(models.batch_writer(write, tries=2, wait=0.0)("c")).collect(), key=repr) == sorted([("A B C",), (None,), (None,)], key=repr)
 
 
-def test_capabilities_are_told_apart():
-    failed = {"technique": {"enterprise": {"micro_f1": 0.5, "pass": False}}, "actor": {"plausible_acc": 0.7, "pass": True}, "_path": "new"}
-    passed = {"technique": {"enterprise": {"micro_f1": 0.7, "pass": True, "n": 3}}, "thresholds": {"tech_micro_f1": 0.65}, "_path": "old"}
-    got = summary.build([failed, passed], {"results": [{"by_category": {"a": {"hit_at_k": 1}}}]}, {"faithfulness": 0.9, "context_recall": 0.5})
-    own = got["capabilities"]
-    assert got["sources"] == {"technique": "old", "actor": "new", "attribution": None, "answers": None}
-    assert own["technique_extraction"]["gate"] == {"threshold": 0.65, "pass": True} and own["actor_attribution"]["score"]["plausible_acc"] == 0.7
-    assert own["generation_grounding"]["score"] == {"faithfulness": 0.9, "answer_relevancy": None, "context_precision": None, "context_recall": None}
-    none = summary.build([])["capabilities"]
+def test_capabilities_are_told_apart(spark):
+    at = lambda n: dt.datetime(2024, 1, n)
+    rows = [
+        ("certificate", "new", at(3), {"technique": {"enterprise": {"micro_f1": 0.5, "pass": False}}, "actor": {"plausible_acc": 0.7, "pass": True}}),
+        ("certificate", "old", at(1), {"technique": {"enterprise": {"micro_f1": 0.7, "pass": True, "n": 3}}, "thresholds": {"tech_micro_f1": 0.65}, "actor": {"plausible_acc": 0.9}}),
+        ("certificate", "empty", at(9), {"technique": {}, "actor": None}),
+        ("attribution", "none", at(4), {"results": []}),
+        ("attribution", "one", at(2), {"results": [{"by_category": {"a": {"hit_at_k": 1}}}]}),
+        ("answers", "told", at(2), {"faithfulness": 0.9, "context_recall": 0.5}),
+    ]
+    told = lambda rows: summary.report(summary.capabilities(spark.createDataFrame([(*r[:3], json.dumps(r[3])) for r in rows], summary.SAVED)))
+    own = told(rows)
+    assert own["technique_extraction"] == {"status": summary.FOUND, "source": "old", "micro_f1": 0.7, "n": 3, "pass": True, "threshold": 0.65}
+    assert own["actor_attribution"] == {"status": summary.FOUND, "source": "new", "plausible_acc": 0.7, "pass": True}
+    assert own["heterogeneous_retrieval"] == {"status": summary.FOUND, "source": "one", "by_category": {"a": {"hit_at_k": 1}}}
+    assert own["generation_grounding"] == {"status": summary.FOUND, "source": "told", "faithfulness": 0.9}
+    assert told([("answers", "x", at(1), {"references_available": True, "context_recall": 0.5})])["generation_grounding"]["context_recall"] == 0.5
+    none = told([])
     assert [none[c]["status"] for c in sorted(none)] == [summary.NONE, summary.NOT_RUN, summary.NONE, summary.NONE]
-    assert summary.build([], None, {"status": "BLOCKED: quota"})["capabilities"]["generation_grounding"]["status"] == "BLOCKED: quota"
+    blocked = told([("answers", "x", at(1), {"status": "BLOCKED: quota", "n_requested": 4})])["generation_grounding"]
+    assert blocked == {"status": "BLOCKED: quota", "source": "x", "n_requested": 4}
 
 
-def test_saved_records_newest_first(spark, tmp_path):
+def test_saved_records_by_kind(spark, tmp_path):
     for n in (1, 2):
         (tmp_path / f"r{n}.json").write_text(json.dumps({"n": n}))
     import os
 
     os.utime(tmp_path / "r1.json", (2_000_000_000, 2_000_000_000))
-    assert [r["n"] for r in summary.records(spark, f"{tmp_path}/r*.json")] == [1, 2] and summary.records(spark, f"{tmp_path}/none") == []
+    rows = summary.saved(spark, answers=f"{tmp_path}/r*.json", certificate=f"{tmp_path}/none")
+    assert rows.count() == 2 and summary.report(summary.capabilities(rows))["generation_grounding"]["n"] == 1
     text = spark.read.option("wholetext", True).text(f"{tmp_path}/r*.json").select("value", "_metadata.file_path", "_metadata.file_modification_time")
     assert files.newest_where(text, F.get_json_object("value", "$.n") == "2").first()["file_path"].endswith("r2.json")
     with pytest.raises(ValueError, match="lacks config"):
