@@ -4,9 +4,10 @@ Both set joins (``ngram_join``, ``minhash``) give each document a list of signat
 common. ``resolve`` takes it from there: documents of the same words are one class of copies, which one member stands for;
 in each group of a signature one member, the leader, meets the others (a star: a group of m gives m - 1 pairs); pairs that
 their sizes or bitmaps rule out are dropped; the rest is verified on full sets and joined to components. Groups whose
-members are not all of one component go on in rounds with more members that meet the rest, until no group holds two
-components that have not met. So a group of many copies costs as many comparisons as it has members, and no link
-between different texts of one group is lost."""
+members are not all of one component go on: those outside the group's largest component, if they are BLOCK at most, meet all
+the others at once; of other groups more and more members meet the rest in rounds, until no group holds two components
+that have not met. So a group of many copies costs as many comparisons as it has members, and no link between different
+texts of one group is lost."""
 
 from __future__ import annotations
 
@@ -27,7 +28,7 @@ WORDS = 32
 #: Members of an open group that meet the rest in the first later round, and how many times as many in each next one.
 FIRST, FASTER = 64, 16
 #: Members that one task holds to meet others, and about how many others it meets.
-BLOCK, PART = 1024, 8192
+BLOCK, PART = 1024, 2048
 #: Places in a group are hashes below this number.
 PLACES = 1 << 30
 
@@ -54,19 +55,22 @@ def star_meetings(postings: DataFrame) -> DataFrame:
 
 
 def later_meetings(members: DataFrame, skip: int, most: int) -> DataFrame:
-    """(a, b) within groups: about ``most`` members of each meet those whose place comes after theirs; about ``skip`` have done so before.
-
-    members: sig, id, n, component, bits, size (rows of the group). A member's place is a hash, so neither is a group sorted
-    nor are its places counted: with ``size`` members, those below skip / size have met the rest. Pairs of one component,
-    or that sizes or bitmaps rule out, are left out. A group is dealt as a grid: blocks of about BLOCK members that meet
-    the rest, times parts of about PART members that are met, so that no task holds or reads a whole group."""
-    size, place = F.col("size"), F.pmod(F.xxhash64("id", "sig"), F.lit(PLACES))
+    """(a, b) within groups of members of several components; pairs of one component, or that sizes or bitmaps rule out, are left out.
+
+    members: sig, id, n, component, bits, size (rows of the group), main (its largest component), rest (rows outside that).
+    Where ``rest`` is BLOCK at most, those rows meet all others. In other groups about ``most`` members meet those whose
+    place comes after theirs; about ``skip`` have done so before. A place is a hash, so neither is a group sorted nor are
+    places counted: with ``size`` members, those below skip / size have met the rest. A group is dealt as a grid: blocks
+    of about BLOCK members that meet the rest, times parts of about PART members that are met, so that no task holds or reads a whole group."""
+    size, place, few = F.col("size"), F.pmod(F.xxhash64("id", "sig"), F.lit(PLACES)), F.col("rest") <= BLOCK
     bound = lambda at: F.least(F.lit(PLACES).cast("long"), F.ceil(F.lit(float(at)) / size * PLACES).cast("long"))
-    rows = members.withColumn("place", place).where(F.col("place") >= bound(skip))
-    blocks, parts = F.ceil(F.least(F.lit(most), size) / BLOCK).cast("int"), F.ceil(size / PART).cast("int")
+    in_main = F.col("component") == F.col("main")
+    rows = members.withColumn("place", F.when(few & in_main, F.lit(PLACES).cast("long")).otherwise(place)).where(few | (F.col("place") >= bound(skip)))
+    meets = F.when(few, ~in_main).otherwise(F.col("place") < bound(skip + most))
+    blocks, parts = F.when(few, 1).otherwise(F.ceil(F.least(F.lit(most), size) / BLOCK)).cast("int"), F.ceil(size / PART).cast("int")
     which = lambda seed, of: F.pmod(F.xxhash64("id", F.lit(seed)), of).cast("int")
     columns = ["sig", "block", "part", "met", "id", "n", "component", "place", "bits"]
-    held = rows.where(F.col("place") < bound(skip + most)).withColumns({"block": which(1, blocks), "part": F.explode(F.sequence(F.lit(0), parts - 1)), "met": F.lit(False)})
+    held = rows.where(meets).withColumns({"block": which(1, blocks), "part": F.explode(F.sequence(F.lit(0), parts - 1)), "met": F.lit(False)})
     met = rows.withColumns({"part": which(2, parts), "block": F.explode(F.sequence(F.lit(0), blocks - 1)), "met": F.lit(True)})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,10 +176,12 @@ def resolve(sign: DataFrame, docs: DataFrame, meet: Callable[[DataFrame], DataFr
     halves = [F.sum(f(F.xxhash64("id", *more))).alias(f"{c}{j}") for c, more in (("h", []), ("i", [F.lit(1)])) for j, f in enumerate((lambda x: F.shiftright(x, 32), lambda x: x.bitwiseAND(0xFFFFFFFF)))]
     while True:
         tagged = members.join(label, "id", "left").select("sig", "id", F.coalesce("component", "id").alias("component"), "size")
-        rows = F.count("*") if opened is None else F.max("size")  # a group's size stays that of the first round, as places depend on it
-        seen = tagged.groupBy("sig").agg(F.min("component").alias("x"), F.max("component").alias("y"), rows.alias("size"), *halves)
-        open_ = seen.where((F.col("x") != F.col("y")) & (F.col("size") > skip)).groupBy("size", "h0", "h1", "i0", "i1").agg(F.min("sig").alias("sig"))  # of groups with the same members one
-        tagged = kept(tagged.drop("size").join(open_.select("sig", "size"), "sig").distinct(), "open")
+        each = tagged.groupBy("sig", "component").agg(F.count("*").alias("n"), F.max("size").alias("size"), *halves)
+        size = F.sum("n") if opened is None else F.max("size")  # a group's size stays that of the first round, as places depend on it
+        seen = each.groupBy("sig").agg(F.count("*").alias("parts"), size.alias("size"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in ("h0", "h1", "i0", "i1")])
+        open_ = seen.where((F.col("parts") > 1) & (F.col("size") > skip))
+        open_ = open_.groupBy("size", "h0", "h1", "i0", "i1").agg(F.min(F.struct("sig", F.col("top.component").alias("main"), (F.col("n") - F.col("top.n")).alias("rest"))).alias("g"))  # of groups with the same members one
+        tagged = kept(tagged.drop("size").join(open_.select("size", "g.*"), "sig").distinct(), "open")
         discard(opened, met if opened is None else None)
         opened = tagged
         if tagged.isEmpty():
@@ -187,7 +193,7 @@ def resolve(sign: DataFrame, docs: DataFrame, meet: Callable[[DataFrame], DataFr
             label = components(label.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(verified(fresh, docs, key, text, percent, k)))
             discard(before)
         discard(fresh)
-        members, skip, most = tagged.select("sig", "id", "size"), skip + most, most * FASTER
+        members, skip, most = tagged.where(F.col("rest") > BLOCK).select("sig", "id", "size"), skip + most, most * FASTER
     named = sign.select("id", "h1", "h2", "n").join(copies, ["h1", "h2"], "left").join(label.withColumnRenamed("id", "first"), "first", "left")
     component = F.when(F.col("n") == 0, F.col("id")).when(F.col("id").isNotNull(), F.coalesce("component", "first"))
     return named.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
