@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -58,13 +60,36 @@ def words(prose: Column) -> Column:
     return F.transform(F.filter(F.split(prose, r"[^\p{L}\p{N}_]+"), lambda w: F.length(w).between(2, LONGEST)), F.lower)
 
 
-#: The characters of Latin-1 that the normal form keeps, one by one, which the engine looks up in a table; all others are odd.
-STEADY = "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.normalize("NFKC", chr(c)) == chr(c))
+def _steady_ranges() -> list[tuple[int, int]]:
+    """Ranges of characters that NFKC keeps, whatever stands beside them: none that it replaces, and none that joins with what stands before."""
+    joins = {int(d.split()[1], 16) for c in range(sys.maxunicode + 1) if (d := unicodedata.decomposition(chr(c))) and d[0] != "<" and " " in d}
+    joins |= {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # fixed values: vowels and finals of Hangul syllables
+    kept = lambda c: c not in joins and not 0xD800 <= c < 0xE000 and not unicodedata.combining(chr(c)) and unicodedata.normalize("NFKC", chr(c)) == chr(c)
+    ranges: list[list[int]] = []
+    for c in filter(kept, range(sys.maxunicode + 1)):
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return [(a, b) for a, b in ranges]
+
+
+@lru_cache(maxsize=1)
+def steady() -> str:
+    """A pattern of a run of steady characters, of which a text is that is its own normal form.
+
+    Each class is short, as an engine tests its ranges one after the other: Latin-1 first, which it looks up in a table, then
+    the wide ranges, which hold most scripts, then the rest."""
+    ranges = _steady_ranges()
+    latin = "".join(f"\\x{{{c:x}}}" for a, b in ranges for c in range(a, min(b, 255) + 1))
+    rest = sorted(((max(a, 256), b) for a, b in ranges if b > 255), key=lambda r: r[0] - r[1])
+    classes = ["".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in sorted(rest[i : i + 12])) for i in range(0, len(rest), 12)]
+    return f"(?:[{latin}]++|" + "|".join(f"[{c}]++" for c in classes) + ")*+"
 
 
 def is_odd(text: Column) -> Column:
     """Whether the normal form may change a text. A run that is not given back ends at the first odd character."""
-    return ~F.coalesce(text, F.lit("")).rlike(rf"\A[{STEADY}]*+\z")
+    return ~F.coalesce(text, F.lit("")).rlike(rf"\A{steady()}\z")
 
 
 def tokenize(text: Column, prose: Column | None = None) -> Column:
@@ -82,10 +107,9 @@ def tokenize(text: Column, prose: Column | None = None) -> Column:
 def tokenized(df: DataFrame, text: str, name: str) -> DataFrame:
     """``df`` with the tokens of a text column, its words in NFKC.
 
-    Only texts with an odd character need Python. They go their own way behind an exchange, so that a table without any,
-    which shows there, starts none; both ways read the table, which costs little beside the pattern."""
+    Texts that the normal form may change, such as those with ligatures or wide forms, pass through Python where they are
+    read; of all others Python sees a null. No text is moved."""
     odd = is_odd(F.col(text))
-    plain = df.where(~odd).withColumn(name, tokenize(F.col(text)))
-    prose = normal_form(F.regexp_replace(F.col(text), FAST, " "))
-    rest = df.where(odd).repartition(df.sparkSession.sparkContext.defaultParallelism).withColumn("_prose", prose)
-    return plain.unionByName(rest.withColumn(name, tokenize(F.col(text), F.col("_prose"))).drop("_prose"))
+    rows = df.withColumn("_prose", normal_form(F.when(odd, F.regexp_replace(F.col(text), FAST, " "))))
+    tokens = F.when(F.col("_prose").isNull(), tokenize(F.col(text))).otherwise(tokenize(F.col(text), F.col("_prose")))
+    return rows.withColumn(name, tokens).drop("_prose")
