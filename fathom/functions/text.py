@@ -110,6 +110,24 @@ def safe_filename(url: Column, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.when(F.endswith(F.lower(name), F.lit(".pdf")), name).otherwise(F.concat(name, F.lit(".pdf"))))
 
 
+#: A character reference, a run of text without one, or an ampersand that begins none.
+REFERENCE = r"&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});|[^&]+|&"
+
+
+def unescaped(text: Column) -> Column:
+    """The five named character references and numeric ones as the characters they stand for, each once; numbers of no character become U+FFFD."""
+
+    def one(t: Column) -> Column:
+        hexed = F.lower(F.substring(t, 3, 1)) == "x"
+        number = F.when(hexed, F.conv(F.substr(t, F.lit(4), F.length(t) - 4), 16, 10)).otherwise(F.substr(t, F.lit(3), F.length(t) - 3)).cast("long")
+        known = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+        named = F.when(t == "&amp;", "&").when(t == "&lt;", "<").when(t == "&gt;", ">").when(t == "&quot;", '"').when(t == "&apos;", "'")
+        return named.when(F.startswith(t, F.lit("&#")), char).otherwise(t)
+
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), 0), one), "")).otherwise(text)
+
+
 def resolve_url(base: Column, link: Column) -> Column:
     """A link made absolute: full URLs as they are, ``//host`` with the base's scheme, ``/path`` at its host, others beside its path."""
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)

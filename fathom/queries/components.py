@@ -13,6 +13,7 @@ from fathom.plans import bakeoff, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
 from fathom.queries import query, table
 from fathom.queries.retrieval import ASKED, DENSE, HALF, _cosine, _dense
+from fathom.queries.text import LINKS
 from fathom.sinks import new_folder, versioned
 from fathom.sources import feeds, files, stix
 
@@ -176,16 +177,17 @@ def whois_history(spark, d):
     return feeds.whois_history(_read(rows, f"status int, domain_name string, whois_records array<struct<{fields}>>")).select("domain", "registrar")
 
 
-@query(r"""SELECT page_id, link FROM (SELECT page_id, 'https://r.example/sites/default/files/' || page_id || CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '.html' END AS link FROM pages
-UNION ALL SELECT page_id, 'https://r.example/x/' || page_id || '.pdf' FROM pages) WHERE lower(link) LIKE '%.pdf' AND contains(link, '/sites/default/files/')""")
+#: Anchors put behind each page's own, with character references, quotes of both kinds and none.
+PLANTED = "html || '<a class=''x'' href=''/sites/default/files/' || page_id || '&amp;v&#61;&#x31;.' || CASE WHEN page_id % 2 = 0 THEN 'PDF' ELSE 'html' END || '''>a</a> <A href=../x/y&lt;.pdf>b</A> <a data-href=\"no.pdf\">c</a>'"
+
+
+@query(f"""WITH {LINKS.replace("FROM pages)", f"FROM (SELECT page_id, url, {PLANTED} AS html FROM pages))")}
+SELECT page_id, link FROM links WHERE ends_with(lower(link), '.pdf') AND contains(link, '/sites/default/files/')""")
 def report_links(spark, d):
-    """Targets in double quotes, in single ones and bare, of which two are reports and one of these lies where reports are kept."""
-    key = F.col("page_id").cast("string")
-    html = F.concat(
-        F.lit("<a class='x' href='/sites/default/files/"), key, F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(".html"), F.lit("'>a</a> <A href=../x/"), key, F.lit('.pdf>b</A> <a data-href="no.pdf">c</a>')
-    )
-    pages = table(spark, d, "pages").select(F.concat(F.lit("https://r.example/d/"), key).alias("url"), html.alias("html"))
-    return files.report_links(files.links(pages), "files").select(F.regexp_extract("url", "([0-9]+)$", 1).cast("long").alias("page_id"), "link")
+    """All anchors of the pages, and some put behind them: which lead to reports that lie where reports are kept."""
+    pages = table(spark, d, "pages").withColumn("html", F.expr(PLANTED))
+    found = files.report_links(files.links(pages), "files")
+    return found.join(pages.select("url", "page_id"), "url").select("page_id", "link")
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'T1059,T1003.001' ELSE 'T1110' END AS gold FROM conversations WHERE trim(text) <> '' AND turn % 3 <> 0""")
@@ -207,13 +209,15 @@ def status_counts(spark, d):
     return ingest.status_counts(rows.where("o_orderkey % 2 = 0"), rows.where("o_orderkey % 2 <> 0"))
 
 
-@query(r"""SELECT doc_id, lang, length(text) AS n FROM (SELECT doc_id, lang, regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM conversations_as_docs) WHERE length(text) >= 50""".replace("conversations_as_docs", "(SELECT conv_id AS doc_id, role AS lang, 'a section  of  its own: ' || turn || chr(9) || 'and more of the same text to be long enough' AS text FROM conversations)"))
+@query(r"""WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(replace(coalesce(text, '') || chr(10) || '17' || chr(10) || 'Page 3 of 9', chr(61607), '-'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM conversations),
+l AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\r\n|\n|\r'), lambda x: NOT regexp_full_match(x, '\s*\d{1,4}\s*')) AS ls FROM t),
+c AS (SELECT conv_id, turn, regexp_replace(array_to_string(ls[:-2], chr(10)), '^\s+|\s+$', '', 'g') AS text FROM l)
+SELECT conv_id AS doc_id, turn AS page, md5(text) AS text FROM c WHERE length(text) >= 50""")
 def page_sections(spark, d):
-    text = F.concat(F.lit("a section  of  its own: "), F.col("turn").cast("string"), F.lit("\tand more of the same text to be long enough\n17\nPage 3 of 9"))
-    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("page"), text.alias("text"))
-    short = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("page"), F.lit("too short").alias("text"))
-    out = sections.page_sections(pages.unionByName(short))
-    return out.select("doc_id", F.col("page").alias("lang"), F.length("text").cast("long").alias("n"))
+    """Each turn as a page, a page number and a footer behind it, as sections."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n17\nPage 3 of 9"))
+    pages = table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), text.alias("text"))
+    return sections.page_sections(pages).select("doc_id", "page", F.md5("text").alias("text"))
 
 
 @query(r"""SELECT event_id, 'APT ' || user_id AS actor, 'initial-access' AS tactic, CASE WHEN event_id % 4 = 0 THEN '' ELSE strftime(make_timestamp(event_id * 86400000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS iso,

@@ -171,9 +171,13 @@ def render_prose(spark, d):
     return rows.select("s_suppkey", feeds.whois_text().alias("content"))
 
 
+#: A target without its character references, as one expression of ``x``.
+UNESCAPED = r"""array_to_string(list_transform(regexp_extract_all(x, '&(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6});|[^&]+|&'), lambda t:
+  CASE WHEN t = '&amp;' THEN '&' WHEN t = '&lt;' THEN '<' WHEN t = '&gt;' THEN '>' WHEN t = '&quot;' THEN '"' WHEN t = '&apos;' THEN '''' WHEN lower(t[1:3]) = '&#x' THEN chr(('0x' || t[4:-2])::INT)
+  WHEN starts_with(t, '&#') THEN chr(t[3:-2]::INT) ELSE t END), '')"""
 LINKS = rf"""
-h AS (SELECT page_id, url, list_transform(regexp_extract_all(html, '{files.ANCHOR.replace("'", "''").removeprefix("(?i)")}', 0, 'i'),
-  lambda x: regexp_replace(regexp_replace(x, '{files.ANCHOR_HEAD.removeprefix("(?i)")}', '', 'i'), '^["'']|["'']$', '', 'g')) AS hs FROM pages),
+h AS (SELECT page_id, url, list_transform(list_transform(regexp_extract_all(html, '{files.ANCHOR.replace("'", "''").removeprefix("(?i)")}', 0, 'i'),
+  lambda x: regexp_replace(regexp_replace(x, '{files.ANCHOR_HEAD.removeprefix("(?i)")}', '', 'i'), '^["'']|["'']$', '', 'g')), lambda x: {UNESCAPED}) AS hs FROM pages),
 u AS (SELECT page_id, url, (unnest(range(0, len(hs))))::INT AS position, unnest(hs) AS href FROM h),
 l AS (
   SELECT *, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)', 1) AS site,

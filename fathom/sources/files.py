@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.functions.text import document_id, resolve_url, safe_filename, technique_ids
+from fathom.functions.text import document_id, resolve_url, safe_filename, technique_ids, unescaped
 from fathom.operators.keyed import first_by_key, last_by_key, zipped
 from fathom.operators.sections import keep, merge_forward
 
@@ -145,11 +145,11 @@ ANCHOR = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
 def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, position, link): the targets of all anchors, made absolute."""
+    """(url, position, link): the targets of all anchors, without character references, made absolute."""
     found = F.regexp_extract_all(html, F.lit(ANCHOR), 0)
     rows = pages.select(url, F.posexplode(found).alias("position", "tag"))
     href = F.regexp_replace(F.regexp_replace("tag", ANCHOR_HEAD, ""), "^[\"']|[\"']$", "")
-    return rows.select(url, "position", href.alias("href")).select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
+    return rows.select(url, "position", unescaped(href).alias("href")).select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
 
 
 def report_links(found: DataFrame, kind: str) -> DataFrame:
