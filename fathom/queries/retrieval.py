@@ -9,6 +9,7 @@ from fathom.operators import metrics as M
 from fathom.operators import neighbours as N
 from fathom.operators import retrieval as R
 from fathom.operators.layout import spread
+from fathom.plans import statistics
 from fathom.plans.retrieval import Pipeline, build_index, of_sources, sparse_search
 from fathom.plans.settings import Settings
 from fathom.queries import query, table
@@ -71,6 +72,28 @@ def sparse_stored_topk(spark, d):
     return found.select(F.col("query_id").alias("item_id"), "doc_id", F.round("score", 5).alias("score"), "rank")
 
 
+@query(f"WITH {COUNTS} SELECT term, df, round(idf, 6) AS idf FROM terms")
+def merged_terms(spark, d):
+    """Term weights from three loads, one of them taken back and loaded anew, of which none reads another's documents."""
+    docs, path = _docs(spark, d), new_folder(spark, "statistics")
+    part = lambda n: docs.where(F.pmod("doc_id", F.lit(2)) == n)
+    for name, rows, back in (("even", part(0), False), ("odd", part(1), False), ("odd again", part(1), True), ("odd at last", part(1), False)):
+        statistics.add(rows, path, name, taken_back=back)
+    return statistics.model(spark, path)[0].select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query(f"WITH {TOKENS} SELECT q, TRUE AS near FROM (SELECT unnest([0.1, 0.5, 0.9])::DOUBLE AS q) WHERE (SELECT count(*) FROM tok) > 0")
+def length_quantiles(spark, d):
+    """Quantiles of documents' lengths, from the merged sketches of two loads, within a fiftieth of the exact ranks."""
+    docs, path = _docs(spark, d), new_folder(spark, "statistics")
+    for n in (0, 1):
+        statistics.add(docs.where(F.pmod("doc_id", F.lit(2)) == n), path, f"part-{n}")
+    told = statistics.length_quantiles(spark, path, [0.1, 0.5, 0.9])
+    sizes = R.term_counts(docs, "doc_id").where(F.col("term") == R.WHOLE).select("dl")
+    ranks = sizes.crossJoin(F.broadcast(told)).groupBy("q").agg(F.avg((F.col("dl") < F.col("length")).cast("int")).alias("low"), F.avg((F.col("dl") <= F.col("length")).cast("int")).alias("high"))
+    return ranks.select("q", ((F.col("low") - 0.02 <= F.col("q")) & (F.col("q") <= F.col("high") + 0.02)).alias("near"))
+
+
 #: The vectors that are searched for: a set that grows with the table.
 ASKED = "vec_id % 100 = 0"
 
