@@ -110,6 +110,8 @@ def likely(pairs: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFram
     return both.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b").distinct()
 
 
+#: Documents of pairs up to which a table of their hashes, one number each, goes to all tasks; texts of more are shuffled.
+FEW = 1 << 17
 #: Pairs of one document beyond which they are dealt to several tasks.
 HOT = 1000
 
@@ -117,6 +119,10 @@ HOT = 1000
 def verified(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = 5) -> DataFrame:
     """The pairs (a, b) that link by their sets of k-word shingles. Each b's text is sent to a's; a document of many pairs is sent to each of the tasks that they are dealt to."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if ids.count() <= FEW:  # texts that no pair asks for are dropped where they are read
+        bucket = F.pmod(F.xxhash64("id"), F.lit(8 * FEW)).alias("bucket")
+        own = own.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
     count = pairs.groupBy("a").agg(F.count("*").alias("n"))
     parts = F.ceil(F.col("n") / HOT).cast("int")
     dealt = pairs.join(count, "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"))
