@@ -1,9 +1,10 @@
-"""Command line: ``python -m fathom.cli query|seed|ingest|refresh|eval|metrics ...``."""
+"""Command line: ``python -m fathom.cli query|seed|ingest|refresh|fetch|eval|metrics ...``."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from collections.abc import Callable
 
@@ -18,6 +19,7 @@ from fathom.plans import evaluation, ingest
 from fathom.plans import retrieval as plans
 from fathom.plans.settings import get_settings
 from fathom.sinks import markdown, write_json
+from fathom.sinks.fetch import fetch_pending
 from fathom.sources import feeds, files, stix
 
 SOURCES = ("mitre", "relationships", "otx", "whois", "pdns", "virustotal")
@@ -56,6 +58,14 @@ def load(a: argparse.Namespace) -> int:
     return 0
 
 
+def fetch(a: argparse.Namespace) -> int:
+    """The records of keys in a file (one a line), those that the log has as done left out; counts by status."""
+    keys = session().read.text(a.keys).select(F.col("value").alias(a.key))
+    told = fetch_pending(keys, a.url, a.folder, a.log, a.parallel, a.key, rate=str(a.rate), token=os.environ.get("FATHOM_FEED_TOKEN", ""), header=a.header)
+    print(json.dumps({r["status"]: r["n"] for r in told.groupBy("status").agg(F.count("*").alias("n")).collect()}))
+    return 0
+
+
 def refresh(a: argparse.Namespace) -> int:
     """Documents that their source changed after a mark, or of which it does not say when, chunked again."""
     docs = read_source(session(), a.kind, a.path)
@@ -122,6 +132,13 @@ def parser() -> argparse.ArgumentParser:
     i.add_argument("files", nargs="+", help="source=path")
     i.add_argument("--refit", action="store_true", help="fit the terms' weights anew")
     stored(i)
+    f = command("fetch", fetch)
+    for name in ("keys", "url", "folder", "log"):
+        f.add_argument(name)
+    f.add_argument("--key", default="pulse_id")
+    f.add_argument("--header", default="Authorization", help="where FATHOM_FEED_TOKEN goes, if it is set")
+    f.add_argument("--parallel", type=int, default=5)
+    f.add_argument("--rate", type=float, default=2.0)
     e = command("eval", evaluate)
     e.add_argument("suite", choices=("retrieval", "attribution"))
     e.add_argument("queries")

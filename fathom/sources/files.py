@@ -83,7 +83,7 @@ def on_platform(rows: DataFrame, platform: str | None) -> DataFrame:
 
 def checkpoint(spark: SparkSession, path: str, key: str = "pulse_id") -> DataFrame:
     """The last record of each key of an append-only log; malformed lines do not count."""
-    rows = lines(spark, path, "pulse_id string, status string, chunks int, error string").where(f"_corrupt IS NULL AND {key} IS NOT NULL")
+    rows = lines(spark, path, f"{key} string, status string, chunks int, error string").where(f"_corrupt IS NULL AND {key} IS NOT NULL")
     return last_by_key(rows.withColumn("_n", place()), [key], "_n").drop("_n", "_corrupt")
 
 
