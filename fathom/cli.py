@@ -1,4 +1,4 @@
-"""Command line: ``python -m fathom.cli query|seed|ingest|refresh|fetch|eval|metrics ...``."""
+"""Command line: ``python -m fathom.cli query|seed|ingest|refresh|fetch|eval|certify|summary|metrics ...``."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ from fathom.functions.models import hashed_vector
 from fathom.functions.render import snippet
 from fathom.operators import metrics as M
 from fathom.operators.retrieval import overlap_score
-from fathom.plans import evaluation, ingest
+from fathom.plans import certification, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
 from fathom.plans.settings import get_settings
 from fathom.sinks import markdown, write_json
@@ -88,6 +88,23 @@ def evaluate(a: argparse.Namespace) -> int:
     return 0
 
 
+def certify(a: argparse.Namespace) -> int:
+    """Saved predictions (JSON lines: id, platform, gold, predicted) and verdicts (id, verdict) against their gates; a failed one is an error."""
+    spark = session()
+    techniques = spark.read.schema("id string, platform string, gold array<string>, predicted array<string>").json(a.techniques)
+    actors = spark.read.schema("id string, verdict string").json(a.actors)
+    passed = certification.run(techniques, actors, a.out)
+    print(certification.report(techniques, actors))
+    return int(not passed)
+
+
+def summarise(a: argparse.Namespace) -> int:
+    """What saved results tell of each capability."""
+    rows = summary.saved(session(), certificate=a.certificates, attribution=a.attribution, answers=a.answers)
+    print(json.dumps(summary.report(summary.capabilities(rows)), indent=1))
+    return 0
+
+
 def show_metrics(a: argparse.Namespace) -> int:
     """A saved evaluation with its alerts; ``--strict`` makes any alert an error."""
     with open(a.path) as f:
@@ -146,6 +163,12 @@ def parser() -> argparse.ArgumentParser:
     e.add_argument("-c", "--config", nargs="+", default=["dense", "hybrid"])
     e.add_argument("-o", "--out")
     stored(e)
+    c = command("certify", certify)
+    for name in ("techniques", "actors", "out"):
+        c.add_argument(name)
+    s = command("summary", summarise)
+    for name in ("certificates", "attribution", "answers"):
+        s.add_argument(f"--{name}", default=f"data/{name}*.json")
     m = command("metrics", show_metrics)
     m.add_argument("path")
     m.add_argument("--strict", action="store_true")

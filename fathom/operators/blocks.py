@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.operators import retrieval as R
-from fathom.sinks import materialized
+from fathom.sinks import discard, materialized
 
 SHARD = 256
 #: Shards of each query that are read to find its bar.
@@ -48,6 +48,7 @@ def build(docs: DataFrame, path: str, key: str = "chunk_id", text: str = "conten
     rows = weights.groupBy("term", "shard").agg(F.max("weight").alias("top"), F.collect_list(F.struct(key, "weight")).alias("rows"))
     rows = rows.select("term", "shard", "top", F.col(f"rows.{key}").alias("keys"), F.col("rows.weight").alias("weights"))
     rows.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{path}/blocks")
+    discard(counts)
     return load(spark, path, key)
 
 

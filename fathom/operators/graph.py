@@ -120,14 +120,17 @@ def closure(edges: DataFrame, least: str = "component") -> DataFrame:
     names = edges.select(F.col("a").alias("id")).unionByName(edges.select(F.col("b").alias("id"))).distinct()
     label = names.withColumn(least, F.col("id"))
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    written = label
     while True:  # labels go over an edge and then to their own label's label, so paths halve
         near = both.join(label.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min(least).alias("n"))
         step = label.join(near.withColumnRenamed("a", "id"), "id", "left").select("id", F.least(F.col(least), F.col("n")).alias(least), F.col(least).alias("_old"))
         jump = step.select(F.col("id").alias(least), F.col(least).alias("_up"))
         new = _table(step.join(jump, least, "left").select("id", F.least(F.col(least), F.col("_up")).alias(least), "_old"))
         if new.where(F.col(least) != F.col("_old")).isEmpty():
+            _discard(written)
             return new.select("id", least)
-        label = new.select("id", least)
+        last, label, written = written, new.select("id", least), new
+        _discard(last)
 
 
 def _table(df: DataFrame) -> DataFrame:
@@ -136,6 +139,12 @@ def _table(df: DataFrame) -> DataFrame:
     return materialized(df)
 
 
+def _discard(df: DataFrame) -> None:
+    from fathom.sinks import discard
+
+    discard(df)
+
+
 def actor_verdicts(pairs: DataFrame, aliases: DataFrame, related: DataFrame) -> DataFrame:
     """``pairs`` (a, b) with verdict: C where aliases connect them, P where aliases and relations together do, else I.
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from fathom.functions.tokens import tokenized
 from fathom.operators import retrieval as R
 from fathom.operators.layout import spread
-from fathom.sinks import materialized, store
+from fathom.sinks import discard, materialized, store
 
 K = 200
 
@@ -32,6 +32,7 @@ def add(docs: DataFrame, path: str, load: str, text: str = "content", taken_back
     sketch = F.lit(None).cast("binary") if taken_back else F.kll_sketch_agg_bigint("dl", F.lit(K))
     totals = tokens.agg((sign * F.count("*")).alias("num_docs"), (sign * F.coalesce(F.sum("dl"), F.lit(0))).alias("total"), sketch.alias("sketch"))
     totals.withColumn("load", F.lit(load)).write.mode("overwrite").parquet(f"{path}/loads/{_name(load)}")
+    discard(tokens)
     return True
 
 

@@ -46,7 +46,7 @@ def saved(spark: SparkSession, **paths: str) -> DataFrame:
     out = spark.createDataFrame([], SAVED)
     for kind, path in paths.items():
         try:
-            rows = spark.read.option("wholetext", True).text(path)
+            rows = spark.read.text(path, wholetext=True)
         except Exception as e:  # Spark's error for a missing path
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -9,7 +9,7 @@ from fathom.functions import text as T
 from fathom.operators import gold, graph, metrics, sections
 from fathom.operators.keyed import zipped
 from fathom.operators.substrings import contained, mentions
-from fathom.plans import bakeoff, evaluation, ingest, summary
+from fathom.plans import bakeoff, certification, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
 from fathom.queries import query, table
 from fathom.queries.retrieval import ASKED, DENSE, HALF, _cosine, _dense
@@ -21,7 +21,7 @@ NL = "chr(10)"
 
 
 def _key(prefix, c):
-    return F.concat(F.lit(prefix), F.col(c).cast("string"))
+    return F.concat(F.lit(prefix), (F.col(c) if isinstance(c, str) else c).cast("string"))
 
 
 def _read(rows, schema: str):
@@ -407,3 +407,18 @@ def capability_summary(spark, d):
     saved = rows.select(kind.alias("kind"), F.col("sale_id").cast("string").alias("path"), time.alias("time"), value.alias("value"))
     score = F.coalesce(*[F.element_at("measures", k) for k in ("micro_f1", "plausible_acc", "faithfulness")])
     return summary.capabilities(saved).select("capability", "status", "path", F.round(score.cast("double"), 4).alias("score"))
+
+
+@query("""WITH r AS (SELECT CASE WHEN priority > 2 THEN 'enterprise' ELSE 'mobile' END AS platform, ['T' || (1000 + client_id % 50), 'T' || (1000 + sale_id % 7)] AS g,
+  ['T' || (1000 + client_id % 50 + (CASE WHEN sale_id % 3 = 0 THEN 1 ELSE 0 END)), 'T' || (1000 + sale_id % 7)] AS p FROM sales WHERE client_id IS NOT NULL AND sale_id IS NOT NULL),
+c AS (SELECT platform, len(list_distinct(list_intersect(g, p))) AS tp, len(list_distinct(p)) - len(list_distinct(list_intersect(g, p))) AS fp, len(list_distinct(g)) - len(list_distinct(list_intersect(g, p))) AS fn FROM r),
+s AS (SELECT platform, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, count(*) AS n FROM c GROUP BY platform)
+SELECT platform, platform = 'enterprise' AS gated, n, tp, fp, fn, round(2 * tp / (2 * tp + fp + fn), 6) AS micro_f1, CASE WHEN platform = 'enterprise' THEN 2 * tp / (2 * tp + fp + fn) >= 0.65 END AS pass FROM s""")
+def certified_platforms(spark, d):
+    """Each sale as an answer: two ids of gold and two predicted ones, by a platform with a gate and one without."""
+    rows = table(spark, d, "sales").where("client_id IS NOT NULL AND sale_id IS NOT NULL")
+    two = lambda shift: F.array(_key("T", F.col("client_id") % 50 + 1000 + shift), _key("T", F.col("sale_id") % 7 + 1000))
+    wrong = F.when(F.col("sale_id") % 3 == 0, 1).otherwise(0)
+    rows = rows.select(F.when(F.col("priority") > 2, "Enterprise ").otherwise("mobile").alias("platform"), two(0).alias("gold"), two(wrong).alias("predicted"))
+    found = certification.technique_measures(certification.records(rows))
+    return found.select("platform", "gated", F.col("n").cast("long").alias("n"), "tp", "fp", "fn", F.round("micro_f1", 6).alias("micro_f1"), "pass")

@@ -29,7 +29,19 @@ def materialized(df: DataFrame, name: str = "step") -> DataFrame:
     """``df`` written to the shared folder and read back, which ends its lineage."""
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that ``materialized`` has written and that no plan still to be run reads; others are left alone."""
+    from fathom.sinks import store
+
+    for df in tables:
+        if (path := getattr(df, "kept_at", None)) is not None:
+            store.delete(df.sparkSession, path)
+            df.kept_at = None
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fathom.operators.keyed import last_by_key
-from fathom.sinks import materialized, store
+from fathom.sinks import discard, materialized, store
 
 #: Buckets of a new table. A bucket is rewritten whole, so there should be enough for one to be a task's work.
 BUCKETS = 64
@@ -78,7 +78,7 @@ def upsert(new: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, b
         raise ValueError(f"the table has keys {at.keys} and columns {schema.names}")
     fresh = fresh.select(*[F.col(f.name).cast(f.dataType) for f in schema])
     bucket = F.pmod(F.xxhash64(*keys), F.lit(at.buckets)).cast("int").alias(BUCKET)
-    fresh = materialized(fresh.select("*", bucket), "upsert")
+    fresh = asked_for = materialized(fresh.select("*", bucket), "upsert")
     asked = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
     old = read(spark, path, only=asked).select("*", bucket) if at.files else fresh.limit(0)
     same = [fresh[k].eqNullSafe(old[k]) for k in [BUCKET, *keys]]
@@ -88,6 +88,7 @@ def upsert(new: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, b
         same = [fresh[k].eqNullSafe(old[k]) for k in [BUCKET, *keys]]
     touched = [r[0] for r in fresh.select(BUCKET).distinct().collect()]
     if not touched and not batch and at.number >= 0:
+        discard(fresh, asked_for)
         return at
     files = dict(at.files)
     if touched:
@@ -95,6 +96,7 @@ def upsert(new: DataFrame, path: str, keys: list[str], buckets: int = BUCKETS, b
         merged = old.where(F.col(BUCKET).isin(touched)).join(fresh, same, "left_anti").unionByName(fresh)
         merged.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{path}/{write}")
         files |= {str(b): f"{write}/{BUCKET}={b}" for b in touched}
+    discard(fresh, asked_for)
     made = Version(at.number + 1, at.schema, at.keys, at.buckets, files, at.applied | ({batch[0]: batch[1]} if batch else {}))
     if not store.put_new(spark, f"{path}/versions/{made.number:010}.json", json.dumps(asdict(made))):
         raise Conflict(f"version {made.number} of {path} has been made by another writer")

@@ -60,10 +60,16 @@ def labelled_texts(rows: DataFrame, text: str, ids: str, most: int | None = None
 
 
 def numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """(position, ``name``): the lines of a small text file with their numbers; several files count on in order of their paths."""
-    files_ = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path")
-    rows = files_.select("file_path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", name))
-    return rows.select((F.row_number().over(Window.orderBy("file_path", "line")) - 1).cast("long").alias("position"), name)
+    """(position, ``name``): the lines of text files with their numbers; several files count on in order of their paths.
+
+    Lines are numbered within their files, and each file begins where the lines of those before it end; only the table of
+    files, a row for each, is put in order as a whole."""
+    files_ = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
+    files_ = files_.select("file_path", F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))
+    before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files_.select("file_path", F.coalesce(F.sum(F.size("lines")).over(before), F.lit(0)).cast("long").alias("start"))
+    rows = files_.select("file_path", F.posexplode("lines").alias("line", name)).join(starts, "file_path")
+    return rows.select((F.col("start") + F.col("line")).alias("position"), name)
 
 
 def paired(spark: SparkSession, texts: str, gold: str) -> DataFrame:
@@ -101,14 +107,14 @@ def domain_list(spark: SparkSession, path: str, more: list[str] | None = None) -
 
 def actor_table(spark: SparkSession, path: str) -> DataFrame:
     """A JSON object of lists to (name, others, position). Pickles are not read."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     pairs = text.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,array<string>>"))).alias("position", "e"))
     return pairs.select(F.col("e.key").alias("name"), F.col("e.value").alias("others"), "position")
 
 
 def newest_file(spark: SparkSession, path: str) -> DataFrame:
     """The whole text of the file changed last."""
-    rows = spark.read.option("wholetext", True).text(path).select("value", "_metadata.file_path", "_metadata.file_modification_time")
+    rows = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     return rows.orderBy(F.desc("file_modification_time"), F.desc("file_path")).limit(1)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.sinks import versioned
+from fathom.sinks import store, versioned
 
 
 def since(rows: DataFrame, column: str, mark) -> DataFrame:
@@ -42,15 +42,20 @@ def deduplicated(rows: DataFrame, *keys: str) -> DataFrame:
 def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     """All that is there now, run through the stream into Parquet files under ``folder``, with its checkpoint beside them.
 
-    In mode ``append`` a window comes out once the watermark has passed it; in ``complete`` each batch replaces the last,
-    so that what is read is the final state. Nothing is gathered on the driver."""
+    In mode ``append`` a window comes out once the watermark has passed it; in ``complete`` each batch is a folder of its own,
+    and the last complete one is read, so a batch that is cut off leaves the one before. Nothing is gathered on the driver."""
     spark, out = stream.sparkSession, f"{folder}/out"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
     if mode == "append":
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+        query = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/{n:010}")).start()
     query.awaitTermination()
+    if mode != "append":
+        done = [n for n in store.names(spark, out) if store.exists(spark, f"{out}/{n}/_SUCCESS")]
+        if not done:
+            return spark.createDataFrame([], stream.schema)
+        out = f"{out}/{done[-1]}"
     return spark.read.schema(stream.schema).parquet(out)
 
 

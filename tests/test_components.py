@@ -69,7 +69,7 @@ def test_saved_records_by_kind(spark, tmp_path):
     os.utime(tmp_path / "r1.json", (2_000_000_000, 2_000_000_000))
     rows = summary.saved(spark, answers=f"{tmp_path}/r*.json", certificate=f"{tmp_path}/none")
     assert rows.count() == 2 and summary.report(summary.capabilities(rows))["generation_grounding"]["n"] == 1
-    text = spark.read.option("wholetext", True).text(f"{tmp_path}/r*.json").select("value", "_metadata.file_path", "_metadata.file_modification_time")
+    text = spark.read.text(f"{tmp_path}/r*.json", wholetext=True).select("value", "_metadata.file_path", "_metadata.file_modification_time")
     assert files.newest_where(text, F.get_json_object("value", "$.n") == "2").first()["file_path"].endswith("r2.json")
     with pytest.raises(ValueError, match="lacks config"):
         files.saved_metrics(spark, f"{tmp_path}/r1.json")
