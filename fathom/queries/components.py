@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from fathom.functions import render
 from fathom.functions import text as T
 from fathom.operators import gold, graph, metrics, sections
-from fathom.operators.keyed import zipped
 from fathom.operators.substrings import contained, mentions
 from fathom.plans import bakeoff, certification, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
@@ -197,10 +196,13 @@ def labelled_texts(spark, d):
     return rows.select("conv_id", "turn", F.array_join("gold", ",").alias("gold"))
 
 
-@query("SELECT a.c_custkey - 1 AS position, a.c_name AS text, b.c_mktsegment AS gold FROM customer a JOIN customer b ON a.c_custkey = b.c_custkey")
+@query("SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS position, c_name AS text, c_mktsegment AS gold FROM customer")
 def paired_lines(spark, d):
-    rows = table(spark, d, "customer").withColumn("position", F.col("c_custkey") - 1)
-    return zipped(rows.select("position", F.col("c_name").alias("text")), rows.select("position", F.col("c_mktsegment").alias("gold")))
+    """Two columns as text files of their own, joined by the lines' numbers."""
+    rows, folder = table(spark, d, "customer"), new_folder(spark, "lines")
+    for name, column in (("text", "c_name"), ("gold", "c_mktsegment")):
+        rows.repartitionByRange("c_custkey").sortWithinPartitions("c_custkey").select(column).write.text(f"{folder}/{name}")
+    return files.paired(spark, f"{folder}/text/part-*", f"{folder}/gold/part-*")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n, coalesce(sum(o_orderkey % 5), 0)::BIGINT AS chunks FROM orders GROUP BY o_orderstatus")

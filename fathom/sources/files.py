@@ -65,7 +65,8 @@ def numbered(spark: SparkSession, path: str, name: str) -> DataFrame:
     Lines are numbered within their files, and each file begins where the lines of those before it end; only the table of
     files, a row for each, is put in order as a whole."""
     files_ = spark.read.text(path, wholetext=True).select("value", "_metadata.file_path")
-    files_ = files_.select("file_path", F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n").alias("lines"))
+    lines_ = F.when(F.col("value") == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n"))
+    files_ = files_.select("file_path", lines_.alias("lines"))
     before = Window.orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
     starts = files_.select("file_path", F.coalesce(F.sum(F.size("lines")).over(before), F.lit(0)).cast("long").alias("start"))
     rows = files_.select("file_path", F.posexplode("lines").alias("line", name)).join(starts, "file_path")
