@@ -387,4 +387,3 @@ def test_command_line(spark, tmp_path, capsys):
         r["hit_rate"] = 0.1
     (tmp_path / "e.json").write_text(json.dumps(saved))
     assert cli.main(["metrics", f"{tmp_path}/e.json", "--strict"]) == 1 and cli.main(["metrics", f"{tmp_path}/e.json"]) == 0
-    spark.sql("DROP TABLE cli_points")
