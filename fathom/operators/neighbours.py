@@ -228,9 +228,8 @@ def search(index: CellIndex, queries: DataFrame, k: int, probes: int = 8, exact:
     if keep is None:
         from fathom.sinks import materialized as keep
     spark, dims = index.spark, index.centres.shape[1]
-    kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, `{index.key}` {index.rows().schema[index.key].dataType.simpleString() if index.sizes.any() else 'long'}, score double"
     if not index.sizes.any():
-        return spark.createDataFrame([], kinds)
+        return spark.createDataFrame([], f"`{query}` {queries.schema[query].dataType.simpleString()}, `{index.key}` long, score double")
     qs = queries.select(query, F.col(vector).alias("v")).where(F.col("v").isNotNull() & (F.size("v") == dims))
     directed = F.exists("v", lambda x: x != 0)
     first = keep(_asked(qs.where(directed).withColumns({"reach": F.lit(0.0), "probed": F.lit(0)}), index, query, "v", probes), "probes")
@@ -243,5 +242,5 @@ def search(index: CellIndex, queries: DataFrame, k: int, probes: int = 8, exact:
         found = found.unionByName(_read(keep(_asked(rest, index, query, "v", None), "rest"), index, k, query))
     lost = qs.where(~directed)
     if not lost.isEmpty():
-        found = found.unionByName(R.dense_scores(lost, index.rows(), k, query, index.key, index.vector) if index.vector == "v" else R.dense_scores(lost.withColumnRenamed("v", index.vector), index.rows(), k, query, index.key, index.vector))
+        found = found.unionByName(R.dense_scores(lost.withColumnRenamed("v", index.vector), index.rows(), k, query, index.key, index.vector))
     return found

@@ -33,7 +33,9 @@ def technique_measures(counted: DataFrame, gate: float = M.F1_GATE, platform: st
 def actor_measures(verdicts: DataFrame, gate: float = M.PLAUSIBLE_GATE) -> DataFrame:
     """(n, correct, plausible, incorrect, correct_acc, plausible_acc, pass): one row; plausible counts P alone, its share C too."""
     s = M.verdict_shares(verdicts)
-    return s.select("n", F.col("C").alias("correct"), F.col("P").alias("plausible"), F.col("I").alias("incorrect"), F.col("correct").alias("correct_acc"), F.col("plausible").alias("plausible_acc"), ((F.col("n") > 0) & (F.col("plausible") >= gate)).alias("pass"))
+    counts = [F.col(c).alias(name) for c, name in (("C", "correct"), ("P", "plausible"), ("I", "incorrect"))]
+    shares = [F.col(c).alias(f"{c}_acc") for c in ("correct", "plausible")]
+    return s.select("n", *counts, *shares, ((F.col("n") > 0) & (F.col("plausible") >= gate)).alias("pass"))
 
 
 def certificate(techniques: DataFrame, actors: DataFrame, gates: tuple[float, float] = (M.F1_GATE, M.PLAUSIBLE_GATE)) -> dict:
