@@ -119,7 +119,7 @@ HOT = 1000
 def verified(pairs: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, k: int = 5) -> DataFrame:
     """The pairs (a, b) that link by their sets of k-word shingles. Each b's text is sent to a's; a document of many pairs is sent to each of the tasks that they are dealt to."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct()).distinct()
     if ids.count() <= FEW:  # texts that no pair asks for are dropped where they are read
         bucket = F.pmod(F.xxhash64("id"), F.lit(8 * FEW)).alias("bucket")
         own = own.withColumn("bucket", bucket).join(F.broadcast(ids.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
