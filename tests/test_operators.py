@@ -371,16 +371,16 @@ def test_command_line(spark, tmp_path, capsys):
 
     with open(f"{tmp_path}/w.json", "w") as f:
         f.writelines(json.dumps({"domain": f"d{i}.example", "registrar": r}) + "\n" for i, r in enumerate(("Alpha", "Beta", "Gamma")))
-    spark.sql("DROP TABLE IF EXISTS cli_points")
+    points = f"{tmp_path}/points"
     assert cli.main(["seed", "whois", f"{tmp_path}/w.json", f"{tmp_path}/c", "--limit", "3"]) == 0
     rows = spark.read.schema(files.CHUNK).json(f"{tmp_path}/c")
     assert rows.count() == 3
-    assert cli.main(["ingest", f"whois={tmp_path}/c", "--table", "cli_points"]) == 0
+    assert cli.main(["ingest", f"whois={tmp_path}/c", "--table", points, "--model", f"{tmp_path}/m"]) == 0
     capsys.readouterr()
-    assert cli.main(["query", "registered with Beta", "-k", "1", "--table", "cli_points", "--model", f"{tmp_path}/m"]) == 0
+    assert cli.main(["query", "registered with Beta", "-k", "1", "--table", points, "--model", f"{tmp_path}/m"]) == 0
     assert "d1.example" in capsys.readouterr().out
     (tmp_path / "q.jsonl").write_text(json.dumps({"query_id": "1", "query": "Beta", "category": "fuzzy", "gold_sources": ["whois"]}))
-    assert cli.main(["eval", "retrieval", f"{tmp_path}/q.jsonl", "-c", "hybrid", "-k", "10", "-o", f"{tmp_path}/e.json", "--table", "cli_points", "--model", f"{tmp_path}/m"]) == 0
+    assert cli.main(["eval", "retrieval", f"{tmp_path}/q.jsonl", "-c", "hybrid", "-k", "10", "-o", f"{tmp_path}/e.json", "--table", points, "--model", f"{tmp_path}/m"]) == 0
     assert cli.main(["metrics", f"{tmp_path}/e.json", "--strict"]) == 0
     saved = json.loads((tmp_path / "e.json").read_text())
     for r in saved:
