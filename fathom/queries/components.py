@@ -185,8 +185,7 @@ SELECT page_id, link FROM links WHERE ends_with(lower(link), '.pdf') AND contain
 def report_links(spark, d):
     """All anchors of the pages, and some put behind them: which lead to reports that lie where reports are kept."""
     pages = table(spark, d, "pages").withColumn("html", F.expr(PLANTED))
-    found = files.report_links(files.links(pages), "files")
-    return found.join(pages.select("url", "page_id"), "url").select("page_id", "link")
+    return files.report_links(files.links(pages, keep=("page_id",)), "files").select("page_id", "link")
 
 
 @query(r"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'T1059,T1003.001' ELSE 'T1110' END AS gold FROM conversations WHERE trim(text) <> '' AND turn % 3 <> 0""")

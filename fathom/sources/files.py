@@ -151,12 +151,14 @@ ANCHOR_HEAD = r"(?i)^<a\s(?:[^>]*?\s)?href\s*=\s*"
 ANCHOR = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
 
 
-def links(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """(url, position, link): the targets of all anchors, without character references, made absolute."""
+def links(pages: DataFrame, html: str = "html", url: str = "url", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(url, position, link): the targets of all anchors, without character references, made absolute.
+
+    ``keep`` names columns of the pages to stand beside them: several pages may have one URL."""
     found = F.regexp_extract_all(html, F.lit(ANCHOR), 0)
-    rows = pages.select(url, F.posexplode(found).alias("position", "tag"))
+    rows = pages.select(url, *keep, F.posexplode(found).alias("position", "tag"))
     href = F.regexp_replace(F.regexp_replace("tag", ANCHOR_HEAD, ""), "^[\"']|[\"']$", "")
-    return rows.select(url, "position", unescaped(href).alias("href")).select(url, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
+    return rows.select(url, *keep, "position", unescaped(href).alias("href")).select(url, *keep, "position", resolve_url(F.col(url), F.col("href")).alias("link"))
 
 
 def report_links(found: DataFrame, kind: str) -> DataFrame:
