@@ -16,8 +16,10 @@ def since(rows: DataFrame, column: str, mark) -> DataFrame:
 
 
 def event_stream(spark: SparkSession, folder: str, schema, glob: str = "*", time: str = "ts", late: str | None = "1 day") -> DataFrame:
-    """A stream of Parquet files with event time as TIMESTAMP (in UTC) and a watermark."""
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+    """A stream of Parquet files with event time as TIMESTAMP (in UTC) and a watermark.
+
+    What ``glob`` matches in the folder may be files or folders of files; as a pattern, a path may be either."""
+    rows = spark.readStream.schema(schema).parquet(folder if glob == "*" else f"{folder}/{{{glob}}}")
     rows = rows.withColumn(time, F.col(time).cast("timestamp"))
     return rows.withWatermark(time, late) if late else rows
 

@@ -27,3 +27,10 @@ def test_report_links_of_pages_with_one_url(spark, tmp_path):
     rows = spark.read.parquet(f"{SF}/pages.parquet")
     rows.unionByName(rows.withColumn("page_id", F.col("page_id") + 10_000)).write.parquet(f"{tmp_path}/pages.parquet")
     same(spark, tmp_path, "report_links")
+
+
+def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
+    for t in ("clicks", "events"):
+        spark.read.parquet(f"{SF}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+    same(spark, tmp_path, "stream_expiry")
+    same(spark, tmp_path, "stream_dedupe")
