@@ -1,5 +1,7 @@
 """Nearest neighbours by cosine: an inverted file of trained cells, searched by probes or, with its residual bounds, exactly.
 
+How many probes reach a recall depends on the vectors; ``probes_for`` finds it on a sample of the queries.
+
 Vectors are scaled to unit length, where the squared distance is 2 - 2 * cosine. ``build`` finds cells by Lloyd rounds over
 all vectors (or a sample of a stated size), and writes every vector, with its cell and its residual, the distance to
 the cell's centre, partitioned by cell. ``search`` reads the cells nearest to each query and no others. In exact mode
@@ -12,8 +14,9 @@ length at most. Queries and vectors meet as a grid of blocks and parts, so neith
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -178,21 +181,44 @@ def met(queries: DataFrame, vectors: DataFrame, k: int, query: str, key: str) ->
     return order.mapInArrow(work, f"`{query}` {types['q']}, `{key}` {types['c']}, score double")
 
 
+def _nearest(index: CellIndex, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distances of unit vectors to the centres, infinite where a cell is empty, and each cell's place in their order."""
+    far = np.sqrt(np.maximum(0, 1 + (index.centres**2).sum(axis=1) - 2 * (m @ index.centres.T)))
+    far[:, index.sizes[:-1] == 0] = np.inf
+    return far, far.argsort(axis=1, kind="stable").argsort(axis=1)
+
+
+def probes_for(index: CellIndex, queries: DataFrame, k: int, share: float = 0.95, sample: int = 64, query: str = "query_id", vector: str = "vector") -> int:
+    """The least number of probes that finds ``share`` of the k best of a sample of the queries, those whose key has the least hash.
+
+    The sample alone is searched in full; each neighbour's cell then tells how many probes it takes to find it."""
+    dims = index.centres.shape[1]
+    qs = queries.select(query, F.col(vector).alias(index.vector)).where((F.size(vector) == dims) & F.exists(vector, lambda x: x != 0))
+    asked = qs.orderBy(F.xxhash64(query), query).limit(sample).collect()
+    if not asked or not index.sizes.any():
+        return 1
+    some = index.spark.createDataFrame(asked, qs.schema)
+    best = R.ranked(R.dense_scores(some, index.rows(), k, query, index.key, index.vector), k, query, index.key)
+    cells = index.rows().select(index.key, "cell").join(F.broadcast(best.select(query, index.key)), index.key).select(query, "cell").collect()
+    at = {r[query]: i for i, r in enumerate(asked)}
+    _, place = _nearest(index, unit(np.array([r[index.vector] for r in asked], np.float64)))
+    places = sorted(0 if r["cell"] == ZERO else int(place[at[r[query]], r["cell"]]) for r in cells)
+    return places[math.ceil(share * len(places)) - 1] + 1
+
+
 def _asked(queries: DataFrame, index: CellIndex, query: str, vector: str, probes: int | None) -> DataFrame:
     """(query, v, reach, cell, at, within) of the cells that each query reads: the ``probes`` nearest, or, where that is
     null, the others that its reach, the distance of its k-th neighbour, does not rule out."""
-    centres, radii = index.centres, index.radii
-    dims = centres.shape[1]
+    index, radii = replace(index, spark=None), index.radii
+    dims = index.centres.shape[1]
     kinds = f"`{query}` {queries.schema[query].dataType.simpleString()}, v array<double>, cell int, at double, within double"
-    taken, zeros = index.sizes[:-1] > 0, bool(index.sizes[ZERO])
+    zeros = bool(index.sizes[ZERO])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             m = unit(matrix(batch.column(1), dims))
             reach, first = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            far = np.sqrt(np.maximum(0, 1 + (centres**2).sum(axis=1) - 2 * (m @ centres.T)))
-            far[:, ~taken] = np.inf
-            place = far.argsort(axis=1, kind="stable").argsort(axis=1)
+            far, place = _nearest(index, m)
             if probes is not None:
                 q, c = np.nonzero((place < probes) & np.isfinite(far))
                 within = np.full(len(q), np.inf)

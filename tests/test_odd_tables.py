@@ -39,3 +39,9 @@ def test_streams_read_a_table_that_is_a_folder(spark, tmp_path):
 def test_years_of_five_digits_have_no_sign(spark):
     days = spark.createDataFrame([(d * 86400,) for d in (1, 2_932_896, 2_932_897, 6_000_000)], "s long")
     assert [r[0] for r in days.select(iso_from_epoch(F.col("s"))).collect()] == [f"{y}T00:00:00+00:00" for y in ("1970-01-02", "9999-12-31", "10000-01-01", "18397-06-11")]
+
+
+def test_probes_reach_the_recall_without_clusters(spark, tmp_path):
+    m = np.random.default_rng(5).normal(size=(1500, 48))
+    spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    same(spark, tmp_path, "cells_recall")
