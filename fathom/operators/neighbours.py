@@ -165,17 +165,20 @@ def met(queries: DataFrame, vectors: DataFrame, k: int, query: str, key: str) ->
                     continue
                 if held is None:
                     held = np.concatenate(blocks), np.array(at), np.array(within)
-                near = np.abs(held[1][:, None] - x[None, first:high]) <= held[2][:, None]
-                rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-                if not len(rows):
-                    continue
-                part = batch.column(6).slice(first, high - first).take(pa.array(columns))
-                found = np.where(near[np.ix_(rows, columns)], held[0][rows] @ unit(matrix(part, held[0].shape[1])).T, -np.inf)
-                most = min(k, len(columns))
-                least = np.partition(found, len(columns) - most, axis=1)[:, len(columns) - most]
-                i, j = np.nonzero((found >= least[:, None]) & np.isfinite(found))  # ties with the last stay, to be ranked by key
-                chunk = batch.column(5).slice(first, high - first).take(pa.array(columns[j]))
-                yield pa.RecordBatch.from_arrays([pa.array([ids[n] for n in rows[i].tolist()], kinds["q"]), chunk, pa.array(found[i, j])], [query, key, "score"])
+                step = max(1, R.TOGETHER // int(high - first))
+                for start in range(0, len(ids), step):
+                    of = slice(start, start + step)
+                    near = np.abs(held[1][of, None] - x[None, first:high]) <= held[2][of, None]
+                    rows, columns = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+                    if not len(rows):
+                        continue
+                    part = batch.column(6).slice(first, high - first).take(pa.array(columns))
+                    found = np.where(near[np.ix_(rows, columns)], held[0][of][rows] @ unit(matrix(part, held[0].shape[1])).T, -np.inf)
+                    most = min(k, len(columns))
+                    least = np.partition(found, len(columns) - most, axis=1)[:, len(columns) - most]
+                    i, j = np.nonzero((found >= least[:, None]) & np.isfinite(found))  # ties with the last stay, to be ranked by key
+                    chunk = batch.column(5).slice(first, high - first).take(pa.array(columns[j]))
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[start + n] for n in rows[i].tolist()], kinds["q"]), chunk, pa.array(found[i, j])], [query, key, "score"])
 
     order = left.unionByName(right).repartition("cell", "block", "part").sortWithinPartitions("cell", "block", "part", "met")
     return order.mapInArrow(work, f"`{query}` {types['q']}, `{key}` {types['c']}, score double")

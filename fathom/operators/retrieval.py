@@ -103,6 +103,8 @@ def dot(a: Column, b: Column) -> Column:
 
 #: Query vectors up to so many are sent to every task and multiplied there.
 QUERY_BLOCK = 4096
+#: Scores that a task holds at once, whatever the number of queries.
+TOGETHER = 1 << 20
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "query_id", key: str = "chunk_id", vector: str = "vector") -> DataFrame:
@@ -134,12 +136,15 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, k: int, query: str = "q
                 if not len(fits):
                     continue
                 kept_ = lists.take(pa.array(fits))
-                found = unit(kept_.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1)) @ matrix.T
+                own = unit(kept_.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(fits), -1))
                 names = batch.column(0).take(pa.array(fits))
                 most = min(k, len(fits))
-                least = np.partition(found, len(fits) - most, axis=0)[len(fits) - most]
-                q, rows_ = np.nonzero((found >= least).T)  # ties with the last stay, to be ranked by key
-                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q.tolist()], kind), names.take(pa.array(rows_)), pa.array(found[rows_, q])], [query, key, "score"])
+                step = max(1, TOGETHER // len(fits))
+                for low in range(0, len(ids), step):
+                    found = own @ matrix[low : low + step].T
+                    least = np.partition(found, len(fits) - most, axis=0)[len(fits) - most]
+                    q, rows_ = np.nonzero((found >= least).T)  # ties with the last stay, to be ranked by key
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[low + i] for i in q.tolist()], kind), names.take(pa.array(rows_)), pa.array(found[rows_, q])], [query, key, "score"])
 
         return vectors.select(key, vector).mapInArrow(work, kinds)
 

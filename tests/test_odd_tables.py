@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathom import catalog
 from fathom.functions.text import iso_from_epoch
+from fathom.operators import retrieval as R
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,3 +46,21 @@ def test_probes_reach_the_recall_without_clusters(spark, tmp_path):
     m = np.random.default_rng(5).normal(size=(1500, 48))
     spark.createDataFrame([(i, v.tolist(), i % 10) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
     same(spark, tmp_path, "cells_recall")
+
+
+def test_many_queries_are_scored_in_tiles(spark, monkeypatch):
+    m = np.random.default_rng(6).normal(size=(300, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "chunk_id long, vector array<float>").coalesce(2)
+    asked = rows.where("chunk_id % 3 = 0").withColumnRenamed("chunk_id", "query_id")
+    unit = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(float)
+    want = [(q, int(c)) for q in range(0, 300, 3) for c in sorted(np.argsort(-(unit @ unit[q]), kind="stable")[:5])]
+    monkeypatch.setattr(R, "TOGETHER", 400)
+    for most in (4096, 10):  # queries sent to the tasks, and the grid
+        monkeypatch.setattr(R, "QUERY_BLOCK", most)
+        got = R.ranked(R.dense_scores(asked, rows, 5), 5)
+        assert sorted((r["query_id"], r["chunk_id"]) for r in got.collect()) == want
+
+
+def test_pulses_are_dealt_to_all_cores(spark):
+    plan = catalog.queries()["pulse_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan
