@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fathom.functions import render
 from fathom.functions import text as T
 from fathom.operators import gold, graph, metrics, sections
+from fathom.operators.layout import spread
 from fathom.operators.substrings import contained, mentions
 from fathom.plans import bakeoff, certification, evaluation, ingest, summary
 from fathom.plans import retrieval as plans
@@ -125,7 +126,7 @@ def gold_rebuild(spark, d):
   || CASE WHEN p_partkey % 2 = 0 THEN {NL} || {NL} || 'Targeted countries: X, Y.' ELSE '' END || {NL} || {NL} || 'Key indicators: 10.0.0.' || p_size || '.' AS content FROM part""")
 def pulse_documents(spark, d):
     key = F.col("p_partkey")
-    rows = table(spark, d, "part").select(
+    rows = spread(table(spark, d, "part")).select(
         _key("p", "p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat(F.lit(" "), F.col("p_type"), F.lit("  ")).alias("description"), F.when(key % 4 == 0, F.col("p_brand")).otherwise("").alias("adversary"),
         F.array(F.concat(F.lit('{"id": "m", "display_name": "Mal'), F.col("p_size").cast("string"), F.lit('"}')), F.lit("plain"), F.lit("")).alias("malware_families"),
         F.when(key % 2 == 0, F.array(F.lit("X"), F.lit("Y"))).alias("targeted_countries"), F.array(F.struct(_key("10.0.0.", "p_size").alias("indicator"), F.lit("IPv4").alias("type")), F.struct(F.lit("").alias("indicator"), F.lit("x").alias("type"))).alias("indicators"),
