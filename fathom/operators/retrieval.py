@@ -89,11 +89,12 @@ def ranked(scores: DataFrame, k: int | None = None, query: str = "query_id", key
     return (out if k is None else out.where(F.col("rank") <= k)).withColumn("rank", F.col("rank") - 1)
 
 
-def sparse_scores(queries: DataFrame, weights: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:
+def sparse_scores(queries: DataFrame, weights: DataFrame, query: str = "query_id", key: str = "chunk_id", parts: int | None = None) -> DataFrame:
     """Products of query and document weights, summed; a document without a common term has no row.
 
-    Postings are dealt by document, so that a pair's parts meet where they are made and only the postings are shuffled."""
-    rows = weights.repartition(key).join(queries, "term")
+    Postings are dealt by document, so that a pair's parts meet where they are made and only the postings are shuffled; a
+    number of ``parts`` is kept, while Spark would join small ones by the postings' bytes, which are few beside the products'."""
+    rows = (weights.repartition(key) if parts is None else weights.repartition(parts, key)).join(queries, "term")
     return rows.groupBy(query, key).agg(F.sum(F.col("idf") * F.col("weight")).alias("score"))
 
 

@@ -36,6 +36,12 @@ class Index:
     stats: DataFrame
     weights: DataFrame
     stored: Blocks | None = None
+    #: Tasks that the postings are dealt to, told by their number; null leaves it to Spark, which goes by their bytes.
+    parts: int | None = None
+
+
+#: Postings that one task multiplies: each meets all queries of its term, so the products are many times their bytes.
+POSTINGS = 1 << 17
 
 
 def build_index(chunks: DataFrame, asked: DataFrame | None = None) -> Index:
@@ -45,7 +51,8 @@ def build_index(chunks: DataFrame, asked: DataFrame | None = None) -> Index:
     only = None if asked is None else materialized(R.asked_terms(asked).select("term").distinct(), "asked")
     counts = materialized(R.term_counts(chunks, only=only), "counts")
     terms, stats = (materialized(df, name) for df, name in zip(R.bm25_tables(counts), ("terms", "stats"), strict=True))
-    return Index(chunks, terms, stats, R.postings(counts, terms, stats))
+    parts = max(chunks.sparkSession.sparkContext.defaultParallelism, -(-counts.count() // POSTINGS))
+    return Index(chunks, terms, stats, R.postings(counts, terms, stats), parts=parts)
 
 
 def sparse_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
@@ -53,7 +60,7 @@ def sparse_search(index: Index, queries: DataFrame, k: int) -> DataFrame:
     if index.stored is not None:
         return blocks.search(index.stored, queries, k).results
     terms = materialized(R.query_terms(queries, index.terms), "query-terms")
-    return R.ranked(R.sparse_scores(terms, index.weights), k)
+    return R.ranked(R.sparse_scores(terms, index.weights, parts=index.parts), k)
 
 
 def dense_search(index: Index, queries: DataFrame, k: int, embed: Embedder | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom import catalog
 from fathom.functions.text import iso_from_epoch
 from fathom.operators import retrieval as R
+from fathom.plans import retrieval as plans
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +65,14 @@ def test_many_queries_are_scored_in_tiles(spark, monkeypatch):
 def test_pulses_are_dealt_to_all_cores(spark):
     plan = catalog.queries()["pulse_documents"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Repartition" in plan
+
+
+def test_postings_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(plans, "POSTINGS", 10)
+    docs = spark.createDataFrame([(i, "alpha beta " * (1 + i % 3) + f"only{i}") for i in range(100)], "chunk_id long, content string")
+    asked = spark.createDataFrame([(1, "alpha only7"), (2, "only9")], "query_id long, text string")
+    index = plans.build_index(docs, asked)
+    found = plans.sparse_search(index, asked, 1)
+    assert index.parts == 21  # 102 counts of terms that are asked for and 100 of whole documents, by tens
+    assert f", {index.parts})" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["query_id"], r["chunk_id"]) for r in found.collect()) == [(1, 7), (2, 9)]
