@@ -38,19 +38,29 @@ def match_names(queries: DataFrame, names: DataFrame, query: str = "query", name
     return q.select("query").join(best, "query", "left").select("query", "id", F.coalesce("mode", F.lit("no_match")).alias("mode"))
 
 
+#: Paths from actors to techniques that one task groups.
+TOGETHER = 1 << 20
+
+
 def gold_techniques(actors: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(actor, tactic, technique, direct, via_software): active techniques used by an actor or by software that it uses.
 
     actors: actor (a node id), tactic (or null). nodes: id, type, external_id, phases, revoked, deprecated. edges: src, rel,
-    dst; edges to missing nodes fall out in the joins."""
+    dst; edges to missing nodes fall out in the joins. What a node uses is one list in the joins, and lists are opened where
+    their actor's rows have met, by as many tasks as their length asks for: Spark goes by the bytes of lists that are not opened."""
     node = nodes.select(F.col("id").alias("dst"), "type", "external_id", "phases", "revoked", "deprecated")
     uses = edges.where("rel = 'uses'").select("src", "dst").distinct().join(node, "dst")
     to_technique = uses.where((F.col("type") == "attack-pattern") & is_active(F.col("revoked"), F.col("deprecated")))
-    to_technique = to_technique.where(F.col("external_id").rlike(f"(?i)^{TECHNIQUE}$")).select("src", "external_id", "phases")
+    to_technique = to_technique.where(F.col("external_id").rlike(f"(?i)^{TECHNIQUE}$")).select("src", technique(F.col("external_id")).alias("technique"), "phases").distinct()
+    found = to_technique.groupBy("src").agg(F.collect_list(F.struct("technique", "phases")).alias("found"))
     to_software = uses.where(F.col("type").isin("malware", "tool")).select(F.col("src").alias("actor"), F.col("dst").alias("src"))
-    direct = actors.join(to_technique.withColumnRenamed("src", "actor"), "actor").withColumn("hop", F.lit(1))
-    via = actors.join(to_software, "actor").join(to_technique, "src").drop("src").withColumn("hop", F.lit(2))
-    rows = direct.unionByName(via).where(has_tactic(F.col("phases"), F.col("tactic"))).withColumn("technique", technique(F.col("external_id")))
+    direct = actors.join(found.withColumnRenamed("src", "actor"), "actor").withColumn("hop", F.lit(1))
+    via = actors.join(to_software, "actor").join(found, "src").drop("src").withColumn("hop", F.lit(2))
+    fits = F.transform(F.filter("found", lambda f: has_tactic(f["phases"], F.col("tactic"))), lambda f: f["technique"])
+    lists = _table(direct.unionByName(via).select("actor", "tactic", "hop", fits.alias("techniques")).where(F.size("techniques") > 0))
+    made = lists.agg(F.sum(F.size("techniques"))).first()[0] or 0
+    parts = max(lists.sparkSession.sparkContext.defaultParallelism, -(-made // TOGETHER))
+    rows = lists.repartition(parts, "actor").select("actor", "tactic", "hop", F.explode("techniques").alias("technique"))
     return rows.groupBy("actor", "tactic", "technique").agg(F.bool_or(F.col("hop") == 1).alias("direct"), F.bool_or(F.col("hop") == 2).alias("via_software"))
 
 
