@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -104,12 +104,14 @@ def tokenize(text: Column, prose: Column | None = None) -> Column:
     return F.transform(kept, F.lower)
 
 
-def tokenized(df: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the tokens of a text column, its words in NFKC.
+def tokenized(df: DataFrame, text: str, name: str, deal: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``df`` with the tokens of a text column, its words in NFKC. ``deal`` may deal the rows anew after the step in
+    Python, beyond which Spark does not know how rows lie.
 
     Texts that the normal form may change, such as those with ligatures or wide forms, pass through Python where they are
-    read; of all others Python sees a null. No text is moved."""
-    odd = is_odd(F.col(text))
+    read; of all others Python sees a null. No text is moved but by ``deal``."""
+    odd = (F.octet_length(text) != F.length(text)) & is_odd(F.col(text))  # ASCII is its own normal form
     rows = df.withColumn("_prose", normal_form(F.when(odd, F.regexp_replace(F.col(text), FAST, " "))))
+    rows = rows if deal is None else deal(rows)
     tokens = F.when(F.col("_prose").isNull(), tokenize(F.col(text))).otherwise(tokenize(F.col(text), F.col("_prose")))
     return rows.withColumn(name, tokens).drop("_prose")

@@ -12,3 +12,17 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt to all cores if it is small, which Spark's own estimate tells without a run. Rows and results are the same."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+
+
+#: Bytes, by Spark's estimate, of the rows that are dealt to one task by a key.
+DEALT = 32 << 20
+
+
+def spread_by(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by a key to all cores and to more tasks as it grows, so that what is made of a row can be grouped by the key
+    and other columns where it is made. A number of tasks is named, as Spark would join small ones by the bytes of the rows as they
+    are read; only where it has no estimate, which it tells by a size beyond any table's, the number is the session's own."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 50:
+        return df.repartition(key)
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT)), key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from fathom.functions.tokens import tokenize, tokenized
-from fathom.operators.layout import spread
+from fathom.operators.layout import spread, spread_by
 
 K1, B = 1.5, 0.75
 RRF_K = 60
@@ -25,8 +25,9 @@ WHOLE = ""
 def term_counts(docs: DataFrame, key: str = "chunk_id", text: str = "content", only: DataFrame | None = None) -> DataFrame:
     """(key, dl, term, tf): how often each term occurs, and how many tokens the document has; one row more for each
     document, its term WHOLE, so that one pass gives lengths too. ``only`` (term) keeps the rows of some terms, as
-    queries that name theirs need no others."""
-    rows = tokenized(spread(docs.select(key, text)), text, "t")
+    queries that name theirs need no others. Texts are dealt by their key, so that the terms, which are more bytes, are
+    counted where they are made."""
+    rows = tokenized(spread(docs.select(key, text)), text, "t", lambda df: spread_by(df, key))
     rows = rows.select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(WHOLE))).alias("term"))
     if only is not None:
         rows = rows.join(only.select("term").distinct().unionByName(only.sparkSession.createDataFrame([(WHOLE,)], "term string")), "term", "left_semi")
@@ -59,10 +60,28 @@ def bm25_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return bm25_terms(counts.where(F.col("term") != WHOLE).groupBy("term").agg(F.count("*").alias("df")), stats), stats
 
 
+#: Terms that are sent to all tasks, at most.
+SENT = 1 << 18
+
+
+def weighed(counts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of ``counts`` with their terms' idf; terms that are not known have none. Both are written tables.
+
+    Most rows are those of frequent terms, which are few: a term that has one in SENT of all rows or more goes to all tasks. Only the
+    rows of the rest, none of them frequent, are shuffled."""
+    rows, known = counts.where(F.col("term") != WHOLE), terms.select("term", "idf")
+    n, total = terms.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    if n <= SENT:
+        return rows.join(F.broadcast(known), "term")
+    frequent = F.broadcast(terms.where(F.col("df") >= max(2, -(-total // SENT))).select("term", "idf"))
+    rest = rows.join(frequent, "term", "left_anti").join(known.join(frequent, "term", "left_anti"), "term")
+    return rows.join(frequent, "term").unionByName(rest)
+
+
 def postings(counts: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(term, key, weight): the document side of the sparse product."""
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))
-    rows = counts.where(F.col("term") != WHOLE).join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))
+    rows = weighed(counts, terms).crossJoin(F.broadcast(stats.select("avgdl")))
     return rows.select("term", key, (F.col("idf") * F.col("tf") * (K1 + 1) / norm).alias("weight"))
 
 
