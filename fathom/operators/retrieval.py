@@ -30,7 +30,8 @@ def term_counts(docs: DataFrame, key: str = "chunk_id", text: str = "content", o
     rows = tokenized(spread(docs.select(key, text)), text, "t", lambda df: spread_by(df, key))
     rows = rows.select(key, F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(WHOLE))).alias("term"))
     if only is not None:
-        rows = rows.join(only.select("term").distinct().unionByName(only.sparkSession.createDataFrame([(WHOLE,)], "term string")), "term", "left_semi")
+        whole = only.sparkSession.range(1).select(F.lit(WHOLE).alias("term"))  # of a known size, so that Spark sends a small set to all tasks
+        rows = rows.join(only.select("term").distinct().unionByName(whole), "term", "left_semi")
     return rows.groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 

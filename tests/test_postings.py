@@ -21,6 +21,14 @@ def test_terms_are_counted_where_they_are_made(spark):
     assert "hashpartitioning(chunk_id" in plan and "dl#" not in "".join(x for x in plan.splitlines() if "Exchange" in x)
 
 
+def test_terms_of_queries_are_picked_where_they_are_made(spark, tmp_path):
+    spark.createDataFrame([("common",), ("own5",)], "term string").write.parquet(f"{tmp_path}/only")
+    found = R.term_counts(docs(spark), only=spark.read.parquet(f"{tmp_path}/only"))
+    assert sorted((r["term"], r["n"]) for r in found.groupBy("term").agg(F.count("*").alias("n")).collect()) == [("", 300), ("common", 300), ("own5", 1)]
+    moved = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("hashpartitioning(chunk_id" in x for x in moved) == 1 and not any("dl#" in x for x in moved)
+
+
 def test_rare_terms_are_weighed_as_frequent_ones(spark, monkeypatch):
     rows = lambda index: sorted((r["term"], r["chunk_id"], round(r["weight"], 9)) for r in index.weights.collect())
     all_sent = rows(build_index(docs(spark)))
