@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.text import TECHNIQUE, technique
-from fathom.operators.substrings import contained
+from fathom.operators.substrings import contained, shuffled
 
 
 def is_active(revoked: Column, deprecated: Column) -> Column:
@@ -22,20 +22,21 @@ def match_names(queries: DataFrame, names: DataFrame, query: str = "query", name
     """(query, id, mode): an exact name, else an exact alias, else the only one with an alias that contains the query.
 
     names: id, ``name``, aliases, position (which of several exact matches comes first). All comparisons ignore
-    case and outer blanks. Modes: exact_name, exact_alias, alias_contains, alias_ambiguous, no_match."""
+    case and outer blanks. Modes: exact_name, exact_alias, alias_contains, alias_ambiguous, no_match. Neither side of a join
+    is bounded, so none is sent to all tasks."""
     q = queries.select(F.col(query).alias("query"), F.lower(F.trim(F.coalesce(F.col(query), F.lit("")))).alias("key")).distinct()
     n = names.select("id", "position", F.lower(F.trim(F.col(name))).alias("name"), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a))).alias("aliases"))
     alias = n.select("id", "position", F.explode("aliases").alias("alias"))
     first = lambda df, mode: df.groupBy("query").agg(F.min_by("id", "position").alias("id"), F.lit(1).alias("hits")).withColumn("mode", F.lit(mode))
-    by_name = first(q.join(n, q["key"] == n["name"]), "exact_name").withColumn("priority", F.lit(0))
-    by_alias = first(q.join(alias, q["key"] == alias["alias"]), "exact_alias").withColumn("priority", F.lit(1))
-    open_ = q.where("key <> ''").join(by_name.select("query"), "query", "left_anti").join(by_alias.select("query"), "query", "left_anti")
-    pairs = open_.join(contained(open_, alias, "key", "alias"), "key").join(alias, "alias")
+    by_name = first(q.join(shuffled(n), q["key"] == n["name"]), "exact_name").withColumn("priority", F.lit(0))
+    by_alias = first(q.join(shuffled(alias), q["key"] == alias["alias"]), "exact_alias").withColumn("priority", F.lit(1))
+    open_ = q.where("key <> ''").join(shuffled(by_name.select("query")), "query", "left_anti").join(shuffled(by_alias.select("query")), "query", "left_anti")
+    pairs = open_.join(shuffled(contained(open_, alias, "key", "alias")), "key").join(shuffled(alias), "alias")
     inside = pairs.groupBy("query").agg(F.min_by("id", "position").alias("id"), F.count_distinct("id").alias("hits"))
     by_part = inside.select("query", F.when(F.col("hits") == 1, F.col("id")).alias("id"), "hits", F.when(F.col("hits") == 1, "alias_contains").otherwise("alias_ambiguous").alias("mode"), F.lit(2).alias("priority"))
     found = by_name.unionByName(by_alias).unionByName(by_part)
     best = found.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("priority"))).where("n = 1").select("query", "id", "mode")
-    return q.select("query").join(best, "query", "left").select("query", "id", F.coalesce("mode", F.lit("no_match")).alias("mode"))
+    return q.select("query").join(shuffled(best), "query", "left").select("query", "id", F.coalesce("mode", F.lit("no_match")).alias("mode"))
 
 
 #: Paths from actors to techniques that one task groups.

@@ -17,6 +17,12 @@ def grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(n))))
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is not to be sent to all tasks: Spark goes by the compressed bytes of a shuffle, while the
+    table that the driver makes of short rows to send them is up to fifty times as large."""
+    return df.hint("merge")
+
+
 def contained(needles: DataFrame, hay: DataFrame, needle: str = "needle", text: str = "text") -> DataFrame:
     """(needle, text): the distinct texts of ``hay`` that contain each needle as it stands. Null and empty needles are in none.
 
@@ -31,7 +37,7 @@ def contained(needles: DataFrame, hay: DataFrame, needle: str = "needle", text:
     counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = asked.join(counts, "gram", "left").groupBy(needle).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     rarest = rarest.where("r.n > 0").select(needle, F.col("r.gram").alias("gram"))
-    return rarest.join(postings, "gram").where(F.contains(F.col(text), F.col(needle))).select(needle, text)
+    return rarest.join(shuffled(postings), "gram").where(F.contains(F.col(text), F.col(needle))).select(needle, text)
 
 
 #: Bytes of names up to which one automaton goes to every task.
@@ -47,8 +53,8 @@ def mentions(docs: DataFrame, names: DataFrame, key: str = "chunk_id", text: str
     rows = docs.select(key, F.lower(text).alias("text"))
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("name") + 16), F.lit(0))).first()[0]
     if size > most:
-        found = contained(wanted, rows, "name", "text").join(wanted, "name").select("text", "id").distinct()
-        return rows.join(found, "text").select(key, "id")
+        found = contained(wanted, rows, "name", "text").join(shuffled(wanted), "name").select("text", "id").distinct()
+        return rows.join(shuffled(found), "text").select(key, "id")
     import ahocorasick
 
     automaton, ids, kind = ahocorasick.Automaton(), {}, names.schema[id_].dataType.simpleString()

@@ -34,3 +34,13 @@ def test_mentions_equal_containment(spark, most):
     want = {(k, i) for k, t in docs for i, n in names if t and n and n.strip() and n.strip().lower() in t.lower()}
     assert sorted(map(tuple, df.collect())) == sorted(want)
     assert mentions(spark.createDataFrame(docs, "chunk_id int, content string"), spark.createDataFrame([], "id int, name string"), most=most).collect() == []
+
+
+def test_no_join_of_names_sends_a_side_to_all_tasks(spark):
+    """Only grams, which an alphabet bounds, may go to all tasks."""
+    names = spark.createDataFrame([(i, f"name {i}", [f"mail{i}@x.org"], i) for i in range(300)], "id int, name string, aliases array<string>, position int")
+    df = graph.match_names(spark.createDataFrame([(q,) for i in range(0, 300, 7) for q in (f"NAME {i}", f"mail{i}@X.org", f"ail{i}@", f"z{i}")] + [("mail2",)], "query string"), names)
+    found = {r["query"]: (r["id"], r["mode"]) for r in df.collect()}
+    assert [found[q] for q in ("NAME 7", "mail7@X.org", "ail294@", "mail2", "z7")] == [(7, "exact_name"), (7, "exact_alias"), (294, "alias_contains"), (None, "alias_ambiguous"), (None, "no_match")]
+    joins = [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    assert all("[gram#" in line for line in joins), joins
