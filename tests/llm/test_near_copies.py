@@ -44,3 +44,12 @@ def test_pairs_kept_back_are_named_once_others_did_not_link(spark, monkeypatch):
         for i in sets:
             want[i] = min(want[j] for j in sets if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]))
     assert got == want and len(set(want.values())) > 2
+
+
+def test_few_pairs_that_join_nothing_are_named_at_once(spark):
+    """Ten strangers and a group of forty: of the pairs of three that resemble each other the third joins nothing, and no group is gone through again for it."""
+    shape = "sig long, id long, n int, component long, bits array<long>, size int, main long, rest int"
+    bits = lambda i: [-1 if i > 10 or i > 3 and j // 3 == i else 0 for j in range(meetings.WORDS)]
+    rows = [(7, i, 10, min(i, 11), bits(i), 50, 11, 10) for i in range(1, 51)]
+    got = [tuple(r) for r in meetings.later_meetings(spark.createDataFrame(rows, shape), 0, 64, True).collect()]
+    assert sorted(tuple(sorted(r)) for r in got) == [(1, 2), (1, 3), (2, 3)]
