@@ -53,3 +53,17 @@ def test_few_pairs_that_join_nothing_are_named_at_once(spark):
     rows = [(7, i, 10, min(i, 11), bits(i), 50, 11, 10) for i in range(1, 51)]
     got = [tuple(r) for r in meetings.later_meetings(spark.createDataFrame(rows, shape), 0, 64, True).collect()]
     assert sorted(tuple(sorted(r)) for r in got) == [(1, 2), (1, 3), (2, 3)]
+
+
+def test_signatures_are_read_from_one_table_and_gone_once_documents_have_met(spark, monkeypatch):
+    """The tables that hold signatures while texts are compared; the postings' semi-join has none of its own."""
+    real, alive, seen = meetings.kept, {}, []
+    monkeypatch.setattr(ngram_join, "kept", lambda df, name, *a: alive.setdefault(name, real(df, name, *a)))
+    monkeypatch.setattr(meetings, "kept", lambda df, name, *a: alive.setdefault(name, real(df, name, *a)))
+    checked = meetings.verified
+    left = lambda: [k for k, df in alive.items() if "sigs" in df.columns and df.kept_at]
+    monkeypatch.setattr(meetings, "verified", lambda *a, **more: seen.append(left()) or checked(*a, **more))
+    docs = [(i, f"{BASE} z{i // 2}") for i in range(12)] + [(99, "")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {*((i, 0) for i in range(12)), (99, 99)}
+    assert "signed" in alive and seen and not any(seen)
