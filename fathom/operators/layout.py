@@ -6,23 +6,29 @@ from pyspark.sql import DataFrame
 
 #: A plan of more bytes is read in splits enough for any cluster; a smaller one may be a single row group, which is one task.
 SMALL = 1 << 30
+#: Bytes, by Spark's estimate, of the rows that are dealt to one task.
+DEALT = 32 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` dealt to all cores if it is small, which Spark's own estimate tells without a run. Rows and results are the same."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SMALL else df
+def _size(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-#: Bytes, by Spark's estimate, of the rows that are dealt to one task by a key.
-DEALT = 32 << 20
+def dealt(df: DataFrame) -> int | None:
+    """How many tasks ``df`` is to be dealt to: all cores, and more as it grows; none where Spark has no estimate, which it
+    tells by a size beyond any table's. A number is named, as Spark would join small tasks by the bytes of the rows as they are read."""
+    size = _size(df)
+    return None if size >= 1 << 50 else max(df.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT))
+
+
+def spread(df: DataFrame, fine: bool = False) -> DataFrame:
+    """``df`` dealt to all cores if it is small, which Spark's own estimate tells without a run, or, if ``fine``, to as many tasks
+    as ``dealt`` tells. Rows and results are the same."""
+    return df.repartition(dealt(df) if fine else df.sparkSession.sparkContext.defaultParallelism) if _size(df) <= SMALL else df
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
     """``df`` dealt by a key to all cores and to more tasks as it grows, so that what is made of a row can be grouped by the key
-    and other columns where it is made. A number of tasks is named, as Spark would join small ones by the bytes of the rows as they
-    are read; only where it has no estimate, which it tells by a size beyond any table's, the number is the session's own."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= 1 << 50:
-        return df.repartition(key)
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT)), key)
+    and other columns where it is made."""
+    tasks = dealt(df)
+    return df.repartition(key) if tasks is None else df.repartition(tasks, key)

@@ -42,10 +42,11 @@ def frequencies(docs: DataFrame, text: str = "content") -> DataFrame:
 
 def bm25_stats(docs: DataFrame, text: str = "content") -> DataFrame:
     """One row: num_docs and avgdl."""
-    return _stats(tokenized(spread(docs.select(text)), text, "t").select(F.size("t").alias("dl")))
+    return length_stats(tokenized(spread(docs.select(text)), text, "t").select(F.size("t").alias("dl")))
 
 
-def _stats(lengths: DataFrame) -> DataFrame:
+def length_stats(lengths: DataFrame) -> DataFrame:
+    """One row: num_docs and avgdl of (dl)."""
     return lengths.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"))
 
 
@@ -57,7 +58,7 @@ def bm25_terms(df: DataFrame, stats: DataFrame) -> DataFrame:
 
 def bm25_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(terms, stats) of term counts, which are used several times: a written table, not a plan."""
-    stats = _stats(counts.where(F.col("term") == WHOLE))
+    stats = length_stats(counts.where(F.col("term") == WHOLE))
     return bm25_terms(counts.where(F.col("term") != WHOLE).groupBy("term").agg(F.count("*").alias("df")), stats), stats
 
 
@@ -79,6 +80,11 @@ def weighed(counts: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.join(frequent, "term").unionByName(rest)
 
 
+def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What a term that occurs ``tf`` times in ``dl`` tokens weighs, before its idf. avgdl is 1 at least."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
 def postings(counts: DataFrame, terms: DataFrame, stats: DataFrame, key: str = "chunk_id") -> DataFrame:
     """(term, key, weight): the document side of the sparse product."""
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest("avgdl", F.lit(1.0)))

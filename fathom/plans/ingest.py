@@ -92,11 +92,13 @@ def stored_index(spark: SparkSession, table: str, path: str) -> Index:
     at = versioned.version(spark, place)
     if at is None:
         raise FileNotFoundError(f"nothing has been loaded into {table}")
-    if not store.exists(spark, f"{path}/indexed") or store.read_text(spark, f"{path}/indexed").split()[0] != str(at.number):
+    there = all(store.exists(spark, f"{path}/{name}") for name in ("indexed", "postings"))
+    if not there or store.read_text(spark, f"{path}/indexed").split()[0] != str(at.number):
         index_table(spark, table, path)
     stored, vectors = blocks.load(spark, path), spark.read.parquet(f"{path}/vectors")
     chunks = versioned.read(spark, place, at.number)
     chunks = chunks.withColumn("attack_id", F.get_json_object("metadata", "$.attack_id")).withColumn("pulse_id", F.get_json_object("metadata", "$.pulse_id"))
     each = F.explode(F.arrays_zip("keys", "weights"))
-    weights = stored.blocks.select("term", each.alias("r")).select("term", F.col("r.keys").alias("chunk_id"), F.col("r.weights").alias("weight"))
+    rows = stored.blocks.select("term", each.alias("r")).join(stored.terms.select("term", "idf"), "term")
+    weights = rows.select("term", F.col("r.keys").alias("chunk_id"), (F.col("idf") * F.col("r.weights")).alias("weight"))
     return Index(chunks.join(vectors, "chunk_id"), stored.terms, stored.stats, weights, stored)

@@ -54,3 +54,42 @@ def test_all_blocks_of_a_shard_lie_together(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(blocks, "SHARD", 16)
     rows = blocks.build(docs(spark), str(tmp_path)).blocks.select("shard", F.input_file_name().alias("file")).distinct().groupBy("shard").agg(F.count("*").alias("files"))
     assert rows.count() > 10 and rows.where("files > 1").isEmpty()
+
+
+def shuffled(spark):
+    """Rows that the session's stages have shuffled so far."""
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_neither_postings_nor_pairs_of_queries_and_documents_are_shuffled(spark, tmp_path):
+    """Storing shuffles documents and each task's vocabulary; searching, blocks and the best of each shard, whatever the number of queries."""
+    words = F.concat_ws(" ", F.lit("common"), F.transform(F.sequence(F.lit(1), F.lit(40)), lambda i: F.concat(F.lit("word"), F.pmod(F.xxhash64("id", i), F.lit(500)))))
+    corpus = spark.range(4000).select(F.col("id").alias("chunk_id"), words.alias("content"))
+    before = shuffled(spark)
+    index = blocks.build(corpus, str(tmp_path))
+    stored = shuffled(spark) - before
+    assert index.blocks.agg(F.sum(F.size("keys"))).first()[0] > 140_000 and stored < 20_000
+    asked = spark.range(100).select(F.col("id").alias("query_id"), F.concat(F.lit("common word"), "id").alias("text"))
+    before = shuffled(spark)
+    found = blocks.search(index, asked, 5).results.collect()
+    assert len(found) == 500 and {r["rank"] for r in found} == set(range(5))
+    assert shuffled(spark) - before < 100_000  # of 400,000 pairs
+
+
+def test_documents_without_a_key_count_and_are_not_found(spark, tmp_path):
+    corpus = docs(spark).unionByName(spark.createDataFrame([(None, "common rare"), (None, "rare")], "chunk_id long, content string"))
+    index = blocks.build(corpus, str(tmp_path))
+    assert index.stats.first()["num_docs"] == 302 and index.terms.where("term = 'rare'").first()["df"] == 2
+    asked = spark.createDataFrame([(1, "rare own5")], "query_id long, text string")
+    assert [r["chunk_id"] for r in blocks.search(index, asked, 3).results.collect()] == [5]
+
+
+def test_a_block_knows_its_greatest_weight_by_any_mean_length(spark, tmp_path):
+    """Documents of many lengths and counts: top is the greatest weight, though only the best pairs of both are kept beside the block."""
+    text = F.concat_ws(" ", F.array_repeat(F.lit("common"), (1 + F.pmod(F.xxhash64("id"), F.lit(9))).cast("int")), F.array_repeat(F.lit("other"), (1 + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(50))).cast("int")))
+    index = blocks.build(spark.range(700).select(F.col("id").alias("chunk_id"), text.alias("content")), str(tmp_path))
+    for avgdl in (index.avgdl, 1.0, 1e6):
+        top, most = blocks._top(avgdl), F.array_max(blocks._weights(avgdl))
+        assert index.postings.count() > 4 and index.postings.where(top != most).isEmpty()
+    assert index.postings.agg(F.sum(F.size("best"))).first()[0] < index.postings.agg(F.sum(F.size("keys"))).first()[0] / 5
