@@ -22,9 +22,12 @@ def dealt(df: DataFrame) -> int | None:
 
 
 def spread(df: DataFrame, fine: bool = False) -> DataFrame:
-    """``df`` dealt to all cores if it is small, which Spark's own estimate tells without a run, or, if ``fine``, to as many tasks
-    as ``dealt`` tells. Rows and results are the same."""
-    return df.repartition(dealt(df) if fine else df.sparkSession.sparkContext.defaultParallelism) if _size(df) <= SMALL else df
+    """``df`` dealt to all cores if it is small, which Spark's own estimate tells without a run, or, if ``fine``, to as many tasks as
+    ``dealt`` tells, of which all cores have equally many. Rows and results are the same."""
+    if _size(df) > SMALL:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(-(-dealt(df) // cores) * cores if fine else cores)
 
 
 def spread_by(df: DataFrame, key: str) -> DataFrame:
