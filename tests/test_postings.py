@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from fathom.operators import blocks
 from fathom.operators import retrieval as R
+from fathom.plans import ingest
 from fathom.plans.retrieval import build_index
+from fathom.sinks import store, versioned
 
 
 def docs(spark, n=300):
@@ -93,3 +95,14 @@ def test_a_block_knows_its_greatest_weight_by_any_mean_length(spark, tmp_path):
         top, most = blocks._top(avgdl), F.array_max(blocks._weights(avgdl))
         assert index.postings.count() > 4 and index.postings.where(top != most).isEmpty()
     assert index.postings.agg(F.sum(F.size("best"))).first()[0] < index.postings.agg(F.sum(F.size("keys"))).first()[0] / 5
+
+
+def test_a_stored_index_has_the_weights_of_a_full_one_and_is_made_anew_in_the_new_layout(spark, tmp_path):
+    table, path = f"{tmp_path}/points", f"{tmp_path}/model"
+    rows = docs(spark, 60).withColumn("chunk_id", F.col("chunk_id").cast("string")).select("chunk_id", "content", F.lit("a").alias("source"), F.lit("{}").alias("metadata"))
+    versioned.upsert(rows, versioned.location(spark, table), ["chunk_id"])
+    weights = lambda index: sorted((r["term"], r["chunk_id"], round(r["weight"], 9)) for r in index.weights.collect())
+    want = weights(build_index(rows))
+    assert weights(ingest.stored_index(spark, table, path)) == want and len(want) == 180
+    store.delete(spark, f"{path}/postings")  # as an index has it that was stored before
+    assert weights(ingest.stored_index(spark, table, path)) == want
